@@ -10,8 +10,9 @@ its group is settled:
 3. What is left differs somewhere near the anchor. For each place of a string around the anchor, the last digit is
    the bytes of just that string: groups of two or more are exactly the repeated strings.
 
-A digit shared by very many suffixes (``GIANT``) is dealt out by its whole strings in pass 3, and by the second digit
-in passes 1 and 2, so that no group is ever gathered in one task. Digits are compared by hashes of 64 bits within a
+Suffixes of one document that share both digits travel as one row. A digit shared by very many suffixes (``GIANT``) is
+dealt out by its whole strings in pass 3, and by the second digit in passes 1 and 2; a second digit that is common by
+itself is dealt out by document, as its count needs no more looking at. So no group is ever gathered in one task. Digits are compared by hashes of 64 bits within a
 group that already shares one of 64 bits.
 """
 
@@ -32,8 +33,7 @@ from .windows import Rolling, anchors, mix, runs
 #: Different surroundings of one first digit above which pass 3 deals it out by whole strings.
 GIANT = 8192
 SALTS = 64
-#: Rows of the sample that finds first digits common enough to be dealt out by the second digit as well. It steers
-#: where rows go, never what is found.
+#: Rows of the sample that finds digits common enough to be dealt out. It steers where rows go, never what is found.
 SAMPLE = 2000
 CHUNK = 1 << 16
 
@@ -43,12 +43,13 @@ def _bytes(x) -> np.ndarray:
     return np.frombuffer(v.encode("utf-8", "surrogatepass") if v else b"", np.uint8)
 
 
-def _anchor_rows(size: int, gram: int, hot: np.ndarray | None):
+def _anchor_rows(size: int, gram: int, hot: tuple[np.ndarray, np.ndarray] | None):
     reach = size - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[np.ndarray, ...]] = []
+            more: list[bytes | None] = []
             for i, x in enumerate(b.column(2)):
                 data = _bytes(x)
                 if len(data) < size:
@@ -58,21 +59,30 @@ def _anchor_rows(size: int, gram: int, hot: np.ndarray | None):
                 at = anchors(h, reach + 1)
                 lo, hi = np.maximum(at - reach, 0), np.minimum(at + size, len(data))
                 around = roll.slices(lo, hi) ^ mix(((at - lo) * 4096 + (hi - at)).astype(np.uint64))
-                out.append((np.full(len(at), i), h[at], around, at))
+                kinds, first, which, many = np.unique(around, return_index=True, return_inverse=True, return_counts=True)
+                rest: list[bytes | None] = [None] * len(kinds)
+                for k in np.flatnonzero(many > 1).tolist():
+                    rest[k] = at[which == k][1:].astype("<i4").tobytes()
+                more += rest
+                out.append((np.full(len(kinds), i), h[at[first]], kinds, at[first]))
             if out:
                 i, digit, around, at = (np.concatenate(x) for x in zip(*out, strict=True))
                 salt = np.zeros(len(i), np.int32)
-                if hot is not None and len(hot):
-                    salt = np.where(np.isin(digit, hot), around % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
+                if hot is not None:
+                    c = np.isin(digit, hot[0])
+                    salt[c] = around[c] % np.uint64(SALTS)
+                    c = np.isin(around, hot[1])
+                    salt[c] = np.uint64(SALTS) + mix(b.column(0).to_numpy()[i[c]].astype(np.uint64) + np.uint64(1)) % np.uint64(SALTS)
                 yield pa.record_batch({
                     "digit": pa.array(digit.view(np.int64)), "salt": pa.array(salt), "around": pa.array(around.view(np.int64)),
                     "key": b.column(0).take(pa.array(i)), "tag": b.column(1).take(pa.array(i)), "at": pa.array(at.astype(np.int32)),
+                    "more": pa.array(more, pa.binary()),
                 })
 
     return run
 
 
-ANCHORS = "digit bigint, salt int, around bigint, key bigint, tag int, at int"
+ANCHORS = "digit bigint, salt int, around bigint, key bigint, tag int, at int, more binary"
 
 
 def _surroundings(size: int, gram: int):
@@ -185,8 +195,12 @@ def _kept(data: np.ndarray, marks: list | None, size: int) -> tuple[np.ndarray,
     """The bytes that stay, and the number of runs that go."""
     if not marks or len(data) < size:
         return data, 0
-    lo = np.maximum(np.array([y["lo"] for y in marks], np.int64), 0)
-    hi = np.minimum(np.array([y["hi"] for y in marks], np.int64), len(data) - size)
+    lo, hi = (np.array([y[k] for y in marks], np.int64) for k in ("lo", "hi"))
+    for y in marks:
+        if y["more"] is not None:
+            at = np.frombuffer(y["more"], "<i4").astype(np.int64)
+            lo, hi = np.append(lo, at - (y["hi"] - y["lo"])), np.append(hi, at)
+    lo, hi = np.maximum(lo, 0), np.minimum(hi, len(data) - size)
     ok = lo <= hi
     steps = np.zeros(len(data) + 1, np.int64)
     np.add.at(steps, lo[ok], 1)
@@ -210,16 +224,20 @@ def _strip(size: int):
     return run
 
 
-def _hot_digits(docs: DataFrame, size: int, gram: int) -> np.ndarray:
-    """First digits that lie in over 1 % of a bounded sample of documents."""
+def _hot_digits(docs: DataFrame, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second digits that lie in over 1 % of a bounded sample of documents."""
     every = max(1, docs.count() // SAMPLE)
     rows = docs.where(F.pmod(F.xxhash64("key", "tag"), F.lit(every)) == 0).mapInArrow(_anchor_rows(size, gram, None), ANCHORS)
-    common = rows.groupBy("digit").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, SAMPLE // 100)).select("digit")
-    return np.array([r[0] for r in common.orderBy(F.desc("n")).limit(10_000).collect()], np.int64).view(np.uint64)
+    both = rows.select(F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("digit").alias("value")), F.struct(F.lit(1).alias("which"), F.col("around").alias("value")))).alias("x")).select("x.*").groupBy("which", "value").count()
+    common = both.where(F.col("count") >= max(20, SAMPLE // 100)).orderBy(F.desc("count"), "which", "value").limit(20_000).collect()
+    return tuple(np.array([r.value for r in common if r.which == w], np.int64).view(np.uint64) for w in (0, 1))
 
 
 def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFrame:
-    """(key, tag, text) -> (key, tag, lo, hi): every string of ``size`` bytes that starts at lo to hi occurs again."""
+    """(key, tag, text) -> (key, tag, lo, hi, more): every string of ``size`` bytes that starts at lo to hi occurs again.
+
+    The same holds around the places in ``more``, 32 bits each, as around hi.
+    """
     spark = docs.sparkSession
     n = partitions(spark)
     reach = size - gram
@@ -227,12 +245,15 @@ def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFra
     dealt = docs.mapInArrow(_anchor_rows(size, gram, hot), ANCHORS).repartition(n, "digit", "salt")
     alike, group = Window.partitionBy("digit", "salt", "around"), Window.partitionBy("digit", "salt")
     own = F.xxhash64("key", "tag", "at")
-    seen = dealt.withColumn("own", own).withColumn("copies", F.count("*").over(alike)).withColumn("first", F.col("own") == F.min("own").over(alike))
-    # a digit with salts is common by itself, and may have its other surroundings elsewhere
+    places = 1 + F.coalesce(F.length("more") / 4, F.lit(0)).cast("int")
+    seen = dealt.withColumn("own", own).withColumn("copies", F.sum(places).over(alike)).withColumn("first", F.col("own") == F.min("own").over(alike))
+    # a digit with salts is common by itself, and may have its other surroundings elsewhere; so are second digits dealt
+    # out by document: each was seen twice at least
     wide = F.sum(F.col("first").cast("int")).over(group)
-    hot_digit = F.max("salt").over(group) > 0
-    seen = seen.withColumn("kinds", F.when(hot_digit, wide * SALTS).otherwise(wide)).where("copies > 1 OR kinds > 1")
-    settled = seen.where("copies > 1").select("key", "tag", (F.col("at") - reach).alias("lo"), F.col("at").alias("hi"))
+    kinds = F.when(F.col("salt") >= SALTS, F.lit(GIANT)).when(F.max("salt").over(group) > 0, wide * SALTS).otherwise(wide)
+    repeated = (F.col("copies") > 1) | (F.col("salt") >= SALTS)
+    seen = seen.withColumn("kinds", kinds).withColumn("repeated", repeated).where("repeated OR kinds > 1")
+    settled = seen.where("repeated").select("key", "tag", (F.col("at") - reach).alias("lo"), F.col("at").alias("hi"), "more")
     open_ = seen.where("first AND kinds > 1").select("key", "tag", F.struct("digit", "at", (F.col("kinds") > GIANT).alias("giant")).alias("m"))
     marks = open_.groupBy("key", "tag").agg(F.collect_list("m").alias("marks"))
     near = docs.join(marks, ["key", "tag"]).select("key", "tag", "text", "marks").mapInArrow(_surroundings(size, gram), SURROUNDINGS)
@@ -242,7 +263,7 @@ def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFra
     place = F.xxhash64("key", "tag", "at")
     twice = whole.groupBy("digit", "second").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("digit", "second")
     giant = whole.join(twice, ["digit", "second"]).select("key", "tag", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return settled.unionByName(small).unionByName(giant)
+    return settled.unionByName(small.unionByName(giant).withColumn("more", F.lit(None).cast("binary")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -256,7 +277,7 @@ def _marked(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """``docs`` with __key, __tag and __marks, the repeated starts of each document."""
     keyed = _keyed(docs)
     found = repeated_starts(keyed.select(F.col("__key").alias("key"), F.col("__tag").alias("tag"), "text"), size, gram)
-    per_doc = found.groupBy(F.col("key").alias("__key"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("lo", "hi")).alias("__marks"))
+    per_doc = found.groupBy(F.col("key").alias("__key"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("lo", "hi", "more")).alias("__marks"))
     return keyed.join(per_doc, ["__key", "__tag"], "left")
 
 
