@@ -41,7 +41,7 @@ def _hashes(text: Column) -> Column:
 
 def _packed(h: Column) -> Column:
     """k-mers as sorted numbers, 40 bits of hash above 24 bits of place."""
-    pairs = F.zip_with(h, F.slice(h, 2, 2**31 - 1), lambda a, b: F.xxhash64(a, b))
+    pairs = F.zip_with(h, F.slice(h, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
     return F.sort_array(F.transform(pairs, lambda x, i: x.bitwiseAND(~PLACE).bitwiseOR(F.least(i, F.lit(PLACE)).cast("bigint"))))
 
 
