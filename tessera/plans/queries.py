@@ -77,7 +77,8 @@ def _pairs(words: Column) -> Column:
 
 
 def _terms(rows: DataFrame, key: str) -> DataFrame:
-    worded = rows.select(key, text.words(F.col("text")).alias("w")).where(F.size("w") > 1)
+    # the generator keeps the words from being found again for each use
+    worded = rows.select(key, F.explode(F.array(text.words(F.col("text")))).alias("w"))
     return retrieval.postings(worded, key, _pairs(F.col("w")))
 
 
