@@ -12,14 +12,16 @@ its group is settled:
 
 Suffixes of one document that share both digits travel as one row. A digit shared by very many suffixes (``GIANT``) is
 dealt out by its whole strings in pass 3, and by the second digit in passes 1 and 2; a second digit that is common by
-itself is dealt out by document, as its count needs no more looking at. So no group is ever gathered in one task. Digits are compared by hashes of 64 bits within a
-group that already shares one of 64 bits.
+itself is dealt out by document, as its count needs no more looking at. So no group is ever gathered in one task. The
+second digits of a digit that is dealt out are counted beforehand, over all its rows. Digits are compared by hashes of 64
+bits within a group that already shares one of 64 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,16 @@ def _bytes(x) -> np.ndarray:
     return np.frombuffer(v.encode("utf-8", "surrogatepass") if v else b"", np.uint8)
 
 
-def _anchor_rows(size: int, gram: int, hot: tuple[np.ndarray, np.ndarray] | None):
+class Hot(NamedTuple):
+    """Digits that are dealt out, sorted, the number of second digits of each, and second digits dealt out by document."""
+
+    digits: np.ndarray
+    around: np.ndarray
+    kinds: np.ndarray | None = None
+
+
+def _anchor_rows(size: int, gram: int, hot: Hot | None):
+    """(key, tag, text) -> rows of ANCHORS; only those of hot digits while these are not counted."""
     reach = size - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +78,19 @@ def _anchor_rows(size: int, gram: int, hot: tuple[np.ndarray, np.ndarray] | None
                 out.append((np.full(len(kinds), i), h[at[first]], kinds, at[first]))
             if out:
                 i, digit, around, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                salt = np.zeros(len(i), np.int32)
+                salt, kinds = np.zeros(len(i), np.int32), np.zeros(len(i), np.int64)
                 if hot is not None:
-                    c = np.isin(digit, hot[0])
-                    salt[c] = around[c] % np.uint64(SALTS)
-                    c = np.isin(around, hot[1])
-                    salt[c] = np.uint64(SALTS) + mix(b.column(0).to_numpy()[i[c]].astype(np.uint64) + np.uint64(1)) % np.uint64(SALTS)
+                    c = np.isin(digit, hot.digits)
+                    if hot.kinds is None:
+                        i, digit, around, at, salt, kinds = (x[c] for x in (i, digit, around, at, salt, kinds))
+                        more, c = [more[k] for k in np.flatnonzero(c).tolist()], c[c]
+                    else:
+                        kinds[c] = hot.kinds[np.searchsorted(hot.digits, digit[c])]
+                    salt[c] = np.uint64(1) + around[c] % np.uint64(SALTS)
+                    c = np.isin(around, hot.around)
+                    salt[c] = np.uint64(SALTS + 1) + mix(b.column(0).to_numpy()[i[c]].astype(np.uint64) + np.uint64(1)) % np.uint64(SALTS)
                 yield pa.record_batch({
-                    "digit": pa.array(digit.view(np.int64)), "salt": pa.array(salt), "around": pa.array(around.view(np.int64)),
+                    "digit": pa.array(digit.view(np.int64)), "salt": pa.array(salt), "kinds": pa.array(kinds), "around": pa.array(around.view(np.int64)),
                     "key": b.column(0).take(pa.array(i)), "tag": b.column(1).take(pa.array(i)), "at": pa.array(at.astype(np.int32)),
                     "more": pa.array(more, pa.binary()),
                 })
@@ -82,7 +98,7 @@ def _anchor_rows(size: int, gram: int, hot: tuple[np.ndarray, np.ndarray] | None
     return run
 
 
-ANCHORS = "digit bigint, salt int, around bigint, key bigint, tag int, at int, more binary"
+ANCHORS = "digit bigint, salt int, kinds bigint, around bigint, key bigint, tag int, at int, more binary"
 
 
 def _surroundings(size: int, gram: int):
@@ -224,13 +240,18 @@ def _strip(size: int):
     return run
 
 
-def _hot_digits(docs: DataFrame, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and second digits that lie in over 1 % of a bounded sample of documents."""
+def _hot_digits(docs: DataFrame, size: int, gram: int) -> Hot | None:
+    """First and second digits that lie in over 1 % of a bounded sample of documents, counted over all documents."""
     every = max(1, docs.count() // SAMPLE)
     rows = docs.where(F.pmod(F.xxhash64("key", "tag"), F.lit(every)) == 0).mapInArrow(_anchor_rows(size, gram, None), ANCHORS)
     both = rows.select(F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("digit").alias("value")), F.struct(F.lit(1).alias("which"), F.col("around").alias("value")))).alias("x")).select("x.*").groupBy("which", "value").count()
     common = both.where(F.col("count") >= max(20, SAMPLE // 100)).orderBy(F.desc("count"), "which", "value").limit(20_000).collect()
-    return tuple(np.array([r.value for r in common if r.which == w], np.int64).view(np.uint64) for w in (0, 1))
+    hot = Hot(*(np.sort(np.array([r.value for r in common if r.which == w], np.int64).view(np.uint64)) for w in (0, 1)))
+    if not len(hot.digits):
+        return None
+    pairs = docs.mapInArrow(_anchor_rows(size, gram, hot), ANCHORS).select("digit", "around").distinct()
+    counts = {r.digit: r["count"] for r in pairs.groupBy("digit").count().collect()}
+    return hot._replace(kinds=np.array([counts[d] for d in hot.digits.view(np.int64).tolist()], np.int64))
 
 
 def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFrame:
@@ -247,11 +268,11 @@ def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFra
     own = F.xxhash64("key", "tag", "at")
     places = 1 + F.coalesce(F.length("more") / 4, F.lit(0)).cast("int")
     seen = dealt.withColumn("own", own).withColumn("copies", F.sum(places).over(alike)).withColumn("first", F.col("own") == F.min("own").over(alike))
-    # a digit with salts is common by itself, and may have its other surroundings elsewhere; so are second digits dealt
-    # out by document: each was seen twice at least
+    # a digit with salts has its other surroundings elsewhere, so it brings their number; second digits dealt out by
+    # document were each seen twice at least
     wide = F.sum(F.col("first").cast("int")).over(group)
-    kinds = F.when(F.col("salt") >= SALTS, F.lit(GIANT)).when(F.max("salt").over(group) > 0, wide * SALTS).otherwise(wide)
-    repeated = (F.col("copies") > 1) | (F.col("salt") >= SALTS)
+    kinds = F.when(F.col("salt") > 0, F.col("kinds")).otherwise(wide)
+    repeated = (F.col("copies") > 1) | (F.col("salt") > SALTS)
     seen = seen.withColumn("kinds", kinds).withColumn("repeated", repeated).where("repeated OR kinds > 1")
     settled = seen.where("repeated").select("key", "tag", (F.col("at") - reach).alias("lo"), F.col("at").alias("hi"), "more")
     open_ = seen.where("first AND kinds > 1").select("key", "tag", F.struct("digit", "at", (F.col("kinds") > GIANT).alias("giant")).alias("m"))

@@ -200,6 +200,21 @@ def test_repeats_are_stripped(spark, docs, hard):
         assert sorted(got) == sorted(brute_strip([r.text for r in rows], 200))
 
 
+@pytest.mark.parametrize("giant", [8192, 40])
+def test_repeats_of_common_digits(spark, monkeypatch, giant):
+    """Passages in different contexts, some in one context many times, some digits dealt out by whole strings."""
+    monkeypatch.setattr(suffixes, "GIANT", giant)
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = []
+    for _ in range(6):
+        shared, before, after = word(250), word(200), word(200)
+        texts += [word(300) + shared + word(300) for _ in range(60)]
+        texts += [word(50) + before + shared + after + word(50) for _ in range(30)]
+    got = suffixes.strip_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_strip(texts, 200))
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"  # smaller tables have a few toxic rows only
     labels = spark.read.parquet(f"{sf}/labels.parquet")
