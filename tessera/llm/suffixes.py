@@ -98,7 +98,7 @@ def _anchor_rows(size: int, gram: int, hot: Hot | None):
     return run
 
 
-ANCHORS = "digit bigint, salt int, kinds bigint, around bigint, key bigint, tag int, at int, more binary"
+ANCHORS = "digit bigint, salt int, kinds bigint, around bigint, key bigint, tag bigint, at int, more binary"
 
 
 def _surroundings(size: int, gram: int):
@@ -139,7 +139,7 @@ def _surroundings(size: int, gram: int):
     return run
 
 
-SURROUNDINGS = "digit bigint, second bigint, key bigint, tag int, at int, left binary, right binary"
+SURROUNDINGS = "digit bigint, second bigint, key bigint, tag bigint, at int, left binary, right binary"
 
 
 def _matrix(column: list[bytes], width: int, flush_right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -276,10 +276,12 @@ def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFra
     seen = seen.withColumn("kinds", kinds).withColumn("repeated", repeated).where("repeated OR kinds > 1")
     settled = seen.where("repeated").select("key", "tag", (F.col("at") - reach).alias("lo"), F.col("at").alias("hi"), "more")
     open_ = seen.where("first AND kinds > 1").select("key", "tag", F.struct("digit", "at", (F.col("kinds") > GIANT).alias("giant")).alias("m"))
-    marks = open_.groupBy("key", "tag").agg(F.collect_list("m").alias("marks"))
-    near = docs.join(marks, ["key", "tag"]).select("key", "tag", "text", "marks").mapInArrow(_surroundings(size, gram), SURROUNDINGS)
+    marks = open_.groupBy("key", "tag").agg(F.collect_set("m").alias("marks"))
+    # rows of one identity are equal texts, each seen above; one of them stands for all
+    one = docs.join(marks, ["key", "tag"]).groupBy("key", "tag").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))
+    near = one.mapInArrow(_surroundings(size, gram), SURROUNDINGS)
     sorted_ = near.where("left IS NOT NULL").repartition(n, "digit").sortWithinPartitions("digit")
-    small = sorted_.mapInArrow(_last_digit(size, gram), "key bigint, tag int, lo int, hi int")
+    small = sorted_.mapInArrow(_last_digit(size, gram), "key bigint, tag bigint, lo int, hi int")
     whole = near.where("left IS NULL").select("digit", "second", "key", "tag", "at")
     place = F.xxhash64("key", "tag", "at")
     twice = whole.groupBy("digit", "second").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("digit", "second")
@@ -288,9 +290,12 @@ def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFra
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key and __tag, which only rows of equal doc_id and text share: 64 bits of the text's hash, beside
+    the doc_id or, for null, 64 bits of another hash."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     return docs.withColumns({
-        "__key": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))),
-        "__tag": F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"),
+        "__key": F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.lit(1), text)),
+        "__tag": F.xxhash64(text),
     })
 
 
@@ -298,7 +303,7 @@ def _marked(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """``docs`` with __key, __tag and __marks, the repeated starts of each document."""
     keyed = _keyed(docs)
     found = repeated_starts(keyed.select(F.col("__key").alias("key"), F.col("__tag").alias("tag"), "text"), size, gram)
-    per_doc = found.groupBy(F.col("key").alias("__key"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("lo", "hi", "more")).alias("__marks"))
+    per_doc = found.groupBy(F.col("key").alias("__key"), F.col("tag").alias("__tag")).agg(F.collect_set(F.struct("lo", "hi", "more")).alias("__marks"))
     return keyed.join(per_doc, ["__key", "__tag"], "left")
 
 
@@ -310,10 +315,10 @@ def strip_repeats(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFrame
     Rows that share doc_id and text are documents of their own, so each is a repeat of the other.
     """
     marked = _marked(docs.select("doc_id", "text"), size, gram)
-    out = marked.select(F.col("__key").alias("key"), "text", F.col("__marks").alias("marks")).mapInArrow(
+    out = marked.select(F.col("doc_id").cast("bigint").alias("key"), "text", F.col("__marks").alias("marks")).mapInArrow(
         _strip(size), "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
-    return out.withColumn("doc_id", F.when(F.col("key") != -(2**63), F.col("key"))).drop("key")
+    return out.withColumn("doc_id", F.col("key")).drop("key")
 
 
 def strip_texts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFrame:

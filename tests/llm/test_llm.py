@@ -200,6 +200,19 @@ def test_repeats_are_stripped(spark, docs, hard):
         assert sorted(got) == sorted(brute_strip([r.text for r in rows], 200))
 
 
+def test_rows_without_id_keep_unique_text(spark):
+    """Rows with null or equal doc_id whose texts share bits of their hash are still documents of their own."""
+    shared = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 220)))
+    near = spark.range(600_000).select(F.sha2(F.col("id").cast("string"), 512).alias("t")).select(F.repeat("t", 3).alias("unique"))
+    hit = near.withColumn("text", F.concat(F.lit(shared), "unique")).where(F.pmod(F.xxhash64("text"), F.lit(65536)) == 7).limit(1)
+    miss = near.withColumn("text", F.concat("unique", F.lit("."))).where(F.pmod(F.xxhash64("text"), F.lit(65536)) == 7).limit(1)
+    texts = [hit.first().text, miss.first().text, shared + "z" * 5, shared * 2, shared * 2]
+    for ids in ([None] * 5, [4] * 5, [None, None, 4, -(2**63), -(2**63)]):
+        rows = suffixes.strip_repeats(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+        assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == sorted(brute_strip(texts, 200))
+        assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in rows)
+
+
 @pytest.mark.parametrize("giant", [8192, 40])
 def test_repeats_of_common_digits(spark, monkeypatch, giant):
     """Passages in different contexts, some in one context many times, some digits dealt out by whole strings."""
