@@ -6,12 +6,15 @@ Each operation gives the new rows; the caller writes them to a new version's fol
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+from tessera.llm.common import cut
 
 
 def latest(rows: DataFrame, keys: Sequence[str], at: Sequence[str]) -> DataFrame:
@@ -53,16 +56,7 @@ def list_documents(documents: DataFrame, by: Sequence[Column], limit: int = 20,
 MOST_QUERIES = 4096
 
 
-def dense_top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", query: str = "query_id") -> DataFrame:
-    """The k rows nearest by cosine to each of a stated set of queries: (query, key, score, rank).
-
-    The queries (query, column) are few, which is checked, and go to every task. A task scores its rows in blocks and
-    keeps k per query, so what is shuffled does not grow with a task's rows. Null and zero vectors, and those of another
-    length than the queries', take no part. Ties go to the smaller key.
-    """
-    asked = [(r[0], r[1]) for r in queries.where(F.col(column).isNotNull()).select(query, column).limit(MOST_QUERIES + 1).collect()]
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one search")
+def _nearest(asked: Sequence[tuple], k: int, key: str, column: str, query: str):
     ids = np.array([i for i, _ in asked], np.int64)
     q = np.array([v for _, v in asked], np.float64).reshape(len(asked), -1)
 
@@ -83,8 +77,32 @@ def dense_top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str =
                 best[i] = both.sort_values(["score", key], ascending=[False, True]).head(k)
         yield from (x for x in best if x is not None)
 
-    if not asked:
-        return vectors.sparkSession.createDataFrame([], f"{query} bigint, {key} bigint, score double, rank int")
-    hits = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), column).mapInPandas(score, f"{query} bigint, {key} bigint, score double")
-    order = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    return score
+
+
+def _best(hits: DataFrame, order: WindowSpec, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def dense_top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", query: str = "query_id") -> DataFrame:
+    """The k rows nearest by cosine to each of a stated set of queries: (query, key, score, rank).
+
+    The queries (query, column) go to every task in blocks of ``MOST_QUERIES``, a search each; with several blocks each
+    search is written to the checkpoint folder before the next. A task scores its rows in blocks and
+    keeps k per query, so what is shuffled does not grow with a task's rows. Null and zero vectors, and those of another
+    length than the queries', take no part. Ties go to the smaller key.
+    """
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), column)
+    schema, order = f"{query} bigint, {key} bigint, score double", Window.partitionBy(query).orderBy(F.desc("score"), key)
+    blocks = batched(queries.where(F.col(column).isNotNull()).select(query, column).toLocalIterator(), MOST_QUERIES)
+    block, hits = next(blocks, None), None
+    while block:
+        following = next(blocks, None)
+        found = rows.mapInPandas(_nearest(block, k, key, column, query), schema)
+        if following or hits is not None:  # a block's vectors are not held longer than its search
+            found = cut(_best(found, order, k).drop("rank"))
+        hits = found if hits is None else hits.unionByName(found)
+        block = following
+    if hits is None:
+        return vectors.sparkSession.createDataFrame([], f"{query} bigint, {key} bigint, score double, rank int")
+    return _best(hits, order, k)

@@ -150,12 +150,18 @@ def visible_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item word for word: both hold the pair of words in the item's middle."""
-    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("item"), text.words(F.col("text")).alias("w")).where(F.size("w") > 4)
+    """Documents that hold an item word for word: both hold the pair of words in the item's middle.
+
+    Items of four words or fewer may have no such pair, so they are sought in each text.
+    """
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("item"), text.words(F.col("text")).alias("w"))
+    short = items.where(F.size("w") <= 4).select("case_id", "item")
+    cases = items.where(F.size("w") > 4)
     half = F.floor(F.size("w") / 2).cast("int")
     cases = cases.select("case_id", "item", F.concat(F.get("w", half - 1), F.lit(" "), F.get("w", half)).alias("term"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(_pairs(text.words(F.col("text"))))).alias("term"))
-    return docs.join(cases, "term").where(F.contains("text", "item")).select("case_id", "doc_id")
+    long = docs.join(cases, "term").where(F.contains("text", "item")).select("case_id", "doc_id")
+    return long.unionByName(table(spark, sf_dir, "documents").join(short, F.contains("text", "item")).select("case_id", "doc_id"))
 
 
 _EVAL_SQL = f"""

@@ -208,3 +208,19 @@ def test_capture_adds_each_page_once(spark, tmp_path):
         spark.createDataFrame([("r", 1, body), ("r", 2 if body == "first" else 3, body)], schema).write.mode("append").parquet(source)
         capture.capture(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "cp")).awaitTermination(120)
     assert rows(spark.read.parquet(target).select("page_id", "body")) == [(1, "first"), (2, "first"), (3, "second")]
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id < 10").withColumnRenamed("vec_id", "query_id")
+    want = sorted(store.dense_top_k_many(rows, asked, 3).collect())
+    monkeypatch.setattr(store, "MOST_QUERIES", 4)
+    assert sorted(store.dense_top_k_many(rows, asked, 3).collect()) == want and len(want) == 30
+
+
+def test_short_items_are_relevant(spark, tmp_path):
+    from tessera.plans import queries
+
+    spark.createDataFrame([(1, "two words"), (2, "日本語"), (3, "a case of five words or more"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "these two words."), (2, "in 日本語 text"), (3, "it is a case of five words or more"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.case_id, r.doc_id) for r in queries._relevant(spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 3)]
