@@ -254,12 +254,14 @@ def _hot_digits(docs: DataFrame, size: int, gram: int) -> Hot | None:
     return hot._replace(kinds=np.array([counts[d] for d in hot.digits.view(np.int64).tolist()], np.int64))
 
 
-def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFrame:
-    """(key, tag, text) -> (key, tag, lo, hi, more): every string of ``size`` bytes that starts at lo to hi occurs again.
+def repeated_starts(keyed: DataFrame, size: int = 200, gram: int = 50) -> DataFrame:
+    """(__key, __tag, text) -> (key, tag, lo, hi, more): every string of ``size`` bytes that starts at lo to hi occurs again.
 
-    The same holds around the places in ``more``, 32 bits each, as around hi.
+    The same holds around the places in ``more``, 32 bits each, as around hi. Other columns are not looked at, but kept
+    where ``keyed`` is dealt out, so that a caller who joins the result with it reads the same exchange again.
     """
-    spark = docs.sparkSession
+    spark = keyed.sparkSession
+    docs = keyed.select(F.col("__key").alias("key"), F.col("__tag").alias("tag"), "text")
     n = partitions(spark)
     reach = size - gram
     hot = _hot_digits(docs, size, gram)
@@ -276,9 +278,10 @@ def repeated_starts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFra
     seen = seen.withColumn("kinds", kinds).withColumn("repeated", repeated).where("repeated OR kinds > 1")
     settled = seen.where("repeated").select("key", "tag", (F.col("at") - reach).alias("lo"), F.col("at").alias("hi"), "more")
     open_ = seen.where("first AND kinds > 1").select("key", "tag", F.struct("digit", "at", (F.col("kinds") > GIANT).alias("giant")).alias("m"))
-    marks = open_.groupBy("key", "tag").agg(F.collect_set("m").alias("marks"))
+    marks = open_.groupBy(F.col("key").alias("__key"), F.col("tag").alias("__tag")).agg(F.collect_set("m").alias("__places"))
     # rows of one identity are equal texts, each seen above; one of them stands for all
-    one = docs.join(marks, ["key", "tag"]).groupBy("key", "tag").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))
+    rest = [c for c in keyed.columns if c not in ("__key", "__tag", "text")]
+    one = keyed.join(marks, ["__key", "__tag"]).groupBy("__key", "__tag").agg(*[F.first(c).alias(c) for c in ("text", "__places", *rest)])
     near = one.mapInArrow(_surroundings(size, gram), SURROUNDINGS)
     sorted_ = near.where("left IS NOT NULL").repartition(n, "digit").sortWithinPartitions("digit")
     small = sorted_.mapInArrow(_last_digit(size, gram), "key bigint, tag bigint, lo int, hi int")
@@ -302,7 +305,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _marked(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """``docs`` with __key, __tag and __marks, the repeated starts of each document."""
     keyed = _keyed(docs)
-    found = repeated_starts(keyed.select(F.col("__key").alias("key"), F.col("__tag").alias("tag"), "text"), size, gram)
+    found = repeated_starts(keyed, size, gram)
     per_doc = found.groupBy(F.col("key").alias("__key"), F.col("tag").alias("__tag")).agg(F.collect_set(F.struct("lo", "hi", "more")).alias("__marks"))
     return keyed.join(per_doc, ["__key", "__tag"], "left")
 
