@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tessera.llm.common import cut
+from tessera.functions.checkpoints import cut
 
 
 def latest(rows: DataFrame, keys: Sequence[str], at: Sequence[str]) -> DataFrame:
