@@ -1,41 +1,47 @@
-"""Helpers that the operators share: tables, checkpoints, connected components, union-find on arrays."""
+"""Helpers that the operators share: tables, fresh column names, joins with hot keys, connected components, union-find."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.checkpoints import cut, ensure_checkpoint_dir, partitions
+
+__all__ = ["Roots", "connected_components", "crc_mod", "cut", "ensure_checkpoint_dir", "fresh", "partitions", "salted_join", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under ``sf_dir``, read by Spark wherever it lies."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; a local folder only where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
+def crc_mod(doc_id: Column, n: int) -> Column:
+    """crc32 of the id written as decimal text, modulo n."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from those files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
+def salted_join(rows: DataFrame, side: DataFrame, key: str, other: str, each: int = 256) -> DataFrame:
+    """``rows`` joined with ``side`` (one row per key) on ``key``, where one key may hold very many rows.
 
-def crc_mod(doc_id: Column, n: int) -> Column:
-    """crc32 of the id written as decimal text, modulo n."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
+    A key's rows are dealt out by the column ``other`` to as many places as hold about ``each`` of them, and its row of
+    ``side`` is copied to those places only.
+    """
+    many = rows.groupBy(key).agg(F.ceil(F.count("*") / each).cast("int").alias("__places"))
+    copied = side.join(many, key).withColumn("__place", F.explode(F.sequence(F.lit(0), F.col("__places") - 1))).drop("__places")
+    dealt = rows.join(many.where("__places > 1"), key, "left").withColumn("__place", F.coalesce(F.pmod(F.xxhash64(other), F.col("__places")), F.lit(0)).cast("int")).drop("__places")
+    return dealt.join(copied, [key, "__place"]).drop("__place")
 
 
 class Roots:
@@ -58,6 +64,22 @@ class Roots:
             if len(a):
                 np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
+    def forest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Unite the pairs; positions of those in the least spanning forest, earlier pairs being shorter."""
+        out, left = [], np.arange(len(a))
+        while True:
+            ra, rb = self.find(a[left]), self.find(b[left])
+            apart = ra != rb
+            left, ra, rb = left[apart], ra[apart], rb[apart]
+            if not len(left):
+                return np.sort(np.concatenate(out)) if out else left
+            first = np.full(len(self.parent), len(a))
+            np.minimum.at(first, ra, left)
+            np.minimum.at(first, rb, left)
+            used = np.unique(first[first < len(a)])
+            out.append(used)
+            self.union(a[used], b[used])
+
     def all(self) -> np.ndarray:
         return self.find(np.arange(len(self.parent)))
 

@@ -1,20 +1,20 @@
-"""SimHash fingerprints, and exact search for pairs within a few bits by vantage-point trees in overlapping shards.
+"""SimHash fingerprints, and exact search for pairs within a few bits by vantage-point trees over overlapping shards.
 
-Fingerprints are 64 bits. A pair that differs in at most r bits agrees on one of r + 1 blocks of bits, that is,
-it has distance 0 there: each fingerprint goes to one shard per block, so that shards overlap at their borders and
-every pair within r meets in one. A shard that holds more than ``SPLIT`` fingerprints is split once more by the
-blocks of its remaining bits, again without loss. In a shard, a vantage-point tree halves the fingerprints by their
-distance to a vantage point; two halves are compared only within the band that the triangle inequality leaves.
+Fingerprints have 64 bits. Of a pair that differs in at most 3 bits, one half differs in at most one. Over each half a
+vantage-point tree, drawn from a bounded sample, deals all fingerprints out by their Hamming distance to vantage points:
+a leaf of the tree is a shard. A fingerprint so near to a border that the triangle inequality allows a partner beyond it
+also visits the shards there. Each shard goes on with a tree of its own; every pair within 3 bits meets in one.
 
 Only links that join two parts not yet joined leave a shard, so that a group of n copies gives fewer than n links.
 
-``near_duplicates`` links by similarity instead: 256 bits over shingles of five words, of which two texts differ in a
-share that follows the angle between their shingle sets. Its shards are balls around the values of sixteen bits at a
-time, drawn for each of many tables; a shard too full is split by sixteen more.
+``near_duplicates`` links by similarity instead: 256 bits over sets of shingles of five words, of which two texts differ
+in a share that follows the angle between their sets. At such distances no border prunes anything, so candidates come
+from tables of drawn bits, as many as a stated recall needs, and each link is checked against the two sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Roots, connected_components, cut, partitions
+from .common import Roots, connected_components, cut, fresh, partitions, salted_join
 from .windows import mix
 
-#: Fingerprints in a first-level shard above which it is split by a second level of blocks.
-SPLIT = 1024
-LEAF = 64
+#: Bound of the sample that the trees across shards are drawn from, and fingerprints that a shard is meant to hold.
+SAMPLE, SHARD = 65_536, 4096
+#: Fingerprints in a shard above which it is compared part by part in several tasks.
+FULL = 16_384
+LEAF = 128
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -67,21 +69,92 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+# ---- exact links within a few bits
+
+
+class Tree:
+    """A vantage-point tree over words of bits, whose leaves are shards."""
+
+    def __init__(self, sample: np.ndarray, leaf: int, radius: int):
+        self.radius = radius
+        self.vantage: list[int] = []
+        self.mu: list[int] = []
+        self.near: list[int] = []
+        self.far: list[int] = []  # inner nodes count from 0, leaves from -1 down
+        self.leaves = 0
+        rng = np.random.default_rng(len(sample))
+
+        def grow(x: np.ndarray) -> int:
+            best = None
+            for v in x[rng.integers(0, len(x), 4)] if len(x) > leaf else ():
+                d = np.bitwise_count(x ^ v)
+                mu = int(np.median(d))
+                mu -= int((d <= mu).all())
+                halves, border = np.count_nonzero(d <= mu), np.count_nonzero((d > mu - radius) & (d <= mu + radius))
+                cost = max(halves, len(x) - halves) + border / 2
+                if 0 < halves < len(x) and (best is None or cost < best[0]):
+                    best = cost, v, mu, d <= mu
+            if best is None:
+                self.leaves += 1
+                return -self.leaves
+            i = len(self.mu)
+            self.vantage.append(int(best[1]))
+            self.mu.append(best[2])
+            self.near.append(0)
+            self.far.append(0)
+            self.near[i], self.far[i] = grow(x[best[3]]), grow(x[~best[3]])
+            return i
+
+        self.root = grow(sample) if len(sample) else -1
+        self.leaves = max(self.leaves, 1)
+
+    def shards(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(positions of x, shard, home): each value's own shard once, and the shards that it visits."""
+        vantage, mu = np.array(self.vantage, np.uint64), np.array(self.mu, np.int64)
+        near, far = np.array(self.near, np.int64), np.array(self.far, np.int64)
+        at, node, home = np.arange(len(x)), np.full(len(x), self.root), np.ones(len(x), bool)
+        while len(at):
+            done = node < 0
+            for h in (True, False):
+                pick = done & (home == h)
+                if pick.any():
+                    yield at[pick], -1 - node[pick], h
+            at, node, home = at[~done], node[~done], home[~done]
+            if not len(at):
+                return
+            d, m = np.bitwise_count(x[at] ^ vantage[node]).astype(np.int64), mu[node]
+            # |d(x, v) - d(y, v)| <= d(x, y): home rows go to one side, and beyond it from the inner edge of the border
+            inner = d <= m
+            to_near, to_far = np.where(home, inner, d <= m + self.radius), np.where(home, ~inner, d > m - self.radius)
+            visit = home & inner & (d > m - self.radius)
+            at, node, home = (
+                np.concatenate((at[to_near], at[to_far], at[visit])),
+                np.concatenate((near[node[to_near]], far[node[to_far]], far[node[visit]])),
+                np.concatenate((home[to_near], home[to_far], np.zeros(int(visit.sum()), bool))),
+            )
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits; the last axis holds the words of a fingerprint."""
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def vp_join(fps: np.ndarray, radius: int, union) -> None:
-    """Call union(i, j) with arrays of positions for every pair of rows within ``radius``, found by vantage-point trees."""
+def vp_join(half: np.ndarray, reach: int, fps: np.ndarray, radius: int, union, home: np.ndarray | None = None) -> None:
+    """Call union(i, j) with arrays of positions for all pairs within ``reach`` by ``half`` and ``radius`` by ``fps``.
+
+    With ``home``, pairs of which neither row is at home are left out.
+    """
 
     def brute(a: np.ndarray, b: np.ndarray) -> None:
         for i in range(0, len(a), 512):
-            x, y = np.nonzero(_apart(fps[a[i : i + 512], None], fps[None, b]) <= radius)
+            x, y = np.nonzero(np.bitwise_count(fps[a[i : i + 512], None] ^ fps[None, b]) <= radius)
             if len(x):
                 union(a[i : i + 512][x], b[y])
 
-    todo: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(fps)), None)]
+    own = np.arange(len(fps)) if home is None else np.flatnonzero(home)
+    todo: list[tuple[np.ndarray, np.ndarray | None]] = [(own, None)]
+    if home is not None:
+        todo.append((np.flatnonzero(~home), own))
     while todo:
         a, b = todo.pop()
         other = a if b is None else b
@@ -90,93 +163,99 @@ def vp_join(fps: np.ndarray, radius: int, union) -> None:
         if len(a) * len(other) <= LEAF * LEAF:
             brute(a, other)
             continue
-        vantage = fps[a[len(a) // 2]]
-        da = _apart(fps[a], vantage)
-        db = da if b is None else _apart(fps[b], vantage)
-        mu = int(np.median(da if b is None else np.concatenate((da, db))))
+        v = half[other[len(other) // 2]]
+        da = np.bitwise_count(half[a] ^ v).astype(np.int64)
+        db = da if b is None else np.bitwise_count(half[b] ^ v).astype(np.int64)
+        mu = int(np.median(db))
+        mu -= int((db <= mu).all())
         near_a, near_b = da <= mu, db <= mu
         parts = [(a[near_a], other[near_b]), (a[~near_a], other[~near_b])]
-        # |d(x, v) - d(y, v)| <= d(x, y): only this band can hold pairs across the border
-        across = [(a[near_a & (da > mu - radius)], other[~near_b & (db <= mu + radius)])]
+        across = [(a[near_a & (da > mu - reach)], other[~near_b & (db <= mu + reach)])]
         if b is not None:
-            across.append((a[~near_a & (da <= mu + radius)], other[near_b & (db > mu - radius)]))
+            across.append((a[~near_a & (da <= mu + reach)], other[near_b & (db > mu - reach)]))
         if max(len(x) * len(y) for x, y in [*parts, *across]) > 0.9 * len(a) * len(other):
             brute(a, other)
             continue
         todo += [(x, None if b is None else y) for x, y in parts] + across
 
 
-def _link_shards(radius: int, words: int):
-    """Rows (key, node, words of the fingerprint) sorted by key -> (u, v): links within ``radius`` in each shard."""
-
-    def shard(nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        roots = Roots(len(nodes))
-        vp_join(fps, radius, roots.union)
-        r = roots.all()
-        moved = np.nonzero(r != np.arange(len(r)))[0]
-        if len(moved):
-            yield nodes[moved], nodes[r[moved]]
-
-    def whole(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All shards of these rows: small ones by comparing each row with the next ones, at once."""
-        starts = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
-        sizes = np.diff(starts)
-        small = np.repeat(sizes <= 16, sizes)
-        k, n, f = keys[small], nodes[small], fps[small]
-        for step in range(1, int(min(16, sizes[sizes <= 16].max(initial=1)))):
-            same = np.flatnonzero(k[step:] == k[:-step])
-            hit = same[_apart(f[same + step], f[same]) <= radius]
-            if len(hit):
-                yield n[hit + step], n[hit]
-        for s, size in zip(starts[:-1][sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-            yield from shard(nodes[s : s + size], fps[s : s + size])
+def by_key(columns: int, work):
+    """A function for mapInArrow over rows of bigints sorted by the first: ``work`` gets all rows of whole keys at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(parts)
-            for u, v in whole(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64)):
-                yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
-
         for b in batches:
-            rows = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + words)])
+            rows = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
             if not len(rows):
                 continue
-            at = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last shard may go on in the next batch
+            at = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last key may go on in the next batch
             if at or held and held[-1][-1, 0] != rows[0, 0]:
-                yield from out([*held, rows[:at]])
+                yield from work(np.concatenate([*held, rows[:at]]))
                 held = []
             held.append(rows[at:])
         if held:
-            yield from out(held)
+            yield from work(np.concatenate(held))
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = 3, split: int = SPLIT) -> DataFrame:
+def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
+    return list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+
+
+def _link_shards(radius: int, reach: int):
+    """Rows (key, home, fp), the key's lowest bit the half -> (u, v): links within ``radius``."""
+
+    def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, e in _spans(rows[:, 0]):
+            home, fp = rows[s:e, 1], rows[s:e, 2].view(np.uint64)
+            half = fp >> np.uint64(32) if rows[s, 0] & 1 else fp & np.uint64(0xFFFFFFFF)
+            roots = Roots(len(fp))
+            vp_join(half, reach, fp, radius, roots.union, home == 1)
+            r = roots.all()
+            moved = np.nonzero(r != np.arange(len(r)))[0]
+            if len(moved):
+                yield pa.record_batch({"u": pa.array(fp[moved].view(np.int64)), "v": pa.array(fp[r[moved]].view(np.int64))})
+
+    return by_key(3, work)
+
+
+def links(distinct: DataFrame, radius: int = 3, shard: int = SHARD, full: int = FULL) -> DataFrame:
     """(fp), each once -> (u, v) links whose components are those of all pairs within ``radius`` bits."""
-    if radius != 3:
-        raise ValueError("the blocks are laid out for a radius of 3 bits")
-    spark = distinct.sparkSession
-    block = F.explode(F.array(*[
-        F.struct(
-            (F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) + F.lit(65536 * i)).cast("bigint").alias("key"),
-            F.shiftrightunsigned(F.col("fp") if i == 0 else F.shiftleft("fp", 64 - 16 * i).bitwiseOR(F.shiftrightunsigned("fp", 16 * i)), 16).alias("rest"),
-        )
-        for i in range(4)
-    ]))
-    first = distinct.select("fp", block.alias("b")).select("fp", "b.key", "b.rest")
-    # at most 4 * 65536 keys exist, whatever the input: small enough to broadcast at any size
-    hot = first.groupBy("key").count().where(F.col("count") > split).select("key", F.lit(True).alias("hot"))
-    marked = first.join(F.broadcast(hot), "key", "left")
-    finer = F.array(*[
-        (F.col("key") + F.lit(262144) * (F.lit(1 + 4096 * j) + F.shiftrightunsigned("rest", 12 * j).bitwiseAND(0xFFF))).cast("bigint")
-        for j in range(4)
-    ])
-    shards = marked.select(F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key"))).alias("key"), "fp")
-    dealt = shards.select("key", F.col("fp").alias("node"), "fp").repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_link_shards(radius, 1), "u bigint, v bigint")
+    spark, reach = distinct.sparkSession, radius // 2
+    n = distinct.count()
+    drawn = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
+    sample = np.array([r.fp for r in drawn.limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)  # SAMPLE on the average
+    sample.sort()
+    leaf = max(8, shard * len(sample) // max(n, 1))
+    trees = [Tree(h, leaf, reach) for h in (sample & np.uint64(0xFFFFFFFF), sample >> np.uint64(32))]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for side, tree in enumerate(trees):
+                for at, leaf, home in tree.shards(fp >> np.uint64(32) if side else fp & np.uint64(0xFFFFFFFF)):
+                    yield pa.record_batch({"key": pa.array(leaf * 2 + side), "home": pa.array(np.full(len(at), int(home))), "fp": pa.array(fp[at].view(np.int64))})
+
+    rows = distinct.select("fp").mapInArrow(deal, "key bigint, home bigint, fp bigint")
+    # a row per shard, of which there are at most SAMPLE / 4
+    sizes = {r.key: r.n for r in rows.where("home = 1").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > full).collect()}
+    if sizes:
+        # all pairs of parts of such a shard are compared, each in a task of its own; parts are drawn by a hash
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, c in sizes.items() for x in (k, -(-c // full))]), F.col("key")), F.lit(1))
+        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        pair = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("pair"), F.col("home").alias("role")))).when(
+            F.col("home") == 1,
+            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(
+                (F.least(F.col("own"), j) * F.col("parts") + F.greatest(F.col("own"), j)).cast("int").alias("pair"),
+                F.when(F.col("own") <= j, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("role"),
+            )),
+        ).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct((j * F.col("parts") + j).cast("int").alias("pair"), F.lit(0).cast("bigint").alias("role"))))
+        split = rows.withColumn("parts", parts).withColumn("own", own).select("key", "fp", F.explode(pair).alias("p"))
+        rows = split.select((F.shiftleft(F.col("p.pair").cast("bigint"), 20) * 2 + F.col("key")).alias("key"), F.col("p.role").alias("home"), "fp")
+    dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(_link_shards(radius, reach), "u bigint, v bigint")
 
 
 def near_groups(fps: DataFrame, radius: int = 3) -> DataFrame:
@@ -205,68 +284,250 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFram
     return near_groups(fps, radius).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: For near_duplicates: tables, bits of a table's first and second keys, fingerprints in a shard before it is split.
-TABLES, BITS, FULL = 32, 16, 4096
-LIMIT = 42
+# ---- near duplicates by similarity
+
+#: Bits by which candidates may differ (of 256; a similarity of 0.8 gives 39, give or take 6), least bits of a table's
+#: key, part of the pairs of similarity 0.8 that meet in no table, rows of a key that are compared in one task.
+LIMIT, BITS, MISSED, GROUP = 54, 16, 0.03, 4096
+#: Rows of a key up to which keys are compared many at once; rows of a table that may be broadcast.
+SMALL, FEW = 32, 1_000_000
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, text) -> (doc_id, f0, f1, f2, f3): 256 bits over shingles of k words, from four mixes of their hashes."""
+    """(doc_id, text) -> (doc_id, node, f0, f1, f2, f3): 256 bits over the set of shingles of k words, from four mixes of
+    their hashes, and a hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(t.as_py(), k) for t in b.column(1)]
-            words = {f"f{i}": pa.array(np.array([fingerprint(mix(h + np.uint64(i))) for h in hashes], np.uint64).view(np.int64)) for i in range(4)}
-            yield pa.record_batch({"doc_id": b.column(0), **words})
+            sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in b.column(1)]
+            words = {f"f{i}": pa.array(np.array([fingerprint(mix(h + np.uint64(i))) for h in sets], np.uint64).view(np.int64)) for i in range(4)}
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            yield pa.record_batch({"doc_id": b.column(0), "node": pa.array(node), **words})
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+
+
+def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(text) -> (node, shingles): the sorted set of shingle hashes and its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in b.column(0)]
+            node = np.array([xxhash.xxh64_intdigest(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.record_batch({"node": pa.array(node), "shingles": pa.array(sets, pa.binary())})
+
+    return docs.select("text").mapInArrow(run, "node bigint, shingles binary")
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+def layout(n: int, similarity: float = 0.8, missed: float = MISSED) -> tuple[int, int]:
+    """(bits of a key, number of tables) for n fingerprints: keys hold a few hundred rows, and but for ``missed`` of them
+    all pairs of that similarity that differ in at most ``LIMIT`` bits are expected to share a key, at any size."""
+    bits = max(BITS, math.ceil(math.log2(max(n, 2))) - 8)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    weight = [math.comb(256, d) * p**d * (1 - p) ** (256 - d) for d in range(LIMIT + 1)]
+    share = [math.comb(256 - d, bits) / math.comb(256, bits) for d in range(LIMIT + 1)]
+    tables = 1
+    while sum(w * (1 - s) ** tables for w, s in zip(weight, share, strict=True)) > missed * sum(weight):
+        tables += max(1, tables // 32)
+    return bits, tables
 
 
-def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each table: the table's number over the bits it draws, and the bits that split it if it is full."""
+def _table_keys(bits: int, tables: int):
+    """(node, comp, words) -> a row per table, keyed by the table's number over the bits that it draws."""
     rng = np.random.default_rng(7)
-    drawn = [rng.choice(256, 2 * BITS, replace=False) for _ in range(TABLES)]
-    for b in batches:
-        words = np.column_stack([b.column(1 + i).to_numpy() for i in range(4)]).view(np.uint64)
-        bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-        for t, d in enumerate(drawn):
-            key, more = (np.ascontiguousarray(np.packbits(bits[:, part], axis=1, bitorder="little")).view("<u2")[:, 0].astype(np.int64) for part in (d[:BITS], d[BITS:]))
-            yield pa.record_batch([pa.array(key + (t << BITS)), pa.array(more), *b.columns], names=["key", "more", *b.schema.names])
+    drawn = [rng.choice(256, bits, replace=False) for _ in range(tables)]
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)]).view(np.uint64)
+            set_ = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for t, d in enumerate(drawn):
+                yield pa.record_batch([pa.array(set_[:, d] @ weights + (t << bits)), *b.columns], names=["key", *b.schema.names])
+
+    return run
+
+
+def _candidates(limit: int, most: int):
+    """Rows (key, part, node, comp, words) sorted by key and part -> (u, v, place): pairs within ``limit`` of different comps.
+
+    Of a key come the pairs of a least spanning forest by distance, and for each row up to ``most`` nearest ones. A row
+    (null, null, key) tells that the key has more. Rows of part -1 - p are compared with those of part p.
+    """
+
+    def pairs(f: np.ndarray, comp: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = []
+        for i in range(0, len(f), 256):
+            d = _apart(f[i : i + 256, None], f[None, i + 1 :]) if i + 1 < len(f) else np.empty((0, 0))
+            x, y = np.nonzero(d <= limit)
+            ok = y >= x  # columns start one behind the block's first row
+            x, y = x[ok], y[ok]
+            out.append((x + i, y + i + 1, d[x, y]))
+        a, b, d = (np.concatenate(z).astype(np.int64) for z in zip(*out, strict=True))
+        ok = comp[a] != comp[b]
+        if apart is not None:
+            ok &= apart[a] != apart[b]
+        return a[ok], b[ok], d[ok]
+
+    def pick(nodes: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, bool]:
+        order = np.lexsort((nodes[b], nodes[a], d))
+        a, b = a[order], b[order]
+        place = np.unique(comp, return_inverse=True)[1]
+        keep = np.zeros(len(a), bool)
+        keep[Roots(int(place.max()) + 1).forest(place[a], place[b])] = True
+        if most:
+            for side in (a, b):
+                o = np.argsort(side, kind="stable")
+                first = np.searchsorted(side[o], side[o])
+                keep[o[np.arange(len(o)) - first < most]] = True
+        return order[keep], not keep.all()
+
+    def small(key: np.ndarray, part: np.ndarray, comp: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of all keys of up to SMALL rows, each row compared with the next ones of its key, at once."""
+        out = [(np.empty(0, np.int64),) * 3]
+        for step in range(1, SMALL):
+            same = np.flatnonzero(key[step:] == key[:-step])
+            if not len(same):
+                break
+            other = same + step
+            ok = (comp[same] != comp[other]) & ((part[same] >= 0) | (part[same] != part[other]))
+            same, other = same[ok], other[ok]
+            d = _apart(f[same], f[other])
+            hit = d <= limit
+            out.append((same[hit], other[hit], d[hit]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, part, nodes, comp, f = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4:].view(np.uint64)
+        us, vs, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+
+        def send(at: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+            kept, rest = pick(nodes[at], comp[at], a, b, d)
+            us.append(nodes[at][a[kept]])
+            vs.append(nodes[at][b[kept]])
+            if rest:
+                more.append(int(key[at[0]]))
+
+        spans = np.array(_spans(key))
+        size = spans[:, 1] - spans[:, 0]
+        at = np.flatnonzero(np.repeat(size <= SMALL, size))
+        a, b, d = small(key[at], part[at], comp[at], f[at])
+        a, b = at[a], at[b]
+        order = np.argsort(key[a], kind="stable")
+        a, b, d = a[order], b[order], d[order]
+        for s, e in _spans(key[a]) if len(a) else ():
+            if e - s == 1:
+                us.append(nodes[a[s:e]])
+                vs.append(nodes[b[s:e]])
+            else:
+                of_key = np.unique(np.concatenate((a[s:e], b[s:e])))
+                send(of_key, np.searchsorted(of_key, a[s:e]), np.searchsorted(of_key, b[s:e]), d[s:e])
+        for s, e in spans[size > SMALL].tolist():
+            a, b, d = pairs(f[s:e], comp[s:e], part[s:e] if part[s:e].min() < 0 else None)
+            if len(a):
+                send(np.arange(s, e), a, b, d)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if len(u):
+            yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "place": pa.nulls(len(u), pa.int64())})
+        if more:
+            yield pa.record_batch({"u": pa.nulls(len(more), pa.int64()), "v": pa.nulls(len(more), pa.int64()), "place": pa.array(more, pa.int64())})
+
+    return by_key(8, work)
+
+
+def _similar(similarity: float):
+    """(u, v, shingles of both) -> (u, v) of the pairs whose sets have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+WIDE = "node bigint, comp bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
 
-def near_duplicates(docs: DataFrame, k: int = 5, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, text) -> (doc_id, group_id): the smallest doc_id that links reach, for every row with a doc_id.
 
-    Texts are linked if their fingerprints differ in at most ``limit`` of 256 bits: sets of shingles with a Jaccard
-    similarity s differ in about 256 * acos(2s / (1 + s)) / pi of them, 39 for 0.8, give or take 6. Pairs are sought in
-    ``TABLES`` tables of shards, which finds nine in ten pairs of similarity 0.8 and nearly all from 0.85. Null and empty
-    texts, and texts of white space, are never linked to others, nor to each other.
+def similar_links(docs: DataFrame, nodes: DataFrame, k: int, similarity: float = 0.8) -> DataFrame:
+    """(u, v): links between ``nodes`` (node, first, words of the fingerprint) whose components are those of all candidates
+    whose sets of shingles have the similarity.
+
+    Keys send a spanning forest of their candidates first; once those are checked, keys with further candidates between
+    parts not yet joined send more for each row, four times as many each round, until none is left unchecked.
     """
     spark = docs.sparkSession
+    bits, tables = layout(nodes.count(), similarity)
+    names = ["node", "comp", "f0", "f1", "f2", "f3"]
+    tested = good = None
+    rows, most = nodes.withColumn("comp", F.col("node")), 0
+    while True:
+        first = rows.select(*names).mapInArrow(_table_keys(bits, tables), "key bigint, " + WIDE)
+        # a key of very many rows is compared part by part, each pair of parts in a place of its own
+        wide = cut(first.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1"))
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        both = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))).otherwise(
+            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, own).otherwise(-1 - own).alias("part")))
+        )
+        parted = first.join(F.broadcast(wide) if wide.count() <= FEW else wide, "key", "left").withColumn("p", F.explode(both))
+        placed = parted.select(F.xxhash64("key", "p.i", "p.j").alias("place"), F.col("p.part").cast("bigint").alias("part"), *names)
+        dealt = placed.repartition(partitions(spark), "place").sortWithinPartitions("place", "part", "node")
+        found = cut(dealt.mapInArrow(_candidates(LIMIT, most), "u bigint, v bigint, place bigint"))
+        pairs = found.where("u IS NOT NULL").select("u", "v").distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = cut(shingle_sets(texts, k).join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+        one = salted_join(pairs, sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u", "v")
+        two = salted_join(one, sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v", "u")
+        new = cut(two.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u bigint, v bigint"))
+        good = new if good is None else good.unionByName(new)
+        left = found.where("u IS NULL").select("place").distinct()
+        if left.isEmpty():
+            return good
+        most = max(4, 4 * most)
+        comp = connected_components(good)
+        again = placed.join(left, "place", "left_semi").select("node").distinct()
+        rows = cut(nodes.join(again, "node", "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text) -> (doc_id, group_id): the smallest doc_id that links reach, for every row with a doc_id.
+
+    Texts are linked if their sets of shingles of k words have at least that Jaccard similarity; a text of fewer words is
+    one shingle. Every link is checked against the sets. Candidates share a key in a table of drawn bits and differ in at
+    most ``LIMIT`` bits, which finds over 95 in 100 pairs of similarity 0.8 and nearly all from 0.85, at any size. Null
+    and empty texts, and texts of white space, are never linked to others, nor to each other.
+    """
     own = docs.where("doc_id IS NOT NULL")
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     fps = cut(wide_fingerprints(own.where(worded), k))
     names = ["f0", "f1", "f2", "f3"]
-    nodes = cut(fps.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    first = nodes.select("node", *names).mapInArrow(_table_keys, "key bigint, more bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
-    # at most TABLES * 2**BITS keys exist, whatever the input
-    full = first.groupBy("key").count().where(F.col("count") > FULL).select("key", F.lit(True).alias("full"))
-    split = first.join(F.broadcast(full), "key", "left").withColumn("key", F.when(F.col("full"), F.col("key") + F.shiftleft(F.col("more") + 1, 24)).otherwise(F.col("key")))
-    dealt = split.select("key", "node", *names).repartition(partitions(spark), "key").sortWithinPartitions("key")
-    comp = connected_components(dealt.mapInArrow(_link_shards(limit, 4), "u bigint, v bigint"))
-    named = nodes.join(comp, "node", "left").select(*names, F.coalesce("root", "node").alias("group_id"))
-    grouped = fps.join(named, names).select("doc_id", "group_id")
+    nodes = cut(fps.groupBy("node", *names).agg(F.min("doc_id").alias("first")))
+    comp = connected_components(similar_links(own.where(worded), nodes, k, similarity))
+    rooted = nodes.join(comp, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    low = rooted.where("root <> node").select("root").distinct()
+    least = rooted.join(low, "root", "left_semi").groupBy("root").agg(F.min("first").alias("low"))
+    named = rooted.join(least, "root", "left").select("node", F.coalesce("low", "first").alias("group_id"))
+    grouped = fps.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
     return grouped.unionByName(own.where(~worded).select(F.col("doc_id").cast("bigint"), F.col("doc_id").cast("bigint").alias("group_id")))
 
 
-def keep_first(docs: DataFrame, k: int = 5, limit: int = LIMIT) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near duplicates the smallest doc_id, once. Columns are kept.
 
-    Rows without a doc_id stay. Of rows that share a doc_id one stays, the one whose text has the least hash.
+    Rows without a doc_id stay. Of rows that share a doc_id one stays, the one whose text has the least hash. An empty
+    table stays empty.
     """
-    groups = near_duplicates(docs, k, limit)
-    low = groups.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.min("group_id").alias("__group_id")).where("__doc_id = __group_id").select("__doc_id")
-    kept = docs.join(low, docs["doc_id"] == F.col("__doc_id"), "left_semi")
+    key, many, place = fresh(docs, "key", "many", "place")
+    groups = near_duplicates(docs, k, similarity)
+    low = groups.groupBy("doc_id").agg(F.min("group_id").alias("group_id"), (F.count("*") > 1).alias(many)).where("doc_id = group_id")
+    kept = docs.join(low.select(F.col("doc_id").alias(key), many), docs["doc_id"] == F.col(key)).drop(key)
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__place", F.row_number().over(one)).where("__place = 1").drop("__place")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    several = kept.where(many).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place, many)
+    return kept.where(~F.col(many)).drop(many).unionByName(several).unionByName(docs.where("doc_id IS NULL"))

@@ -91,15 +91,74 @@ def test_simhash_components(docs):
     assert got == {i: (f"{fps[i]:016x}", find(i)) for i in keys}
 
 
-def test_vantage_trees_find_every_pair():
+def close_fingerprints(n: int) -> np.ndarray:
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    fps = np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) for _ in range(6)]])[:, None]
-    found = set()
-    simhash.vp_join(fps, 3, lambda a, b: found.update((min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x != y))
-    d = np.bitwise_count(fps ^ fps.T)
+    base = rng.integers(0, 2**63, n, dtype=np.uint64)
+    return np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)) for _ in range(6)]]))
+
+
+def test_vantage_trees_find_every_pair():
+    fps = close_fingerprints(300)
+    d = np.bitwise_count(fps[:, None] ^ fps)
     want = {(i, j) for i, j in zip(*np.nonzero(d <= 3), strict=True) if i < j}
-    assert want <= found
+    found, met = set(), set()
+    for half in (fps >> np.uint64(32), fps & np.uint64(0xFFFFFFFF)):
+        simhash.vp_join(half, 1, fps, 3, lambda a, b: found.update((min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x != y))
+        tree, shards, at_home = simhash.Tree(half[::3], 16, 1), defaultdict(list), np.zeros(len(fps), int)
+        for at, leaf, home in tree.shards(half):
+            at_home[at] += home
+            for i, s in zip(at.tolist(), leaf.tolist(), strict=True):
+                shards[s].append((i, home))
+        assert (at_home == 1).all() and len(shards) > 20
+        met |= {(min(i, j), max(i, j)) for rows in shards.values() for i, home in rows if home for j, _ in rows}
+    assert found == want and want <= met
+
+
+def test_shards_compared_in_parts_find_the_same_links(spark):
+    fps = close_fingerprints(400).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(fps)], "doc_id long, fp long")
+    groups = []
+    for shard, full in ((4096, 16_384), (64, 16_384), (4096, 100)):
+        comp = {r.node: r.root for r in simhash.connected_components(simhash.links(df.select("fp"), 3, shard, full)).collect()}
+        groups.append({frozenset(x for x in fps if comp.get(x, x) == r) for r in set(comp.values())})
+    assert groups[0] == groups[1] == groups[2] and len(groups[0]) > 100
+
+
+def jaccard(a: str, b: str, k: int = 5) -> float:
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 8])
+def test_near_duplicates_recall(spark, monkeypatch, group):
+    """Pairs of similarity 0.8 to 0.85 and a family of many near copies, against all pairs; keys are split when full."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(11)
+    texts: list[str] = []
+    for n in [300] * 120 + [90] * 80:
+        t = [f"w{x}" for x in rng.integers(0, 100_000, n)]
+        for most in (int((n - 4) / 9 / 5), int((n - 4) / 5)):  # similar enough, and not quite
+            u = t.copy()
+            for p in np.linspace(3, n - 8, most).astype(int):
+                u[p] = f"x{rng.integers(1e9)}"
+            texts += [" ".join(t), " ".join(u)]
+            t = [f"v{x}" for x in rng.integers(0, 100_000, n)]
+    base = [f"z{x}" for x in rng.integers(0, 100_000, 200)]
+    for _ in range(60):  # each is like the first, most are not like each other
+        u = base.copy()
+        for p in rng.choice(np.arange(5, 195, 5), 4, replace=False):
+            u[p] = f"y{rng.integers(1e9)}"
+        texts.append(" ".join(u))
+    texts.append(" ".join(base))
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hits = []
+    for i in range(0, len(texts) - 61, 2):
+        together, alike = got[i] == got[i + 1], jaccard(texts[i], texts[i + 1]) >= 0.8
+        assert alike or not together
+        hits += [together] * alike
+    assert len(hits) == 200 and np.mean(hits) >= 0.9
+    family = [got[i] for i in range(len(texts) - 61, len(texts))]
+    assert np.mean([g == family[-1] for g in family]) >= 0.9
 
 
 def test_near_duplicates_keep_one(spark):
