@@ -170,17 +170,61 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8, 9]
 
 
+def edited(words: list[str], places, rng) -> list[str]:
+    out = words.copy()
+    for i in places:
+        out[i] = f"e{rng.integers(1e9)}"
+    return out
+
+
 def test_passages_with_edits(spark):
+    """Evenly edited passages of 100 words with a similarity of 0.81 and more; nothing else is told."""
     rng = np.random.default_rng(3)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
-    shared = word(120)
-    changed = shared.copy()
-    for i in (20, 55, 90):
-        changed[i] = "changed"
-    rows = [(1, " ".join(word(80) + shared + word(60))), (2, " ".join(word(30) + changed + word(90))), (3, " ".join(word(300))), (4, None), (None, "x")]
+    rows, want = [(10_001, None), (10_002, " ".join(word(300))), (None, "x")], {}
+    for i, n in enumerate([0, 3, 5, 10, 15, 19] * 12):
+        shared = word(100)
+        rows.append((2 * i, " ".join(word(80) + shared + word(60))))
+        rows.append((2 * i + 1, " ".join(word(30) + edited(shared, np.linspace(1, 98, n).astype(int), rng) + word(90))))
+        want[2 * i + 1] = n
     out = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.src_id) for r in out] == [(2, 1)]
-    assert abs(out[0].start - 30) <= 3 and abs(out[0].end - 150) <= 3 and out[0].similarity > 0.9
+    assert all(r.src_id == r.doc_id - 1 and r.doc_id in want for r in out)
+    hits = defaultdict(list)
+    for d, n in want.items():
+        hits[n].append(any(r.doc_id == d for r in out))
+    assert all(np.mean(h) >= 0.9 for h in hits.values()), hits
+    for r in out:
+        if want[r.doc_id] <= 5:
+            assert abs(r.start - 30) <= 3 and abs(r.end - 130) <= 3 and abs(r.similarity - (1 - want[r.doc_id] / 100)) < 0.03
+
+
+def test_passages_among_common_phrases(spark):
+    """Two documents share a passage whose every phrase stands in earlier documents; passages return in one document."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    shared, twice = word(60), word(70)
+    texts = [word(20) + shared[i : i + 12] + word(20) for i in range(0, 60, 6) for _ in range(12)]  # phrases with over FEW places
+    n = len(texts)
+    texts += [word(40) + shared + word(40), word(25) + shared + word(25), word(30) + twice + word(80) + twice + word(10), word(90)]
+    texts += [texts[-1], word(60) + texts[-1][:55] + word(20)]
+    got = chaining.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    pairs = {(r.doc_id, r.src_id) for r in got}
+    assert pairs == {(n + 1, n), (n + 2, n + 2), (n + 4, n + 3), (n + 5, n + 3)}
+    own = next(r for r in got if r.doc_id == n + 2)
+    assert abs(own.start - 180) <= 2 and abs(own.src_start - 30) <= 2
+    assert next(r for r in got if r.doc_id == n + 4)[1:] == (0, 90, n + 3, 0, 90, 1.0)
+
+
+def test_alignment_is_the_least_edit_distance():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = (rng.integers(0, 3, rng.integers(0, 12)).astype(np.uint64) for _ in range(2))
+        d = np.arange(len(b) + 1)[None].repeat(len(a) + 1, 0) + np.arange(len(a) + 1)[:, None]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        for most in (0, 2, 30):
+            assert chaining.edits(a, b, most) == min(d[-1, -1], most + 1)
 
 
 def test_packing(spark, sf, docs):
