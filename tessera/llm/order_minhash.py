@@ -1,12 +1,12 @@
 """Order MinHash document fingerprints, in DataFrame operations only.
 
 A text is a sequence of words; its k-mers are pairs of neighbouring words (the last word pairs with the end), each with
-the number of its occurrence, so that repeats count. For each of ``SKETCHES`` hash orders, k-mers are halved by one hash
-bit and the minimal one of each half is selected; the two keep the order they have in the text, and the ordered pair is
-hashed. Two texts share a value about as often as they share k-mers in the same order, which follows edit distance
-more closely than sets of k-mers do.
+the number of its occurrence, so that repeats count. One hash order keeps the ``KEPT`` minimal k-mers of a text. Each of
+``SKETCHES`` further orders selects the ``TUPLE`` minimal ones of these; they keep the order they have in the text, and the
+ordered tuple is hashed. Two texts share a value about as often as they share k-mers in the same order, which follows edit
+distance more closely than sets of k-mers do.
 
-Minima are combined in the task that holds the text: the one shuffle of the plan brings each document to its neighbour.
+All this happens in the row of the text: the one shuffle of the plan brings each document to its neighbour.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql.window import Window
 
 from .common import partitions
 
-SKETCHES = 32
-#: Bits of a packed value that hold a place in the text; later places count as the last.
-PLACE = (1 << 24) - 1
+SKETCHES, TUPLE, KEPT = 32, 2, 64
+#: Bits of a packed value that hold a place in the text: no string of Spark's has more words than that.
+SHIFT = 30
+PLACE = (1 << SHIFT) - 1
 BLANK = r"[\x20\x09-\x0D]+"
 FIRST = -(2**63)
 
@@ -40,9 +41,9 @@ def _hashes(text: Column) -> Column:
 
 
 def _packed(h: Column) -> Column:
-    """k-mers as sorted numbers, 40 bits of hash above 24 bits of place."""
-    pairs = F.zip_with(h, F.slice(h, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
-    return F.sort_array(F.transform(pairs, lambda x, i: x.bitwiseAND(~PLACE).bitwiseOR(F.least(i, F.lit(PLACE)).cast("bigint"))))
+    """k-mers as sorted numbers, 34 bits of hash above 30 bits of place."""
+    pairs = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))
+    return F.sort_array(F.transform(pairs, lambda x, i: x.bitwiseAND(~PLACE).bitwiseOR(i.cast("bigint"))))
 
 
 def _numbered(s: Column) -> Column:
@@ -85,33 +86,29 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of keys and ``text`` -> keys and ``sketch`` (array of ints); rows of equal keys must hold equal texts."""
+    """Rows of keys and ``text`` -> keys and ``sketch`` (array of bigints), a row per row."""
     # the generators keep each array from being computed again for each of its elements
     hashed = rows.select(*keys, F.explode(F.array(_hashes(F.col("text")))).alias("h"))
     packed = hashed.select(*keys, F.explode(F.array(_packed(F.col("h")))).alias("s"))
-    kmers = packed.select(*keys, F.explode(_numbered(F.col("s"))).alias("v"))
-    base, place = F.col("v").bitwiseAND(~PLACE), F.col("v").bitwiseAND(PLACE)
-    mixed = kmers.select(*keys, F.shiftrightunsigned("v", 24).bitwiseAND(1).alias("half"), place.alias("place_"), base.alias("base"))
-    low32 = (1 << 32) - 1
-    minima = []
-    for j in range(SKETCHES):
-        h = F.xxhash64("base", F.lit(j // 2))
-        h = F.shiftrightunsigned(h, 32) if j % 2 else h.bitwiseAND(low32)
-        minima.append(F.min(F.shiftleft(h, 24).bitwiseOR(F.col("place_"))).alias(f"m{j}"))
-    halves = mixed.groupBy(*keys, "half").agg(*minima)
-    both = halves.groupBy(*keys).agg(*[F.min(F.when(F.col("half") == b, F.col(f"m{j}"))).alias(f"m{j}_{b}") for j in range(SKETCHES) for b in (0, 1)])
-    values = []
-    for j in range(SKETCHES):
-        a, b = F.coalesce(f"m{j}_0", F.lit(-1)), F.coalesce(f"m{j}_1", F.lit(-1))
-        in_order = a.bitwiseAND(PLACE) <= b.bitwiseAND(PLACE)
-        x, y = F.shiftright(a, 24), F.shiftright(b, 24)
-        values.append(F.when(in_order, F.xxhash64(x, y)).otherwise(F.xxhash64(y, x, F.lit(1))).bitwiseAND(low32))
-    return both.select(*keys, F.array(*values).alias("sketch"))
+    # an order over all k-mers: numbered hashes, the least first
+    kept = packed.select(*keys, F.explode(F.array(F.slice(F.sort_array(_numbered(F.col("s"))), 1, KEPT))).alias("v"))
+
+    def value(j: int) -> Column:
+        order = F.transform("v", lambda x: F.xxhash64(F.shiftright(x, SHIFT), F.lit(j)).bitwiseAND(~PLACE).bitwiseOR(x.bitwiseAND(PLACE)))
+        least = F.slice(F.sort_array(order), 1, TUPLE)
+        # the place goes on top to bring the tuple into the order of the text, then only hashes count
+        turned = F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(PLACE), 64 - SHIFT).bitwiseOR(F.shiftrightunsigned(x, SHIFT))))
+        return F.xxhash64(F.transform(turned, lambda x: x.bitwiseAND((1 << (64 - SHIFT)) - 1))).bitwiseAND((1 << 32) - 1)
+
+    return kept.select(*keys, F.array(*[value(j) for j in range(SKETCHES)]).alias("sketch"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Part of the sketch values that are equal."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(SKETCHES))
+    """An estimate of the part of k-mers that two texts have in common and in order, from 0 to 1.
+
+    A value is equal if all ``TUPLE`` k-mers of its tuple are, so the root of that degree is taken of the part of equal values.
+    """
+    return F.pow(F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(SKETCHES)), F.lit(1.0 / TUPLE))
 
 
 def written(sketch: Column) -> Column:

@@ -64,6 +64,42 @@ def test_fingerprints_see_order(spark):
     assert (s[0] == s[1]).mean() > 0.8 > (s[0] == s[2]).mean() + 0.1
 
 
+def brute_sketch(hashes: list[int], xx) -> list[int]:
+    """The order MinHash of a text from the hashes of its words and the end: plain sorting, no bit tricks."""
+    seen: dict[int, int] = defaultdict(int)
+    numbered = []
+    pairs = [(xx(a, b) & ~order_minhash.PLACE, i) for i, (a, b) in enumerate(zip(hashes, hashes[1:], strict=False))]
+    for h, i in pairs:
+        numbered.append((xx(h, np.int32(seen[h])) & ~order_minhash.PLACE, i))
+        seen[h] += 1
+    kept = sorted(numbered)[: order_minhash.KEPT]
+    out = []
+    for j in range(order_minhash.SKETCHES):
+        least = sorted((xx(h >> order_minhash.SHIFT, np.int32(j)) & ~order_minhash.PLACE, i) for h, i in kept)[: order_minhash.TUPLE]
+        out.append([h >> order_minhash.SHIFT & (1 << 34) - 1 for h, _ in sorted(least, key=lambda x: x[1])])
+    return out
+
+
+def test_sketches_equal_brute_force(spark):
+    """Tuples of minimal numbered k-mers in text order, by plain sorting in Python over the same hash function."""
+    rng = np.random.default_rng(9)
+    texts = ["", "one", "a a a a a a", " ".join(f"w{x}" for x in rng.integers(0, 3, 12))]
+    known: dict[tuple, int] = {}
+
+    def xx(*args):
+        """Spark's own hash of numbers, asked for one at a time but kept."""
+        if args not in known:
+            known[args] = spark.range(1).select(F.xxhash64(*[F.lit(int(a)).cast("int" if isinstance(a, np.int32) else "bigint") for a in args])).first()[0]
+        return known[args]
+
+    for t in texts:
+        hashes = [r[0] for r in spark.createDataFrame([(w,) for w in [*t.split(), ""]], "w string").select(F.xxhash64("w")).collect()]
+        tuples = brute_sketch(hashes, xx)
+        values = spark.createDataFrame([(v,) for v in tuples], "v array<long>").select(F.xxhash64("v").bitwiseAND((1 << 32) - 1)).collect()
+        got = order_minhash.sketches(spark.createDataFrame([(1, t)], "k int, text string"), ["k"]).first().sketch
+        assert got == [r[0] for r in values]
+
+
 def brute_fingerprint(text: str | None) -> int:
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
