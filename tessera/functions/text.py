@@ -22,8 +22,12 @@ def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def compose(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` with ``column`` in Unicode's composed form (NFC). Null stays null. Other columns are kept."""
-    return docs.withColumn(column, _nfc(column))
+    """``docs`` with ``column`` in Unicode's composed form (NFC). Null stays null. Other columns are kept.
+
+    ASCII texts are composed as they are, so only the others leave the JVM.
+    """
+    other = F.when(F.octet_length(column) > F.char_length(column), F.col(column))
+    return docs.withColumn(column, F.coalesce(_nfc(other), F.col(column)))
 
 
 def canonical_layout(text: Column) -> Column:
@@ -43,27 +47,24 @@ def words(text: Column) -> Column:
 
 
 def cut_windows(text: str, size: int = 1500, overlap: int = 150) -> list[str]:
-    """Windows of at most ``size`` characters, stripped; one ends at its last line feed if that is past its middle.
+    """Windows of at most ``size`` characters, stripped; one ends behind its last line feed if that is past its middle.
 
-    The next window starts ``overlap`` characters before the end. Texts no longer than ``size`` are one window, and
-    those of white space only have none.
+    The next window starts ``overlap`` characters before the end. Texts of white space only have none, and windows of
+    white space are left out.
     """
     if size <= overlap or overlap < 0:
         raise ValueError("the overlap must be smaller than the window")
-    text = text.strip()
-    if not text:
-        return []
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
+    out, start, n = [], 0, len(text)
+    if not text.strip():
+        return out
+    while start < n:
+        end = min(start + size, n)
+        if end < n:
             feed = text.rfind("\n", start, end)
-            if feed > start + size // 2:
-                end = feed
-        part = text[start:end].strip()
-        if part:
+            end = feed + 1 if feed > start + size // 2 else end
+        if part := text[start:end].strip():
             out.append(part)
-        if end == len(text):
+        if end == n:
             break
         start = max(end - overlap, start + 1)
     return out
@@ -81,17 +82,16 @@ def char_chunks(docs: DataFrame, size: int = 1500, overlap: int = 150) -> DataFr
 
 #: File extensions and the names of their languages.
 LANGUAGES = {
-    "bat": "batch", "c": "c", "cc": "cpp", "cmake": "cmake", "conf": "config", "cpp": "cpp", "cs": "csharp", "css": "css",
-    "cxx": "cpp", "go": "go", "gradle": "gradle", "groovy": "groovy", "h": "cpp", "hh": "cpp", "hpp": "cpp", "htm": "html",
-    "html": "html", "hxx": "cpp", "ini": "ini", "java": "java", "js": "javascript", "json": "json", "kt": "kotlin",
-    "kts": "kotlin", "md": "markdown", "properties": "properties", "proto": "protobuf", "ps1": "powershell", "py": "python",
-    "rs": "rust", "rst": "restructuredtext", "sh": "shell", "sql": "sql", "toml": "toml", "ts": "typescript", "tsx": "typescript",
-    "txt": "text", "xml": "xml", "yaml": "yaml", "yml": "yaml",
+    "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "h": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "inl": "cpp", "java": "java",
+    "kt": "kotlin", "kts": "kotlin", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go",
+    "rs": "rust", "cs": "csharp", "php": "php", "py": "python", "pyw": "python", "sh": "shell", "bash": "shell", "zsh": "shell",
+    "fish": "shell", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "ini", "cfg": "ini", "conf": "ini", "mk": "make",
+    "make": "make", "gradle": "gradle", "sql": "sql", "xml": "xml", "xsd": "xml", "xsl": "xml", "xslt": "xml", "svg": "xml",
 }
 
 
 def language_of(path: Column) -> Column:
     """The language of a file by its extension; ``unknown`` for the others."""
-    extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    extension = F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
     known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return F.coalesce(F.try_element_at(known, extension), F.lit("unknown"))

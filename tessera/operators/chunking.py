@@ -7,8 +7,11 @@ gives spans; without one, words and single signs count.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,18 +25,20 @@ HEADING = re.compile(r"(#{1,3})\s+(.*\S)\s*$")
 FENCE = re.compile(r"\s*(`{3,})(.*)$")
 RULE = re.compile(r"\|(\s*-{3,}\s*\|)+\s*$")
 SENTENCE = re.compile(r"[.!?。！？](?:\s+|$)")
+BREAKS = (re.compile(r"\n{2,}"), SENTENCE, re.compile(r"\n"))
 CRUMB = " › "
 
 
 @dataclass(frozen=True)
 class Budget:
-    """Tokens of a chunk: aimed at, allowed, repeated from the one before; lines of a code chunk, repeated ones."""
+    """Tokens of a chunk: aimed at, allowed, repeated from the one before, too few; lines of a code chunk, repeated ones."""
 
     target: int = 450
     hard: int = 1000
     overlap: int = 64
     lines: int = 40
     repeat: int = 4
+    least: int = 96
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -84,102 +89,181 @@ def blocks(text: str) -> list[tuple[list[str], str, list[str]]]:
     return out
 
 
-def _pieces(text: str, budget: int, spans: Spans) -> Iterator[str]:
-    """Parts of the text that fit the budget: paragraphs, else sentences, else lines, else runs of tokens. Nothing is lost."""
-    for pattern in (re.compile(r"\n{2,}"), SENTENCE, re.compile(r"\n")):
-        if len(spans(text)) <= budget:
-            yield text
-            return
-        ends = [m.end() for m in pattern.finditer(text) if m.end() < len(text)]
-        if ends:
-            for a, b in zip([0, *ends], [*ends, len(text)], strict=True):
-                yield from _pieces(text[a:b], budget, spans)
+class Counted:
+    """A text whose tokens are found once; how many start between two places is a search in their starts."""
+
+    def __init__(self, text: str, spans: Spans):
+        self.text = text
+        self.starts = [a for a, _ in spans(text)]
+
+    def tokens(self, a: int, b: int) -> int:
+        return bisect_left(self.starts, b) - bisect_left(self.starts, a)
+
+    def pieces(self, a: int, b: int, most: int, level: int = 0) -> Iterator[tuple[int, int]]:
+        """Parts that fit ``most`` tokens: paragraphs, else sentences, else lines, else runs of tokens. Nothing is lost."""
+        if self.tokens(a, b) <= most:
+            yield a, b
             return
-    at = spans(text)
-    cuts = [0, *[at[i][0] for i in range(budget, len(at), budget)], len(text)]
-    yield from (text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        for i, pattern in enumerate(BREAKS[level:], level):
+            ends = [m.end() for m in pattern.finditer(self.text, a, b) if a < m.end() < b]
+            if ends:
+                for x, y in pairwise([a, *ends, b]):
+                    yield from self.pieces(x, y, most, i + 1)
+                return
+        first = bisect_left(self.starts, a)
+        yield from pairwise([a, *(self.starts[i] for i in range(first + most, bisect_left(self.starts, b), most)), b])
 
 
 def split_prose(text: str, budget: Budget, spans: Spans) -> list[str]:
     """Windows of whole pieces up to the target, each opened by the longest tail of the last one within the overlap."""
+    t = Counted(text, spans)
     out: list[str] = []
-    held: list[str] = []
+    held: list[tuple[int, int]] = []
     size = 0
-    for piece in _pieces(text, budget.target, spans):
-        n = len(spans(piece))
+    for piece in t.pieces(0, len(text), budget.target):
+        n = t.tokens(*piece)
         if held and size + n > budget.target:
-            out.append("".join(held))
-            tail: list[str] = []
-            for p in reversed(held):
-                if sum(len(spans(x)) for x in tail) + len(spans(p)) > budget.overlap:
-                    break
-                tail.insert(0, p)
-            held = tail if sum(len(spans(x)) for x in tail) + n <= budget.target else []
-            size = sum(len(spans(x)) for x in held)
+            out.append(text[held[0][0] : held[-1][1]])
+            keep = len(held)
+            while keep and t.tokens(held[keep - 1][0], held[-1][1]) <= budget.overlap:
+                keep -= 1
+            tail = held[keep:]
+            size = t.tokens(tail[0][0], tail[-1][1]) if tail else 0
+            held, size = (tail, size) if size + n <= budget.target else ([], 0)
         held.append(piece)
         size += n
-    return [*out, "".join(held)] if held else out
+    return [*out, text[held[0][0] : held[-1][1]]] if held else out
 
 
 def split_lines(head: list[str], body: list[str], tail: list[str], most: int, repeat: int, budget: Budget, spans: Spans) -> list[str]:
     """Runs of whole lines between a repeated head and tail; a line over the budget is cut into runs of tokens."""
+    t = Counted("\n".join(body), spans)
+    starts = list(accumulate((len(x) + 1 for x in body), initial=0))
+    cut = lambda i, j: (starts[i], starts[j] - 1)
     out, i = [], 0
-    sizes = [len(spans(x)) for x in body]
     while i < len(body):
-        j, n = i, 0
-        while j < len(body) and j - i < most and (j == i or n + sizes[j] <= budget.target):
-            n += sizes[j]
+        j = i + 1
+        while j < len(body) and j - i < most and t.tokens(*cut(i, j + 1)) <= budget.target:
             j += 1
-        part = "\n".join(body[i:j])
-        for p in [part] if n <= budget.hard else _pieces(part, budget.target, spans):
-            out.append("\n".join([*head, p, *tail]))
+        a, b = cut(i, j)
+        for x, y in [(a, b)] if t.tokens(a, b) <= budget.hard else t.pieces(a, b, budget.target):
+            out.append("\n".join([*head, t.text[x:y], *tail]))
         i = j if j == len(body) else max(j - repeat, i + 1)
     return out
 
 
-def chunk_text(title: str, text: str, budget: Budget, spans: Spans = word_spans) -> list[tuple[list[str], str, str, int]]:
-    """(heading path, kind, text, tokens) of each chunk; its text opens with the headings above it."""
+def chunk_text(title: str, text: str, budget: Budget, spans: Spans = word_spans) -> list[tuple[list[str], str, str, int, str, int | None, int | None]]:
+    """(heading path, kind, text, tokens, unit key, part, parts) of each chunk; its text opens with the headings above it.
+
+    The unit is the block that a chunk was cut from: the headings, and for code and tables the number of the block under
+    them. Only a block that was cut has parts.
+    """
     out = []
+    seen: Counter[tuple[str, str]] = Counter()
     for path, kind, rows in blocks(text):
         path = [*([title] if title else []), *path]
+        crumb = CRUMB.join(path)
         body = "\n".join(rows).strip("\n")
-        if len(spans(body)) <= budget.hard:
-            parts = [body]
-        elif kind == "prose":
+        unit = crumb
+        if kind != "prose":
+            seen[crumb, kind] += 1
+            unit = f"{crumb}#{kind}{seen[crumb, kind]}"
+        joined = crumb + "\n\n" + body if path else body
+        n = len(spans(joined))
+        if n <= budget.hard:
+            out.append((path, kind, joined, n, unit, None, None))
+            continue
+        if kind == "prose":
             parts = split_prose(body, budget, spans)
         elif kind == "code":
             closed = len(rows) > 1 and FENCE.match(rows[-1]) is not None
             parts = split_lines(rows[:1], rows[1 : -1 if closed else None], ["`" * len(FENCE.match(rows[0])[1])], budget.lines, budget.repeat, budget, spans)
         else:
             parts = split_lines(rows[:2], rows[2:], [], len(rows), 0, budget, spans)
-        for p in parts:
-            whole = CRUMB.join(path) + "\n\n" + p.strip("\n") if path else p.strip("\n")
-            out.append((path, kind, whole, len(spans(whole))))
+        for i, p in enumerate(parts):
+            whole = crumb + "\n\n" + p.strip("\n") if path else p.strip("\n")
+            key = f"{unit}#w{i}" if kind == "prose" else f"{unit}#g{i}" if kind == "table" else unit
+            out.append((path, kind, whole, len(spans(whole)), key, i, len(parts)))
     return out
 
 
-CHUNKS = "array<struct<heading_path:array<string>,content_kind:string,text:string,token_count:int>>"
+def code_windows_of(lines: list[str], sizes: list[int], head: int, budget: Budget) -> list[tuple[int, int]]:
+    """Windows (first line, end) of a file: whole lines up to the target, after as many repeated ones as the hard limit allows.
+
+    ``sizes`` are the lines' tokens, ``head`` those of what stands above each window. A window has at most ``budget.lines``
+    lines; a line that does not fit the hard limit by itself cannot be put anywhere, which is an error.
+    """
+    sums = list(accumulate(sizes, initial=head))
+    tokens = lambda a, b: head + sums[b] - sums[a]
+    out: list[tuple[int, int]] = []
+    at = 0
+    while at < len(lines):
+        start = at
+        if out:
+            start = next((at - r for r in range(min(budget.repeat, at, budget.lines - 1), 0, -1) if tokens(at - r, at + 1) <= budget.hard), at)
+        if tokens(start, at + 1) > budget.hard:
+            raise ValueError("a line of code is over the hard limit")
+        end = at + 1
+        while end < len(lines) and end + 1 - start <= budget.lines and tokens(start, end + 1) <= budget.target:
+            end += 1
+        # a first line under the least size takes the next one along, up to the hard limit
+        if at == 0 and end == 1 and len(lines) > 1 and budget.lines > 1 and tokens(0, 1) < budget.least and tokens(0, 2) <= budget.hard:
+            end = 2
+        out.append((start, end))
+        at = end
+    return out
+
+
+def code_windows(files: DataFrame, budget: Budget = Budget(), spans: Spans = word_spans) -> DataFrame:
+    """(document_id, path, text) -> (document_id, part_index, part_total, line_start, line_end, text, token_count).
+
+    Each window opens with the file's path, which counts towards its tokens. Lines count from 1; null and empty texts have
+    no window.
+    """
+    schema = "array<struct<line_start:int,line_end:int,text:string,token_count:int>>"
+
+    @F.pandas_udf(schema)
+    def cut(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for path, text in zip(paths, texts, strict=True):
+            lines = text.split("\n") if text else []
+            starts = list(accumulate((len(x) + 1 for x in lines), initial=0))
+            t = Counted(text, spans)
+            sizes = [t.tokens(a, b) for a, b in pairwise(starts)]
+            rows = []
+            for a, b in code_windows_of(lines, sizes, len(spans(path)), budget):
+                whole = path + "\n\n" + "\n".join(lines[a:b])
+                rows.append({"line_start": a + 1, "line_end": b, "text": whole, "token_count": len(spans(whole))})
+            out.append(rows)
+        return pd.Series(out)
+
+    made = files.select("document_id", cut(F.coalesce("path", F.lit("")), F.coalesce("text", F.lit(""))).alias("c"))
+    return made.select("document_id", F.size("c").alias("part_total"), F.posexplode("c").alias("part_index", "c")).select("document_id", "part_index", "part_total", "c.*")
+
+
+CHUNKS = "array<struct<heading_path:array<string>,content_kind:string,text:string,token_count:int,unit_key:string,part_index:int,part_total:int>>"
 
 
 def token_chunks(docs: DataFrame, budget: Budget = Budget(), spans: Spans = word_spans, system: str = "confluence") -> DataFrame:
-    """(document_id, title, text) -> a row per chunk, with its ids, place among its document's chunks and their number.
+    """(document_id, title, text) -> a row per chunk, with its ids, its place in the document, and its part of its block.
 
-    Chunks of equal content within a document get ``-1``, ``-2`` ... behind their id, in their order. Null and blank texts
-    have no chunk.
+    Chunks of equal unit and content within a document get ``-1``, ``-2`` ... behind their id, in their order. Null and
+    blank texts have no chunk.
     """
+    names = ("heading_path", "content_kind", "text", "token_count", "unit_key", "part_index", "part_total")
 
     @F.pandas_udf(CHUNKS)
     def cut(titles: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"heading_path": p, "content_kind": k, "text": t, "token_count": n} for p, k, t, n in chunk_text(title or "", text or "", budget, spans)] for title, text in zip(titles, texts, strict=True)])
+        return pd.Series([[dict(zip(names, c, strict=True)) for c in chunk_text(title or "", text or "", budget, spans)] for title, text in zip(titles, texts, strict=True)])
 
     made = docs.select("document_id", cut(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("c"))
-    rows = made.select("document_id", F.size("c").alias("part_total"), F.posexplode("c").alias("part_index", "c")).select("document_id", "part_index", "part_total", "c.*")
-    plain = chunk_id(F.lit(system), F.col("document_id").cast("string"), F.concat_ws(" ", "heading_path"), F.col("text"))
-    again = F.row_number().over(Window.partitionBy("document_id", "__id").orderBy("part_index")) - 1
+    rows = made.select("document_id", F.posexplode("c").alias("chunk_index", "c")).select("document_id", "chunk_index", "c.*")
+    plain = chunk_id(F.lit(system), F.col("document_id").cast("string"), F.col("unit_key"), F.col("text"))
+    again = F.row_number().over(Window.partitionBy("document_id", "__id").orderBy("chunk_index")) - 1
     ids = rows.withColumn("__id", plain).withColumn("__again", again)
     return ids.select(
         F.when(F.col("__again") > 0, F.concat_ws("-", "__id", "__again")).otherwise(F.col("__id")).alias("chunk_id"),
-        "document_id", "heading_path", "content_kind", "text", "token_count", "part_index", "part_total", content_hash(F.col("text")).alias("content_hash"),
+        "document_id", "chunk_index", "heading_path", "content_kind", "text", "token_count", "part_index", "part_total", content_hash(F.col("text")).alias("content_hash"),
     )
 
 

@@ -75,19 +75,22 @@ def retry_delay(attempt: Column, retry_after: Column, base: float = 1.0, most: f
     return F.greatest(backoff(attempt, base, most), F.coalesce(retry_after.cast("double"), F.lit(0.0)), F.lit(pacing))
 
 
-def batches(rows: DataFrame, key: str, size: int = 100, shards: int = 64) -> DataFrame:
-    """``rows`` with a batch number: contiguous batches of ``size`` in the order of ``key``.
+def batches(rows: DataFrame, key: str, size: int = 100, shards: int | None = None) -> DataFrame:
+    """``rows`` with a batch number: contiguous batches of ``size`` in the order of ``key``, nulls first.
 
-    Places come from counts per range of keys and a place within the range, so that no task orders the whole table.
+    Places come from counts per range of keys and a place within the range, so that no task orders the whole table. There
+    are as many ranges as the session has shuffle partitions, unless ``shards`` names a number.
     """
-    cuts = rows.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], 10_000)).first()[0] or []
+    shards = shards or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cuts = rows.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], max(10_000, 100 * shards))).first()[0] if shards > 1 else []
     part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(key) > F.lit(c)).cast("int")
+    bounds = F.lit(sorted(set(cuts or [])))
+    if cuts:
+        part = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: F.col(key) > c)))
     keyed = rows.withColumn("__part", part)
     sizes = keyed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row per range
-    placed = keyed.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1)
+    placed = keyed.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(F.asc_nulls_first(key))) - 1)
     out = placed.join(F.broadcast(before), "__part")  # ``shards`` rows
     return out.withColumn("batch", F.floor((F.col("__before") + F.col("__place")) / size)).drop("__part", "__place", "__before")
 
@@ -121,21 +124,49 @@ def submissions(requests: DataFrame, key: str, at: Sequence[str] = ("ts", "event
     return requests.groupBy(key).agg(F.min_by(job, F.struct(*at)).alias(job), F.count("*").alias("requests"))
 
 
-#: Path parts and file endings that a source scan leaves out.
-GENERATED = ("build", "dist", "generated", "out", "target", "node_modules", "__pycache__")
-VENDOR = ("third_party", "thirdparty", "vendor", "external")
-BINARY = ("a", "bin", "bmp", "class", "dll", "dylib", "exe", "gif", "gz", "ico", "jar", "jpeg", "jpg", "lib", "o", "obj", "pdf", "png", "pyc", "so", "tar", "zip")
+#: Path parts and file endings that a source scan leaves out, and endings of files that symbols are read from.
+GENERATED = ("generated", "gen", "build", "dist", "out", "target", "node_modules")
+VENDOR = ("vendor", "third_party", "external", "pods")
+BINARY = (
+    "7z", "a", "apk", "avi", "bin", "bmp", "class", "dll", "dylib", "eot", "exe", "gif", "gz", "ico", "jar", "jpeg", "jpg",
+    "lib", "mp3", "mp4", "o", "obj", "otf", "pdf", "png", "so", "tar", "ttf", "wav", "webp", "woff", "woff2", "xz", "zip",
+)
+AUTHORITY = ("cc", "cpp", "cxx", "hh", "hpp", "hxx", "inl", "java")
+RESERVED = ("con", "prn", "aux", "nul", *(f"{d}{i}" for d in ("com", "lpt") for i in range(1, 10)))
+
+
+def extension(path: Column) -> Column:
+    """The ending of a path's last part, in lower case; empty without one, and for names that are an ending only."""
+    return F.regexp_extract(F.lower(path), r"[^/]\.([^./]+)$", 1)
 
 
 def exclusion(path: Column, content: Column | None = None) -> Column:
-    """Why a file is left out: generated, vendor or binary; null if it stays."""
+    """Why a file is left out: generated, vendor or binary (by its ending, or a NUL anywhere); null if it stays."""
     parts = F.split(F.lower(path), "/")
-    binary = F.regexp_extract(F.lower(path), r"\.([^./]+)$", 1).isin(*BINARY)
+    binary = extension(path).isin(*BINARY)
     if content is not None:
-        binary = binary | (F.instr(F.hex(content.substr(1, 8192)), "00") > 0) & F.hex(content).rlike("^(?:..)*?00")
+        binary = binary | F.coalesce(F.contains(content, F.lit(b"\x00")), F.lit(False))
     return F.when(F.arrays_overlap(parts, F.lit(list(GENERATED))), "generated").when(F.arrays_overlap(parts, F.lit(list(VENDOR))), "vendor").when(binary, "binary")
 
 
+def symbol_authority(path: Column) -> Column:
+    """Whether symbols are read from files with this ending."""
+    return extension(path).isin(*AUTHORITY)
+
+
+def valid_path(path: Column) -> Column:
+    """Whether every part of a path can be stored anywhere: no empty, dot or reserved part, none that ends in a dot or a
+    space, no control character."""
+    bad = F.exists(F.split(path, "/"), lambda x: (x == "") | x.isin(".", "..") | F.lower(x).isin(*RESERVED) | x.endswith(".") | x.endswith(" ") | x.rlike(r"[\x00-\x1F\x7F-\x9F]"))
+    return F.coalesce(~bad, F.lit(False))
+
+
+def text_fault(content: Column) -> Column:
+    """What keeps a file's bytes from being text: invalid_utf8 or unsupported_control; null if nothing does."""
+    text = F.decode(F.when(F.is_valid_utf8(content.cast("string")), content), "UTF-8")
+    return F.when(text.isNull() & content.isNotNull(), "invalid_utf8").when(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"), "unsupported_control")
+
+
 def scan_metrics(files: DataFrame, reason: str = "excluded") -> DataFrame:
     """(excluded, size) -> (reason, files, bytes), ``included`` for the files that stay."""
     return files.groupBy(F.coalesce(reason, F.lit("included")).alias("reason")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
@@ -152,7 +183,8 @@ def inspect_store(expected: DataFrame, stored: DataFrame, keys: Sequence[str] =
     return expected.join(s, list(keys), "left").select(*keys, status.alias("status"))
 
 
-def within_budget(new: DataFrame, stored: DataFrame, most_bytes: int, body: str = "body") -> bool:
-    """Whether the stored and the new bodies together stay within the budget."""
-    total = stored.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()[0] + new.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()[0]
-    return total <= most_bytes
+def within_budget(new: DataFrame, stored: DataFrame, most_bytes: int, body: str = "body", keys: Sequence[str] = ("run_id", "page_id")) -> bool:
+    """Whether the stored and the new bodies together stay within the budget; what is stored already costs nothing again."""
+    added = new.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    sizes = added.select(F.octet_length(body).alias("n")).unionByName(stored.select(F.octet_length(body).alias("n")))
+    return (sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) <= most_bytes

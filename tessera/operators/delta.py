@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +44,13 @@ def stale_parts(previous: DataFrame, current: DataFrame, keys: tuple[str, ...] =
 def tombstones(targets: DataFrame, version: str, detected_at: str) -> DataFrame:
     """(entity_type, entity_id, reason, detail) -> tombstone rows with their ids, each id once.
 
-    Targets that agree in type, id and reason but not in detail contradict each other; ``conflicts`` lists them, and here
-    the least detail is kept so that the result does not depend on the order of rows.
+    Targets that agree in type, id and reason but not in detail contradict each other and fail the job; ``conflicts`` lists
+    them.
     """
-    once = targets.groupBy("entity_type", "entity_id", "reason").agg(F.min("detail").alias("detail"))
+    blank = F.coalesce("detail", F.lit(""))
+    once = targets.groupBy("entity_type", "entity_id", "reason").agg(F.min("detail").alias("detail"), F.min(blank).alias("__a"), F.max(blank).alias("__b"))
+    clash = F.raise_error(F.concat(F.lit("targets contradict each other: "), F.col("entity_type"), F.lit(" "), F.col("entity_id").cast("string")))
+    once = once.withColumn("detail", F.when(F.col("__a") == F.col("__b"), F.col("detail")).otherwise(clash.cast("string")))
     return once.select(
         tombstone_id(F.col("entity_type"), F.col("entity_id").cast("string"), F.col("reason"), F.lit(version)).alias("tombstone_id"),
         "entity_type", "entity_id", "reason", "detail", F.lit(detected_at).alias("detected_at"), F.lit(version).alias("dataset_version"),
@@ -77,6 +83,53 @@ def cascade(documents: DataFrame, dependents: DataFrame) -> DataFrame:
     return roots.unionByName(children)
 
 
+def dependents(streams: Mapping[str, DataFrame]) -> DataFrame:
+    """What hangs on each document of a version: (document_id, entity_type, entity_id), each once.
+
+    Access records and media by their document; symbols by their document, else their chunk's, else the Git file of their
+    repository, branch, commit and path; relations by their source (a chunk stands for its document), and resolved ones by
+    their target too.
+    """
+    docs, chunks = streams["documents"], streams["chunks"].select("chunk_id", F.col("document_id").alias("__of"))
+
+    def made(rows: DataFrame, owner: Column | str, kind: str, entity: str) -> DataFrame:
+        return rows.select(F.col(owner).alias("document_id") if isinstance(owner, str) else owner.alias("document_id"), F.lit(kind).alias("entity_type"), F.col(entity).alias("entity_id"))
+
+    place = ("repo", "branch", "commit_hash", "file_path")
+    files = docs.where("source_system = 'git'").select("repo", "branch", F.col("source_version").alias("commit_hash"), "file_path", F.col("document_id").alias("__file")).dropDuplicates(list(place))
+    symbols = streams["symbols"].join(chunks, "chunk_id", "left").join(files, list(place), "left")
+    relations = streams["relations"].join(chunks.withColumnRenamed("chunk_id", "source_id"), "source_id", "left")
+    parts = [
+        made(streams["acl"], "document_id", "acl", "acl_id"),
+        made(streams["media_assets"], "parent_document_id", "media", "media_id"),
+        made(symbols, F.coalesce("document_id", "__of", "__file") if "document_id" in symbols.columns else F.coalesce("__of", "__file"), "symbol", "symbol_id"),
+        made(relations, F.coalesce("__of", "source_id"), "relation", "relation_id"),
+        made(relations.where("resolution_status = 'resolved'"), "target_id", "relation", "relation_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts).where("entity_id IS NOT NULL").distinct().join(docs.select("document_id").distinct(), "document_id", "left_semi")
+
+
+#: States of a media file that count as processed.
+PROCESSED = ("parsed", "ocr", "summarized")
+
+
+def version_metrics(streams: Mapping[str, DataFrame]) -> DataFrame:
+    """(metric, n) of a version or of the sparse streams of a delta: rows of each stream, and the counters of a report."""
+    rules = {
+        "documents": {"confluence_documents": F.col("source_system") == "confluence", "git_documents": F.col("source_system") == "git"},
+        "relations": {"unresolved_relations": F.col("resolution_status") != "resolved"},
+        "media_assets": {"media_processed": F.col("processing_status").isin(*PROCESSED), "media_failed": F.col("processing_status") == "failed"},
+        "symbols": {"symbols_resolved": F.col("chunk_id").isNotNull()},
+        "chunks": {"default_deny_chunks": F.col("acl_tags") == F.array(F.lit("restricted:unresolved"))},
+    }
+    parts = []
+    for name, rows in streams.items():
+        wanted = rules.get(name, {})
+        counts = rows.agg(F.count("*").alias(name), *[F.count_if(F.coalesce(c, F.lit(False))).alias(m) for m, c in wanted.items()])
+        parts.append(counts.select(F.explode(F.map_from_arrays(F.lit([name, *wanted]), F.array(name, *wanted))).alias("metric", "n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def tombstone_counts(tombs: DataFrame) -> DataFrame:
     """One row: how many tombstones of each type."""
     return tombs.agg(*[F.count_if(F.col("entity_type") == t).alias(t) for t in ENTITY_ORDER])

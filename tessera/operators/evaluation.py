@@ -82,6 +82,18 @@ def leaderboard_markdown(runs: DataFrame, most: int = 1000) -> str:
     return "\n".join(head + [f"| {r.run_id} | {r.label} | {r.hit5:.4f} | {r.hit10:.4f} | {r.mrr:.4f} | {change(r.mrr_change)} |" for r in rows]) + "\n"
 
 
+def report(runs: DataFrame) -> DataFrame:
+    """Runs with two layers of metrics -> one line each by age: Hit@10 and MRR of both, the gap of Hit@10, the cases.
+
+    Rows are (run_id, label, created_at, layer1, layer2), each layer a struct (hit_at_10, mrr, n_cases) or null.
+    """
+    gap = F.col("layer1.hit_at_10") - F.col("layer2.hit_at_10")
+    return runs.select(
+        "run_id", F.substring("created_at", 1, 19).alias("created_at"), "label", F.col("layer1.hit_at_10").alias("l1_hit10"), F.col("layer2.hit_at_10").alias("l2_hit10"), gap.alias("gap10"),
+        F.col("layer1.mrr").alias("l1_mrr"), F.col("layer2.mrr").alias("l2_mrr"), F.coalesce("layer1.n_cases", "layer2.n_cases", F.lit(0)).alias("n_cases"),
+    ).orderBy("created_at", "run_id")
+
+
 def nearest_rank(column: str, p: float) -> Column:
     """The percentile by nearest rank, without interpolation; 0 for no rows."""
     return F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})"), F.lit(0))

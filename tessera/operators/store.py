@@ -60,22 +60,30 @@ def _nearest(asked: Sequence[tuple], k: int, key: str, column: str, query: str):
     ids = np.array([i for i, _ in asked], np.int64)
     q = np.array([v for _, v in asked], np.float64).reshape(len(asked), -1)
 
+    norms = np.sqrt((q * q).sum(1))
+    able = np.flatnonzero(norms > 0)
+    unit = q[able] / norms[able, None]
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        norms = np.sqrt((q * q).sum(1))
-        best: list[pd.DataFrame | None] = [None] * len(q)
+        top_s, top_k = np.full((len(able), 0), -np.inf), np.empty((len(able), 0), np.int64)
         for b in batches:
             b = b[b[column].map(lambda x: x is not None and len(x) == q.shape[1])]
-            if not len(b):
+            if not len(b) or not len(able):
                 continue
             keys, v = b[key].to_numpy(), np.array(b[column].tolist(), np.float64)
             sizes = np.sqrt((v * v).sum(1))
-            keys, v, sizes = keys[sizes > 0], v[sizes > 0], sizes[sizes > 0]
-            for i in np.flatnonzero(norms > 0).tolist():
-                s = (v * q[i]).sum(1) / (sizes * norms[i])
-                new = pd.DataFrame({query: ids[i], key: keys, "score": s})
-                both = new if best[i] is None else pd.concat([best[i], new])
-                best[i] = both.sort_values(["score", key], ascending=[False, True]).head(k)
-        yield from (x for x in best if x is not None)
+            keys, v = keys[sizes > 0], v[sizes > 0] / sizes[sizes > 0, None]
+            for i in range(0, len(v), 4096):  # one product for all queries; ties at the cut are settled by the smaller key
+                s = np.concatenate((top_s, unit @ v[i : i + 4096].T), 1)
+                k_ = np.concatenate((top_k, np.broadcast_to(keys[i : i + 4096], (len(able), len(v[i : i + 4096])))), 1)
+                if s.shape[1] > k:
+                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+                    s = np.where(s >= least - 1e-12, s, -np.inf)
+                order = np.lexsort((k_, -s), axis=1)[:, :k]
+                top_s, top_k = np.take_along_axis(s, order, 1), np.take_along_axis(k_, order, 1)
+        if top_s.size:
+            ok = np.isfinite(top_s)
+            yield pd.DataFrame({query: np.broadcast_to(ids[able][:, None], top_s.shape)[ok], key: top_k[ok], "score": top_s[ok]})
 
     return score
 

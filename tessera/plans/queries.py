@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, markup, text
+from tessera.functions.checkpoints import cut
 from tessera.operators import access, chunking, crawl, delta, evaluation, integrity, relations, retrieval, store
 
 VERSION, DAY = "v20260101-000000-000000Z", "2026-01-01T00:00:00Z"
@@ -40,8 +41,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- retrieval
 
 
-def _first_vector(spark: SparkSession, sf_dir: str):
-    return table(spark, sf_dir, "embeddings").orderBy("vec_id").first()
+def _first_vector(spark: SparkSession, sf_dir: str) -> Row:
+    """The row of least id; of an empty table one that nothing is near to."""
+    return table(spark, sf_dir, "embeddings").orderBy("vec_id").first() or Row(vec_id=None, embedding=[], label=None)
 
 
 def _top_sql(score: str, order: str, where: str = "TRUE") -> str:
@@ -76,25 +78,19 @@ def _pairs(words: Column) -> Column:
     return F.array_compact(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def _terms(rows: DataFrame, key: str) -> DataFrame:
-    # the generator keeps the words from being found again for each use
-    worded = rows.select(key, F.explode(F.array(text.words(F.col("text")))).alias("w"))
-    return retrieval.postings(worded, key, _pairs(F.col("w")))
-
-
 def _sparse(spark: SparkSession, sf_dir: str, k: int, binary: bool = False) -> DataFrame:
-    docs, cases = _terms(table(spark, sf_dir, "documents"), "doc_id"), _terms(table(spark, sf_dir, "benchmark"), "item_id")
+    """The items as queries, by the words that they share with documents."""
+    asked = cut(retrieval.postings(table(spark, sf_dir, "benchmark"), "item_id", text.words(F.col("text"))).withColumnRenamed("item_id", "query_id"))
+    docs = retrieval.asked_postings(table(spark, sf_dir, "documents"), "doc_id", text.words(F.col("text")), asked)
     if binary:
         docs = docs.withColumn("weight", F.lit(1.0))
-    return retrieval.sparse_top_k(docs, cases.withColumnRenamed("item_id", "query_id"), k)
+    return retrieval.sparse_top_k(docs, asked, k)
 
 
 _WORDS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda x: lower(x))"
 _TERMS_SQL = f"""
-dw AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
-qw AS (SELECT item_id AS query_id, {_WORDS.format("text")} AS w FROM benchmark),
-dt AS (SELECT doc_id, term, count(*) AS weight FROM (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM dw) GROUP BY ALL),
-qt AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM qw) GROUP BY ALL)
+dt AS (SELECT doc_id, term, count(*) AS weight FROM (SELECT doc_id, unnest({_WORDS.format("text")}) AS term FROM documents) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*) AS weight FROM (SELECT item_id AS query_id, unnest({_WORDS.format("text")}) AS term FROM benchmark) GROUP BY ALL)
 """
 
 
@@ -230,9 +226,18 @@ def page_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ids.uuid5(NAMESPACE, F.col("url")).alias("uuid"))
 
 
-@query()
+_BLANK = _SPACE[:-1] + r"\n]"
+
+
+@query(rf"""WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n, 0 AS s, 0 AS k FROM documents WHERE text IS NOT NULL
+ UNION ALL SELECT doc_id, text, n, e - 150, k + 1 FROM (SELECT *, CASE WHEN s + 1500 < n THEN s + CASE WHEN r > 0 AND 1500 - r > 750 THEN 1501 - r ELSE 1500 END ELSE n END AS e
+  FROM (SELECT *, strpos(reverse(substr(text, s + 1, 1500)), chr(10)) AS r FROM w)) WHERE e < n),
+t AS (SELECT doc_id, k, regexp_replace(substr(text, s + 1, CASE WHEN s + 1500 < n AND r > 0 AND 1500 - r > 750 THEN 1501 - r ELSE 1500 END), '\A{_BLANK}+|{_BLANK}+\z', '', 'g') AS t
+ FROM (SELECT *, strpos(reverse(substr(text, s + 1, 1500)), chr(10)) AS r FROM w))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, sha256(t) AS content_hash FROM t WHERE t <> ''""")
 def char_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.char_chunks(table(spark, sf_dir, "documents"))
+    rows = text.char_chunks(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "chunk_index", ids.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query()
@@ -263,9 +268,25 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- relations and access
 
 
-@query()
+@query(f"""WITH o AS (SELECT DISTINCT o_custkey AS document_id, 'PR_' || substr(o_orderpriority, 1, 1) || '-' || (o_orderkey % 50) AS evidence FROM orders WHERE o_orderstatus <> 'P'),
+t AS (SELECT document_id, evidence, 'jira:' || evidence AS target_id FROM o WHERE substr(evidence, 4, 1) IN ('1', '3'))
+SELECT 'rel:' || substr(sha256(concat_ws(chr(31), document_id::VARCHAR, 'mentions_jira_key', target_id)), 1, 16) AS relation_id, document_id AS source_id, target_id, evidence, 0.95::DOUBLE AS confidence,
+'unresolved_without_jira_api' AS resolution_status, '{DAY}' AS created_at FROM t""")
 def issue_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.issue_relations(documents(spark, sf_dir), DAY)
+    """Orders stand for pages that name issues of projects by priority; those of two projects are allowed."""
+    return relations.issue_relations(_issue_pages(spark, sf_dir), DAY, ["PR_1", "PR_3"]).drop("relation_type")
+
+
+def _issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("PR_"), F.substring("o_orderpriority", 1, 1), F.lit("-"), F.col("o_orderkey") % 50)
+    words = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("see ("), key, F.lit("), not x"), key, F.lit(" or "), key, F.lit("a;")))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("document_id")).agg(F.concat_ws(" ", F.collect_list(words)).alias("text"))
+
+
+@query("""WITH o AS (SELECT 'PR_' || substr(o_orderpriority, 1, 1) || '-' || (o_orderkey % 50) AS k FROM orders WHERE o_orderstatus <> 'P')
+SELECT count(*) AS occurrences, count(DISTINCT k) AS unique_keys, count(*) FILTER (WHERE substr(k, 4, 1) IN ('1', '3')) AS inside, count(*) FILTER (WHERE substr(k, 4, 1) NOT IN ('1', '3')) AS outside FROM o""")
+def issue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.issue_metrics(_issue_pages(spark, sf_dir), ["PR_1", "PR_3"])
 
 
 @query(r"""
@@ -281,22 +302,55 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.resolve(relations.links(pages), targets, DAY).select("relation_id", "source_id", "target_id", "evidence", "resolution_status")
 
 
-@query("""
-WITH o AS (SELECT o_custkey AS d, substr(o_orderpriority, 1, 1) AS p, CASE WHEN o_totalprice > 490000 THEN 'unavailable' WHEN o_orderstatus = 'P' THEN 'unrestricted' ELSE 'restricted' END AS c FROM orders),
-a AS (SELECT d, bool_or(c = 'unavailable') AS lost, bool_or(c = 'restricted') AS held, coalesce(list(p) FILTER (WHERE c = 'restricted'), []) AS ps FROM o GROUP BY d),
-u AS (SELECT d, lost, held, CASE WHEN lost OR NOT held THEN [] ELSE list_filter(['u1', 'u2', 'u3', 'u4', 'u5'], lambda x: NOT list_contains(ps, substr(x, 2, 1))) END AS users FROM a)
-SELECT d AS document_id, lost OR held AS is_restricted, CASE WHEN NOT (lost OR held) THEN 'public' WHEN len(users) = 0 THEN 'restricted:unresolved' ELSE array_to_string(list_transform(users, lambda x: 'user:' || x), ',') END AS tags,
-CASE WHEN lost THEN 'unavailable' WHEN held AND len(users) = 0 THEN 'partial' ELSE 'ok' END AS status FROM u""")
-def access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders stand for levels of a page: each restricted one names four of five users."""
-    everyone = F.array(*[F.lit(f"u{i}") for i in range(1, 6)])
-    o = table(spark, sf_dir, "orders")
+_ACCESS_SQL = """
+o AS (SELECT o_custkey AS d, o_orderkey AS k, substr(o_orderpriority, 1, 1) AS p, CASE WHEN o_totalprice > 490000 THEN 'unavailable' WHEN o_orderstatus = 'P' THEN 'unrestricted' ELSE 'restricted' END AS c, o_orderdate AS t,
+ CASE WHEN o_orderstatus = 'P' THEN [] ELSE list_filter(['u1', 'U2', 'u3', 'u4', 'u5'], lambda x: substr(x, 2, 1) <> substr(o_orderpriority, 1, 1)) || CASE WHEN o_orderkey % 97 = 0 THEN ['no body'] ELSE [] END END AS us FROM orders),
+a AS (SELECT d, bool_or(c = 'unavailable') AS lost, bool_or(c = 'restricted') AS held, bool_or(list_contains(us, 'no body')) AS bad, max(k) AS last,
+ coalesce(list(DISTINCT p) FILTER (WHERE c = 'restricted'), []) AS ps, coalesce(list(k ORDER BY k) FILTER (WHERE c = 'restricted'), []) AS ks FROM o GROUP BY d),
+u AS (SELECT a.*, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS space, list_filter(['u1', 'u2', 'u3', 'u4', 'u5'], lambda x: NOT list_contains(ps, substr(x, 2, 1))) AS common,
+ list_filter(['u1', 'U2', 'u3', 'u4', 'u5'], lambda x: len(ps) > 1 OR NOT list_contains(ps, substr(x, 2, 1))) AS every FROM a LEFT JOIN customer ON c_custkey = d),
+r AS (SELECT *, list_filter(CASE WHEN lost THEN ['restriction_observations_unavailable', CASE WHEN bad THEN 'non_enforceable_user_principal' END]
+ WHEN NOT held THEN [CASE WHEN NOT coalesce(regexp_full_match(space, '[A-Z0-9]+'), FALSE) THEN 'space_tag_unrepresentable' END]
+ ELSE [CASE WHEN bad THEN 'non_enforceable_user_principal' END, CASE WHEN len(every) > len(common) THEN 'user_principal_dropped_by_intersection' END, CASE WHEN len(common) = 0 THEN 'empty_effective_intersection' END] END, lambda x: x IS NOT NULL) AS why FROM u),
+access AS (SELECT d AS document_id, 'acl:' || d AS acl_id, lost OR held AS is_restricted, CASE WHEN lost THEN ['restricted:unresolved'] WHEN held THEN CASE WHEN len(common) = 0 THEN ['restricted:unresolved'] ELSE list_transform(common, lambda x: 'user:' || x) END
+ WHEN len(why) = 0 THEN ['space:' || space] ELSE ['restricted:unresolved'] END AS tags, CASE WHEN lost THEN 'unavailable' WHEN len(why) > 0 THEN 'partial' ELSE 'ok' END AS status,
+ CASE WHEN len(why) > 0 THEN 'approximate' ELSE 'exact' END AS confidence, array_to_string(why, ',') AS reasons, CASE WHEN NOT lost THEN array_to_string(CASE WHEN held THEN every ELSE [] END, ',') END AS allowed,
+ CASE WHEN NOT lost THEN array_to_string(ks, ',') END AS sources, CASE WHEN NOT lost THEN len(list_filter(ks, lambda x: x < last)) > 0 END AS inherited FROM r)
+"""
+
+
+def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for levels of a page, each restricted one naming four of five users; customers for pages, with their spaces."""
+    everyone = F.array(*[F.lit(x) for x in ("u1", "U2", "u3", "u4", "u5")])
+    o, none = table(spark, sf_dir, "orders"), F.array().cast("array<string>")
     seen = F.when(F.col("o_totalprice") > 490000, 500).otherwise(200)
-    users = F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).otherwise(F.filter(everyone, lambda u: u != F.concat(F.lit("u"), F.substring("o_orderpriority", 1, 1))))
-    levels = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("level"), seen.alias("status"), users.alias("users"), F.array().cast("array<string>").alias("groups"))
+    named = F.filter(everyone, lambda u: F.substring(u, 2, 1) != F.substring("o_orderpriority", 1, 1))
+    users = F.when(F.col("o_orderstatus") == "P", none).otherwise(F.concat(named, F.when(F.col("o_orderkey") % 97 == 0, F.array(F.lit("no body"))).otherwise(none)))
+    levels = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("level"), F.col("o_orderkey").alias("source_page_id"), seen.alias("status"), users.alias("users"), none.alias("groups"))
     levels = levels.withColumn("classification", access.classify_observation(F.col("status"), F.col("users"), F.col("groups")))
-    acl = access.materialize(levels, "crawler", DAY)
-    return acl.select("document_id", "is_restricted", F.concat_ws(",", "acl_tags").alias("tags"), F.col("acl_extraction_status").alias("status"))
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("space_key"))
+    return access.materialize(levels, pages, "crawler", DAY)
+
+
+@query(f"WITH {_ACCESS_SQL} SELECT document_id, is_restricted, array_to_string(tags, ',') AS tags, status, confidence, reasons, allowed, sources, inherited FROM access")
+def access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c, n: F.when(F.col(c).isNotNull(), F.concat_ws(",", c)).alias(n)
+    return _access(spark, sf_dir).select(
+        "document_id", "is_restricted", joined("acl_tags", "tags"), F.col("acl_extraction_status").alias("status"), F.col("acl_confidence").alias("confidence"), joined("reason_codes", "reasons"),
+        joined("allowed_users", "allowed"), joined("restriction_source_page_ids", "sources"), F.col("restriction_inherited").alias("inherited"),
+    )
+
+
+@query(f"""WITH {_ACCESS_SQL} SELECT document_id, sha256('{{"acl_id":"' || acl_id || '","acl_tags":["' || array_to_string(tags, '","') || '"],"document_id":"' || document_id || '","is_restricted":' || is_restricted || ',"source_system":"confluence"}}') AS fingerprint FROM access""")
+def access_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acl = _access(spark, sf_dir).withColumn("source_system", F.lit("confluence")).withColumn("document_id", F.col("document_id").cast("string"))
+    return access.fingerprint(acl).select(F.col("document_id").cast("bigint").alias("document_id"), "fingerprint")
+
+
+@query(f"""WITH {_ACCESS_SQL} SELECT count(*) AS records, count(*) FILTER (WHERE is_restricted) AS restricted, count(*) FILTER (WHERE inherited) AS inherited, count(*) FILTER (WHERE list_contains(tags, 'restricted:unresolved')) AS unresolved,
+count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) FILTER (WHERE status = 'unavailable') AS unavailable FROM access""")
+def access_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.quality(_access(spark, sf_dir))
 
 
 # ---- versions
@@ -370,9 +424,12 @@ def closure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT 'n_chars_counts' AS "check", doc_id::VARCHAR AS id FROM documents WHERE NOT coalesce(n_chars = length(text), FALSE)
-UNION ALL SELECT 'no_tabs', doc_id::VARCHAR FROM documents WHERE NOT coalesce(NOT contains(text, chr(9)), FALSE)""")
+UNION ALL SELECT 'no_tabs', doc_id::VARCHAR FROM documents WHERE NOT coalesce(NOT contains(text, chr(9)), FALSE)
+UNION ALL SELECT 'language_known', doc_id::VARCHAR FROM documents WHERE NOT coalesce(lang IN ('en', 'de'), FALSE)
+UNION ALL SELECT 'not_long', doc_id::VARCHAR FROM documents WHERE NOT coalesce(length(text) < 3000, FALSE)""")
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"n_chars_counts": F.col("n_chars") == F.char_length("text"), "no_tabs": ~F.contains("text", F.lit("\t"))}
+    rules |= {"language_known": F.col("lang").isin("en", "de"), "not_long": F.char_length("text") < 3000}
     return integrity.rule_violations(table(spark, sf_dir, "documents"), rules, "doc_id")
 
 

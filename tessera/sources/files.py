@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from tessera.operators.delta import overlay
+from tessera.operators.integrity import require_none, tombstone_violations
+
 STREAMS = ("documents", "chunks", "relations", "acl", "media_assets", "symbols", "sync_state", "tombstones")
 
 
@@ -59,32 +62,70 @@ def write_json_lines(rows: DataFrame, path: str, key: str, nulls: bool = True) -
     rows.repartitionByRange(key).sortWithinPartitions(key).select(text.alias("value")).write.text(path)
 
 
-def write_version(streams: Mapping[str, DataFrame], root: str, version: str, manifest: Mapping[str, object]) -> None:
+#: Versions that a chain of deltas may have.
+LONGEST_CHAIN = 32
+
+
+def _path(spark: SparkSession, name: str):
+    """A path of Hadoop's and its file system: the only way to rename and to list that any store has."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
+    """Turn the pointer: it is written aside and moved over the old one, so that readers see one or the other, whole."""
+    jvm = spark._jvm
+    aside, fs = _path(spark, f"{root}/.LATEST-{version}")
+    out = fs.create(aside, True)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(aside, _path(spark, f"{root}/LATEST")[0], over)
+
+
+def write_version(streams: Mapping[str, DataFrame], root: str, version: str, manifest: Mapping[str, object], check: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None) -> None:
     """Write all streams of a version, then its manifest with their counts, then the pointer to it.
 
-    A version that is there already is never written over, and readers see a new one only by the pointer.
+    A version that is there already is never written over, and readers see a new one only by the pointer. ``check`` gives a
+    row per violation of the streams as written; with any the version is not published and what was written goes again.
     """
     spark = next(iter(streams.values())).sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    home = jvm.org.apache.hadoop.fs.Path(f"{root}/{version}")
-    fs = home.getFileSystem(conf)
+    home, fs = _path(spark, f"{root}/{version}")
     if fs.exists(home):
         raise FileExistsError(version)
+    aside = f"{root}/.staging-{version}"
     for name, rows in streams.items():
-        rows.write.parquet(f"{root}/.staging-{version}/{name}")
-    counts = {name: spark.read.parquet(f"{root}/.staging-{version}/{name}").count() for name in streams}
-    full = dict(manifest) | {"dataset_version": version, "counts": counts}
-    spark.createDataFrame([(json.dumps(full, sort_keys=True),)], "value string").coalesce(1).write.text(f"{root}/.staging-{version}/manifest")
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/.staging-{version}"), home)
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/LATEST"), True)
-    out.write(bytearray(version, "utf-8"))
-    out.close()
-
-
-def read_version(spark: SparkSession, root: str, version: str | None = None) -> tuple[dict[str, DataFrame], dict]:
-    """The streams and the manifest of a version, the latest if none is named; counts must agree with the manifest."""
-    version = version or spark.read.text(f"{root}/LATEST").first()[0]
+        rows.write.mode("overwrite").parquet(f"{aside}/{name}")
+    written = {name: spark.read.schema(rows.schema).parquet(f"{aside}/{name}") for name, rows in streams.items()}
+    try:
+        if check is not None:
+            require_none(check(written))
+        counts = {name: rows.count() for name, rows in written.items()}
+        full = dict(manifest) | {"dataset_version": version, "counts": counts}
+        spark.createDataFrame([(json.dumps(full, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{aside}/manifest")
+    except Exception:
+        fs.delete(_path(spark, aside)[0], True)
+        raise
+    fs.rename(_path(spark, aside)[0], home)
+    _point(spark, root, version)
+
+
+def rollback(spark: SparkSession, root: str, version: str) -> None:
+    """Turn the pointer back to a version that is there. Versions themselves are never changed."""
+    home, fs = _path(spark, f"{root}/{version}")
+    if not fs.exists(home):
+        raise FileNotFoundError(version)
+    _point(spark, root, version)
+
+
+def _folder(spark: SparkSession, root: str, version: str) -> tuple[dict[str, DataFrame], dict]:
     manifest = json.loads(spark.read.text(f"{root}/{version}/manifest").first()[0])
+    home, fs = _path(spark, f"{root}/{version}")
+    found = {s.getPath().getName() for s in fs.listStatus(home)} - {"manifest"}
+    if found != set(manifest["counts"]):
+        raise ValueError(f"a version holds exactly the streams of its manifest: {sorted(found ^ set(manifest['counts']))}")
     streams = {name: spark.read.parquet(f"{root}/{version}/{name}") for name in manifest["counts"]}
     wrong = [name for name, n in manifest["counts"].items() if streams[name].count() != n]
     if wrong:
@@ -92,18 +133,94 @@ def read_version(spark: SparkSession, root: str, version: str | None = None) ->
     return streams, manifest
 
 
+def latest_version(spark: SparkSession, root: str) -> str:
+    return spark.read.text(f"{root}/LATEST").first()[0]
+
+
+def read_version(spark: SparkSession, root: str, version: str | None = None, keys: Mapping[str, tuple[str, str]] | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """The streams and the manifest of a version, the latest if none is named; counts must agree with the manifest.
+
+    A delta is laid over the version that its manifest names as base, and so on down to a whole one: at most
+    ``LONGEST_CHAIN`` versions, none twice. ``keys`` maps streams to (key, entity type) for that; tombstones of a delta must
+    name entities of its base, and take them away.
+    """
+    chain: list[tuple[dict[str, DataFrame], dict]] = []
+    seen: list[str] = []
+    name: str | None = version or latest_version(spark, root)
+    while name is not None:
+        if name in seen or len(seen) >= LONGEST_CHAIN:
+            raise ValueError("the chain of versions has a circle or is too long")
+        seen.append(name)
+        chain.append(_folder(spark, root, name))
+        name = chain[-1][1].get("base_dataset_version") if chain[-1][1].get("export_mode") == "delta" else None
+    streams = chain[-1][0]
+    for part, _ in reversed(chain[:-1]):
+        keys = keys or KEYS
+        tombs = part["tombstones"]
+        prior = {kind: streams[s].select(key) for s, (key, kind) in keys.items() if s in streams}
+        require_none(tombstone_violations(tombs, prior))
+        streams = {s: overlay(rows, part[s], tombs, *keys[s]) if s in keys and s in part else part.get(s, rows) for s, rows in streams.items()}
+    return streams, chain[0][1]
+
+
+#: Fixed by the record format: the key of each stream, and the type that its rows have in tombstones.
+KEYS = {
+    "documents": ("document_id", "document"), "chunks": ("chunk_id", "chunk"), "relations": ("relation_id", "relation"),
+    "acl": ("acl_id", "acl"), "media_assets": ("media_id", "media"), "symbols": ("symbol_id", "symbol"), "sync_state": ("entity_id", "sync"),
+}
+
+
+def write_delta(streams: Mapping[str, DataFrame], root: str, version: str, base: str, manifest: Mapping[str, object], keys: Mapping[str, tuple[str, str]] | None = None) -> None:
+    """Publish the sparse streams of a delta over the version ``base``, which must be there.
+
+    Tombstones must name entities that the base holds, its own base's included.
+    """
+    if base == version:
+        raise ValueError("a delta needs another version as its base")
+    spark = next(iter(streams.values())).sparkSession
+    below, _ = read_version(spark, root, base, keys)
+    prior = {kind: below[s].select(key) for s, (key, kind) in (keys or KEYS).items() if s in below}
+    write_version(streams, root, version, dict(manifest) | {"export_mode": "delta", "base_dataset_version": base}, lambda s: tombstone_violations(s["tombstones"], prior))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation runs, a JSON file each, by age: (run_id, label, created_at, layer1, layer2). Files that are no run are skipped."""
+    layer = "struct<hit_at_10:double,mrr:double,n_cases:bigint>"
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", f"run_id string, label string, created_at string, layer1 {layer}, layer2 {layer}").alias("r"))
+    return files.select("r.*").where("run_id IS NOT NULL").orderBy(F.coalesce("created_at", F.lit("")), "run_id")
+
+
+def write_packet(streams: Mapping[str, DataFrame], path: str, keys: Mapping[str, str], facts: Mapping[str, object]) -> None:
+    """Streams as JSON lines in the order of their keys, and a summary with the number of records of each."""
+    spark = next(iter(streams.values())).sparkSession
+    for name, rows in streams.items():
+        write_json_lines(rows, f"{path}/{name}.jsonl", keys[name])
+    summary = dict(facts) | {"counts": {name: spark.read.text(f"{path}/{name}.jsonl").count() for name in streams}}
+    spark.createDataFrame([(json.dumps(summary, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/packet_summary.json")
+
+
+def write_diagrams(diagrams: DataFrame, path: str) -> None:
+    """(media_id, mermaid) -> text files, a folder for each diagram."""
+    diagrams.where("mermaid IS NOT NULL").select(F.concat("media_id", F.lit(".mmd")).alias("file"), F.col("mermaid").alias("value")).write.partitionBy("file").text(path)
+
+
 def read_tree(spark: SparkSession, path: str, repo: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """Files of a source tree -> (repo, path, size, content, text, excluded, language); binary files have no text."""
+    """Files of a source tree -> (repo, path, size, content, excluded, fault, text, language, symbols).
+
+    Excluded files have no text, nor have those with a fault: a path that cannot be stored anywhere, bytes that are no
+    UTF-8, or control characters.
+    """
     from tessera.functions.text import language_of
-    from tessera.operators.crawl import exclusion
+    from tessera.operators.crawl import exclusion, symbol_authority, text_fault, valid_path
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.rstrip("/").removeprefix("file:")
     relative = F.regexp_replace("path", r"^.*?" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root) + "/", "")
     rows = files.select(F.lit(repo).alias("repo"), relative.alias("path"), F.col("length").alias("size"), "content")
     reason = F.when(F.col("size") > most_bytes, "too_large").otherwise(exclusion(F.col("path"), F.col("content")))
-    out = rows.withColumn("excluded", reason)
-    return out.withColumns({"text": F.when(F.col("excluded").isNull(), F.decode("content", "UTF-8")), "language": language_of(F.col("path"))})
+    out = rows.withColumn("excluded", reason).withColumn("fault", F.when(F.col("excluded").isNull(), F.when(~valid_path(F.col("path")), "path_invalid").otherwise(text_fault(F.col("content")))))
+    good = F.col("excluded").isNull() & F.col("fault").isNull()
+    return out.withColumns({"text": F.when(good, F.decode("content", "UTF-8")), "language": language_of(F.col("path")), "symbols": good & symbol_authority(F.col("path"))})
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -121,6 +238,10 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def read_packet(spark: SparkSession, path: str, schemas: Mapping[str, StructType | str]) -> dict[str, DataFrame]:
     """The streams of a packet folder; its summary names the number of records of each, which must agree."""
     summary = json.loads("".join(r[0] for r in spark.read.text(f"{path}/packet_summary.json").collect()))  # one small file
+    home, fs = _path(spark, path)
+    found = {s.getPath().getName() for s in fs.listStatus(home)}
+    if found != {"packet_summary.json", *(f"{name}.jsonl" for name in schemas)}:
+        raise ValueError(f"a packet holds its streams and its summary, and nothing else: {sorted(found)}")
     streams = {name: read_json_lines(spark, f"{path}/{name}.jsonl", s) for name, s in schemas.items()}
     wrong = [name for name, rows in streams.items() if rows.count() != summary["counts"].get(name)]
     if wrong:

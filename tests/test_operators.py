@@ -88,15 +88,25 @@ def test_principals(spark):
 
 def test_access_rules(spark):
     levels = [
-        ("open", 0, "unrestricted", [], []), ("two", 0, "restricted", ["A", "b"], []), ("two", 1, "restricted", ["a"], ["g"]),
-        ("none", 0, "restricted", ["a"], []), ("none", 1, "restricted", ["b"], []), ("lost", 0, "unavailable", [], []), ("lost", 1, "unrestricted", [], []),
+        ("open", 0, "1", "unrestricted", [], []), ("loose", 0, "1", "unrestricted", [], []), ("two", 0, "1", "restricted", ["A", "b"], []), ("two", 1, "2", "restricted", ["a"], ["g h"]),
+        ("one", 0, "1", "unrestricted", [], []), ("one", 1, "3", "restricted", ["Z", "a"], []), ("none", 0, "1", "restricted", ["a"], []), ("none", 1, "2", "restricted", ["b"], []),
+        ("lost", 0, "1", "unavailable", [], []), ("lost", 1, "2", "unrestricted", [], []),
     ]
-    df = spark.createDataFrame(levels, "document_id string, level int, classification string, users array<string>, groups array<string>")
-    out = {r.document_id: (r.is_restricted, r.acl_tags, r.acl_extraction_status) for r in access.materialize(df, "c", "t").collect()}
-    assert out["open"] == (False, ["public"], "ok")
-    assert out["two"] == (True, ["user:a"], "ok")
-    assert out["none"] == (True, ["restricted:unresolved"], "partial")
-    assert out["lost"] == (True, ["restricted:unresolved"], "unavailable")
+    df = spark.createDataFrame(levels, "document_id string, level int, source_page_id string, classification string, users array<string>, groups array<string>")
+    pages = spark.createDataFrame([("open", "KEY1"), ("loose", "bad key"), ("two", "K")], "document_id string, space_key string")
+    out = {r.document_id: r for r in access.materialize(df, pages, "c", "t").collect()}
+    said = lambda r: (r.is_restricted, r.acl_tags, r.acl_extraction_status, r.acl_confidence)
+    assert said(out["open"]) == (False, ["space:KEY1"], "ok", "exact")
+    assert said(out["loose"]) == (False, ["restricted:unresolved"], "partial", "approximate")
+    assert said(out["two"]) == (True, ["user:a"], "partial", "approximate")
+    assert said(out["one"]) == (True, ["user:a", "user:z"], "ok", "exact")
+    assert said(out["none"]) == (True, ["restricted:unresolved"], "partial", "approximate")
+    assert said(out["lost"]) == (True, ["restricted:unresolved"], "unavailable", "approximate")
+    assert (out["two"].allowed_users, out["two"].restriction_source_page_ids, out["two"].restriction_inherited) == (["A", "b"], ["1", "2"], True)
+    assert (out["one"].allowed_users, out["one"].restriction_inherited) == (["a", "Z"], False)
+    assert out["two"].reason_codes == ["non_enforceable_group_principal", "user_principal_dropped_by_intersection"]
+    assert out["none"].reason_codes == ["user_principal_dropped_by_intersection", "empty_effective_intersection"]
+    assert out["lost"].allowed_users is None and out["lost"].restriction_source_page_ids is None
 
 
 def test_issue_keys(spark):
@@ -157,12 +167,12 @@ def test_chunks_keep_the_budget(spark):
     body = "Intro.\n# One\n" + "A sentence here. " * 600 + "\n## Code\n```py\n" + "x = 1\n" * 700 + "```\n## T\n| a | b |\n| --- | --- |\n" + "| 1 | 2 |\n" * 500
     budget = chunking.Budget()
     parts = chunking.chunk_text("Title", body, budget)
-    assert {k for _, k, _, _ in parts} == {"prose", "code", "table"}
-    assert all(n <= budget.hard for *_, n in parts)
-    assert sum(t.count("| 1 | 2 |") for _, k, t, _ in parts if k == "table") == 500
+    assert {p[1] for p in parts} == {"prose", "code", "table"}
+    assert all(p[3] <= budget.hard for p in parts)
+    assert sum(p[2].count("| 1 | 2 |") for p in parts if p[1] == "table") == 500
     assert chunking.chunk_text("T", "", budget) == []
     df = spark.createDataFrame([("d", "T", "# A\nsame\n# A\nsame"), ("e", None, None)], "document_id string, title string, text string")
-    out = [r.chunk_id for r in chunking.token_chunks(df).orderBy("part_index").collect()]
+    out = [r.chunk_id for r in chunking.token_chunks(df).orderBy("chunk_index").collect()]
     assert out[1] == out[0] + "-1" and len(out) == 2
 
 
