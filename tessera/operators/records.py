@@ -26,10 +26,10 @@ def page_fields(pages: DataFrame, body: str = "body") -> DataFrame:
     null.
     """
     p = F.from_json(F.col(body), PAGE)
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), p.alias("p"))
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), p.alias("p"), F.json_object_keys(body).isNull().alias("broken"))
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     rules = {
-        "payload": F.col("p").isNull(),
+        "payload": F.col("broken"),
         "id": ~F.col("p.id").eqNullSafe(F.col("page_id")),
         "type": F.coalesce(F.col("p.type") != "page", F.lit(False)),
         "title": blank(F.col("p.title")),

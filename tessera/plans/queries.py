@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, markup, text
 from tessera.functions.checkpoints import cut
 from tessera.operators import access, chunking, crawl, delta, evaluation, integrity, relations, retrieval, store
-
-VERSION, DAY = "v20260101-000000-000000Z", "2026-01-01T00:00:00Z"
-NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
-#: Two versions of one dataset: what was shipped before this day, and since.
-TURN = "1998-05-25"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tessera.plans import records  # noqa: F401 - adds its queries to those below
+from tessera.plans.registry import DAY, NAMESPACE, ORACLE_SQL, QUERIES, TURN, VERSION, query, table  # noqa: F401
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("document_id", ids.page_document_id(F.col("doc_id")))
