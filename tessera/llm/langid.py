@@ -72,12 +72,12 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def train(rows: list[tuple[str, str, int]]) -> Model:
-    """Fit on (text, lang, order); rows of one fifth of the orders are kept for the temperature."""
-    rows = sorted(rows, key=lambda r: (r[2], r[1], r[0]))
-    languages = sorted({r[1] for r in rows})
+def train(rows: list[tuple[np.ndarray, np.ndarray, str, int]]) -> Model:
+    """Fit on (features, counts, lang, order); rows of one fifth of the orders are kept for the temperature."""
+    rows = sorted(rows, key=lambda r: (r[3], r[2], r[0].tobytes()))
+    languages = sorted({r[2] for r in rows})
     size = 1 << BITS
-    seen = [(*gram_counts(t), languages.index(lang), o % 5 == 0) for t, lang, o in rows if t]
+    seen = [(at, n, languages.index(lang), o % 5 == 0) for at, n, lang, o in rows if len(at)]
     df = np.zeros(size)
     for at, _, _, held in seen:
         if not held:
@@ -128,27 +128,35 @@ def train(rows: list[tuple[str, str, int]]) -> Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on text and lang of documents whose crc32(doc_id) mod 4 is not 2, at most about ``per_language`` of each.
 
-    The sample goes to one task, which is bounded by ``per_language`` and the number of languages. None without a row.
+    Texts become counts of features where they lie; only these go to the one task that fits: at most 2 ** ``BITS`` of them
+    for a text, whatever its length, and ``per_language`` texts for a language. None without a row.
     """
     ours = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 4) != 2)
     rates = ours.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    sample = ours.select("doc_id", "text", "lang").join(F.broadcast(rates), "lang").where(draw < F.col("rate") * 1_000_000)
+    sample = ours.select("doc_id", "text", "lang").join(F.broadcast(rates), "lang").where(draw < F.col("rate") * 1_000_000)  # a row per language
     sample = sample.select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)).alias("place"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [gram_counts(x.as_py()) for x in b.column(0)]
+            yield pa.record_batch({"at": pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), "n": pa.array([n.astype("<i8").tobytes() for _, n in found], pa.binary()), "lang": b.column(1), "place": b.column(2)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        rows = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<i8"), r["lang"], r["place"]) for b in batches for r in b.to_pylist()]
         if rows:
             yield pa.record_batch({"model": pa.array([pickle.dumps(train(rows))], pa.binary())})
 
-    made = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    counted = sample.mapInArrow(count, "at binary, n binary, lang string, place bigint")
+    made = counted.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0].model) if made else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, text) -> (doc_id, lang_pred, score), one row per row. Without a model all are ``und``.
 
-    Null, empty and letterless texts are ``und`` with score 0; the whole text counts, whatever its length.
+    Null, empty and letterless texts are ``und`` with score 0; the whole text counts, whatever its length. Repeated rows and
+    rows without a doc_id are judged alike; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +168,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a probability of ``least`` or more; columns are kept."""
+    """The rows of ``docs`` whose text has a language with a probability of ``least`` or more; columns are kept.
+
+    Null, empty and letterless texts go, and without a model all rows do. Repeated rows are judged alike. An empty table
+    stays empty.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

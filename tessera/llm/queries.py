@@ -63,5 +63,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_order_minhash, op2_simhash, op3_collinear_chaining, op4_packing, op5_hnsw, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_bpe, op10_token_counts)
 }
-#: Fingerprints, models, encoders and searches of these queries cannot be written in DuckDB's SQL; see tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+#: Fingerprints, models, encoders and searches of the other queries cannot be written in DuckDB's SQL; see tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    # bytes as pairs of hex digits, windows cut from blocks of 1024 bytes; runs of covered bytes, and what lies between them
+    "op6_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, length(h) // 2 AS n FROM documents),
+b AS (SELECT r, n, k, substr(h, 2048 * k + 1, 2446) AS p FROM (SELECT *, unnest(range(0, (n + 1023) // 1024)) AS k FROM d)),
+w AS (SELECT r, 1024 * k + j AS i, md5(substr(p, 2 * j + 1, 400)) AS m FROM (SELECT *, unnest(range(0, least(1024, n - 199 - 1024 * k))) AS j FROM b)),
+s AS (SELECT r, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 200, -1))::INT AS fresh FROM s)),
+runs AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY r, g),
+kept AS (SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a, lo AS z FROM runs UNION ALL SELECT d.r, coalesce(max(hi), 0), any_value(n) FROM d LEFT JOIN runs USING (r) GROUP BY d.r),
+left_ AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a, z) AS k FROM kept JOIN d USING (r) GROUP BY r),
+spans AS (SELECT r, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN left_ USING (r) LEFT JOIN spans USING (r)""",
+}

@@ -1,7 +1,7 @@
-"""Byte strings of a given length that occur more than once, found by depth-limited radix passes over suffixes.
+"""Byte strings of a given length that occur more than once, found by grouping suffixes digit by digit to a stated depth.
 
-Suffixes are told apart by most-significant digits, only as deep as the threshold, and a suffix leaves as soon as
-its group is settled:
+This is not a sort of all suffixes: see the README for why. Suffixes are told apart by up to three digits, each a hash of
+many bytes, no deeper than the threshold, and a suffix leaves as soon as its group is settled:
 
 1. Only content-chosen anchors go in: any two equal strings of ``size`` bytes hold the same anchor at the same place.
    The first digit is the ``gram`` bytes from the anchor. A suffix alone with its digit leaves.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions
+from .common import fresh, partitions
 from .windows import Rolling, anchors, mix, runs
 
 #: Different surroundings of one first digit above which pass 3 deals it out by whole strings.
@@ -327,7 +327,8 @@ def strip_repeats(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFrame
 def strip_texts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFrame:
     """``docs`` with its columns, texts without their repeats, and n_chars (if there) counted anew.
 
-    As in ``strip_repeats``; a character that loses a part of its bytes goes whole. A null text stays null.
+    As in ``strip_repeats``; a character that loses a part of its bytes goes whole. A null text stays null, and an empty
+    table stays empty.
     """
     names = docs.columns
     at, marks_at = names.index("text"), len(names)
@@ -342,5 +343,10 @@ def strip_texts(docs: DataFrame, size: int = 200, gram: int = 50) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=names)
 
-    out = _marked(docs, size, gram).select(*names, "__marks").mapInArrow(run, docs.schema)
+    # other columns travel in one, so that no name of theirs can clash with one of ours
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row") if rest else F.lit(None).alias("__row"))
+    marked = _marked(packed, size, gram)
+    (marks,) = fresh(docs, "marks")
+    out = marked.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__row")[c].alias(c) for c in names], F.col("__marks").alias(marks)).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

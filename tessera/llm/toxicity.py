@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments, and documents scored by extreme-value statistics.
 
 Each word and each beginning of a word (so that inflected forms share one) has a log-odds between toxic and clean
-training documents under an informative Dirichlet prior; what is not significantly toxic counts as neutral. Presence in
-documents is counted, not repeats. A constant is taken off every word, so that a clean text drifts down.
+training documents under an informative Dirichlet prior; a word whose log-odds are not significant counts as neutral, and
+words that speak for a clean text count against it. Presence in documents is counted, not repeats. A constant is taken off every word, so that a clean text drifts down.
 One linear pass gives all maximal segments. The best one in n clean words follows an extreme-value law with two
 parameters: lambda solves sum p(s) exp(lambda s) = 1, K is set from clean documents. A segment is significant if its
 expected number in a clean document of that length is below a limit. Two numbers, the best segment and the sum of the
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, cut
 
 WORD = re.compile(r"[^\W_]+")
-#: Bounds of what the model is fitted on and of its size: labelled documents (drawn by a hash), and words with a score.
+#: Bound of what the model is fitted on: labelled documents, drawn by a hash.
 MAX_LABELLED = 50_000
-MAX_WORDS = 20_000
 STEMS = (4, 5, 6)
 PRIOR, FLOOR, LEAST_Z, DRIFT, LEAST_E = 500.0, 0.5, 3.2, 0.5, 0.05
 
@@ -86,7 +85,8 @@ def stems(word: str) -> list[str]:
 
 
 class Weights(dict):
-    """Score of a word: of its most toxic stem. Words are kept once looked up, a bounded number of them."""
+    """Score of a word: of its most toxic stem, or, if none is toxic, of its cleanest one. Words are kept once looked up, a
+    bounded number of them."""
 
     def __init__(self, stem: dict[str, float]):
         super().__init__()
@@ -96,7 +96,7 @@ class Weights(dict):
         if len(self) > 500_000:
             self.clear()
         found = [x for s in stems(word) if (x := self.stem.get(s)) is not None]
-        self[word] = max(found) if found else None
+        self[word] = None if not found else max(found) if max(found) > 0 else min(found)
         return self[word]
 
 
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     alpha = (F.col("toxic") + F.col("clean")) * (PRIOR / (n1 + n0)) + FLOOR
     delta = F.log((F.col("toxic") + alpha) / (n1 + PRIOR - F.col("toxic") - alpha)) - F.log((F.col("clean") + alpha) / (n0 + PRIOR - F.col("clean") - alpha))
     z = delta / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
-    kept = counts.select("word", "clean", delta.alias("delta"), z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "word").limit(MAX_WORDS).collect()
+    kept = counts.select("word", "clean", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy("word").collect()  # words of at most MAX_LABELLED documents
     model = Model({r.word: r.delta - DRIFT for r in kept})
     # background: what a word of a clean document scores; stems of one word add up here, on the safe side
     mass = np.array([(r.clean + FLOOR) / n0 for r in kept])
@@ -192,7 +192,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
     """(doc_id, text) -> (doc_id, score, predicted, passages), one row per row of ``docs``.
 
     ``passages`` are the significant segments: their place in code points of the lower-cased text, and -ln of the number
-    to expect in a clean text of that length. Null and empty texts have no passage. Without a model scores are 0.
+    to expect in a clean text of that length. Null and empty texts have no passage. Without a model scores are 0. Rows that
+    share a doc_id, or have none, are scored like all others; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +216,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` with a score under the threshold; columns are kept. Without a model all rows stay."""
+    """The rows of ``docs`` with a score under the threshold; columns are kept. Without a model all rows stay.
+
+    Each row is judged by its own text, repeated rows alike; a null or empty text is scored as a text without a word. An
+    empty table stays empty.
+    """
     if model is None:
         return docs
     at = docs.columns.index("text")
