@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, path: str, sections: DataFrame | None = None,
         own = own.withColumn("sections", F.lit(None).cast("array<struct<section:bigint,start:bigint,end:bigint>>"))
     else:
         lists = sections.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(
-            F.col("section").cast("bigint"), F.col("start").cast("bigint"), F.col("end").cast("bigint")))).alias("sections"))
+            F.col("section").cast("bigint").alias("section"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")))).alias("sections"))
         own = own.join(lists, "doc_id", "left").withColumn("sections", F.coalesce("sections", F.expr("array()").cast("array<struct<section:bigint,start:bigint,end:bigint>>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -288,6 +288,54 @@ def test_packing(spark, sf, docs):
         assert size <= 2048 and (size == 2048 or size & (size - 1) == 0)
 
 
+def brute_scores(ids: list[list[int]], idf: np.ndarray, mean: float, seed: int) -> list[float]:
+    out = []
+    for d in ids:
+        score = 0.0
+        for term in set(ids[seed]):
+            tf = d.count(term)
+            score += idf[term] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        out.append(score)
+    return out
+
+
+def test_windows_take_the_best_neighbours():
+    """A window holds its seed and the unused documents with the best BM25 scores, in their order; against plain counting."""
+    rng = np.random.default_rng(12)
+    ids = [rng.integers(0, 60, rng.integers(5, 60)) for _ in range(80)]
+    idf, mean = rng.random(60) + 0.1, float(np.mean([len(x) for x in ids]))
+    packer = packing.Packer(100, 0)
+    rows, rest = packing.pack_shard(packer, list(range(80)), [x.astype("<u2") for x in ids], [0] * 80, packing.Shard([x.astype("<u2") for x in ids], idf, mean))
+    left, at = [len(x) for x in ids], 0
+    while at < len(rows):
+        seed = next(d for d in range(80) if left[d])
+        score = brute_scores([x.tolist() for x in ids], idf, mean, seed)
+        room = 100
+        for d in [seed, *sorted((d for d in range(80) if d != seed), key=lambda d: (-round(score[d], 9), d))]:
+            if room and left[d]:
+                n = min(left[d], room)
+                assert rows[at][:3] == (d, len(ids[d]) - left[d], n)
+                left[d], room, at = left[d] - n, room - n, at + 1
+    assert sum(left) < 100 and {d for d, _ in rest} == {d for d in range(80) if left[d]}
+
+
+def test_like_documents_share_sequences(spark):
+    """Near copies that stand far apart in the table are packed together; thousands of empty texts are no burden."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(600):
+        words = [f"t{i}w{x}" for x in rng.integers(0, 40, 60)]
+        rows += [(i, " ".join(words)), (i + 600, " ".join(words[:-3]))]
+    rows.sort()
+    rows += [(5000 + i, "") for i in range(6000)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), VOCABULARY, 1024).collect()
+    where = defaultdict(set)
+    for p in pieces:
+        where[p.doc_id].add(p.sequence_id)
+    assert len(where) == len(rows)
+    assert np.mean([bool(where[i] & where[i + 600]) for i in range(600)]) > 0.6
+
+
 def test_nearest_recall(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = table.collect()
@@ -309,6 +357,27 @@ def test_nearest_recall(spark, sf):
     assert right / total >= 0.9
 
 
+def test_nearest_over_many_shards(spark):
+    """Clusters and scattered vectors, a third of all rows near one centre, repeats; several shards, routed, against brute force."""
+    rng = np.random.default_rng(17)
+    heads = rng.normal(size=(12, 24))
+    v = np.concatenate([heads[0] + 0.05 * rng.normal(size=(700, 24)), *(h + 0.3 * rng.normal(size=(90, 24)) for h in heads), rng.normal(size=(200, 24))])
+    v[5] = v[900]
+    rows = [(i, x.tolist(), "k", i) for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, *rows[:40]], "vec_id long, embedding array<double>, shard string, cell int").repartition(5)
+    got = defaultdict(dict)
+    for r in hnsw.nearest(df, F.col("vec_id") % 50 == 0, shard=200).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    right = 0
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -2
+        assert sorted(found) == [1, 2, 3, 4, 5] and [found[i][1] for i in range(1, 6)] == sorted((x[1] for x in found.values()), reverse=True)
+        right += len(set(np.argsort(-s)[:5].tolist()) & {x for x, _ in found.values()})
+    assert len(got) == -(-len(v) // 50) and right / (5 * len(got)) >= 0.9
+
+
 def test_nearest_leaves_bad_vectors_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -381,6 +450,47 @@ def test_maximal_segments():
     assert toxicity.maximal_segments([]) == []
 
 
+def brute_segments(score: list[float], at: int = 0) -> list[tuple[int, int, float]]:
+    """The segment of greatest sum (the shortest, then first one), then those to its left and right, until none is above 0."""
+    best = None
+    for i in range(len(score)):
+        for j in range(i, len(score)):
+            total = sum(score[i : j + 1])
+            if total > 1e-9 and (best is None or (total, i - j) > (best[2] + 1e-9, best[0] - best[1])):
+                best = (i, j, total)
+    if best is None:
+        return []
+    i, j, total = best
+    return [*brute_segments(score[:i], at), (at + i, at + j, total), *brute_segments(score[j + 1 :], at + j + 1)]
+
+
+def test_segments_equal_all_subsequences():
+    rng = np.random.default_rng(15)
+    for _ in range(150):
+        n = int(rng.integers(1, 25))
+        weight = {int(i): float(np.round(rng.normal(), 3)) + 0.0004 * k for k, i in enumerate(rng.choice(n, rng.integers(0, n + 1), replace=False))}
+        score = [weight.get(i, -toxicity.DRIFT) for i in range(n)]
+        got = toxicity.maximal_segments(sorted(weight.items()))
+        want = brute_segments(score)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_gram_counts_equal_plain_counting(monkeypatch):
+    monkeypatch.setattr(langid, "PART", 7)
+    text = "Über die Brücke, 日本語 und zurück: ein Satz!"
+    plain = "".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in text.lower())
+    want: dict[int, int] = defaultdict(int)
+    mask = (1 << 64) - 1
+    for n in (1, 2, 3):
+        for i in range(len(plain) - n + 1):
+            h = 0
+            for c in plain[i : i + n]:
+                h = (h * 0x110001 + ord(c)) & mask
+            want[((h + n) * 0x9E3779B97F4A7C15 & mask) >> (64 - langid.BITS)] += 1
+    at, n = langid.gram_counts(text)
+    assert dict(zip(at.tolist(), n.tolist(), strict=True)) == dict(want)
+
+
 def test_language_held_out(spark, sf, docs):
     out = queries.op8_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in out]) > 0.9
@@ -414,6 +524,36 @@ def test_token_counts_add_up(spark, docs):
         assert all(abs(parts[k] - n[k]) < 1e-6 for k in parts)
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_equal_plain_counting(spark, rule):
+    """Overlapping sections with gaps, beyond the text, empty: each token is looked at by itself."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+    rng = np.random.default_rng(16)
+    texts = {1: "Some words, 日本語 and ünïcödé — numbers 12345 🙂 emoji\n" * 3, 2: "", 3: None, 4: "tail"}
+    parts = [(d, i, int(a), int(a + n)) for d in (1, 2, 3, 4, 9) for i, (a, n) in enumerate(zip(rng.integers(0, 170, 12), rng.integers(0, 40, 12), strict=True))]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.section): (r.start, r.end, r.n_tokens) for r in token_counts.token_counts(docs, VOCABULARY, spark.createDataFrame(parts, "doc_id long, section int, start int, end int"), rule).collect()}
+    for d, text in texts.items():
+        e = t.encode(text or "", add_special_tokens=False)
+        assert got[d, -1] == (0, len(text or ""), len(e.ids))
+        for _, i, a, b in (x for x in parts if x[0] == d):
+            a, b = min(a, len(text or "")), min(b, len(text or ""))
+            n = 0.0
+            for lo, hi in e.offsets:
+                inside = max(0, min(hi, b) - max(lo, a))
+                if rule == "first":
+                    n += a <= lo < b
+                elif rule == "last":
+                    n += a < hi <= b
+                elif rule == "share":
+                    n += inside / (hi - lo)
+                else:
+                    n += 2 * inside > hi - lo or 2 * inside == hi - lo and a <= lo < b
+            assert got[d, i][:2] == (a, b) and abs(got[d, i][2] - (n if a < b else 0)) < 1e-9
+
+
 def test_hard_rows_do_not_break(spark, hard):
     """Nulls, empty and long texts, ties, repeated rows, extra columns: one row per row, or per document."""
     n = len(HARD)
@@ -437,6 +577,62 @@ def test_empty_tables(spark, hard):
         assert out.count() == 0
 
 
+def components(n: int, links) -> list[int]:
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_each_stage_against_a_plainer_version(spark, sf):
+    """Every stage on what the one before kept: verdicts row by row, all pairs of shingle sets, all windows of bytes, ids."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "language_id", "simhash_near_dedup", "suffix_array_dedup", "packing"]
+
+    clean = stages["toxicity"](spark, docs, sf).cache()
+    model = toxicity.fit(docs, labels)
+    verdict = {r.doc_id: r.score < 0.7 for r in toxicity.score(docs, model).collect()}
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == sorted(k for k, v in verdict.items() if v)
+
+    known = stages["language_id"](spark, clean, sf).cache()
+    said = langid.fit(clean)
+    want = [r.doc_id for r in clean.collect() if said.predict(r.text)[0] != "und" and said.predict(r.text)[1] >= 0.4]
+    assert known.columns == docs.columns and sorted(r.doc_id for r in known.collect()) == sorted(want)
+
+    first = stages["simhash_near_dedup"](spark, known, sf).cache()
+    rows = sorted(((r.doc_id, r.text) for r in known.collect()), key=lambda r: r[0])
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = components(len(rows), links)
+    wanted, kept = {rows[i][0] for i in range(len(rows)) if root[i] == i}, {r.doc_id for r in first.collect()}
+    assert wanted <= kept and len(kept - wanted) <= 0.1 * (len(rows) - len(wanted))
+
+    stripped = stages["suffix_array_dedup"](spark, first, sf).cache()
+    texts = {r.doc_id: r.text for r in first.collect()}
+    brute = dict(zip(texts, brute_strip(list(texts.values()), 200), strict=True))
+    for r in stripped.collect():
+        raw = len(r.text.encode())
+        assert r.n_chars == len(r.text) and raw <= brute[r.doc_id][0] - brute[r.doc_id][1] <= raw + 6 * brute[r.doc_id][2]
+        assert brute[r.doc_id][1] or r.text == texts[r.doc_id]
+
+    t, n = Tokenizer.from_file(VOCABULARY), defaultdict(int)
+    for p in stages["packing"](spark, stripped, sf).collect():
+        n[p.doc_id] += p.length
+    assert n == {r.doc_id: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in stripped.collect()}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
@@ -445,3 +641,31 @@ def test_pipeline(spark, sf):
     kept, all_docs = pieces.select("doc_id").distinct(), spark.read.parquet(f"{sf}/documents.parquet")
     assert kept.join(all_docs, "doc_id", "left_anti").count() == 0
     assert kept.count() > 0.4 * all_docs.count()
+
+
+def test_pipeline_on_hard_and_empty_tables(spark, tmp_path):
+    """Nulls, repeats, clashing columns, and no rows at all go through all five stages."""
+    import corpus_pipeline
+
+    names = ["fp", "key", "seed", "__key", "__tag", "__marks", "__place", "many", "place", "node", "centre"]
+    rows = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in HARD], SCHEMA).withColumns({n: F.lit(n) for n in names})
+    for name, df in (("hard", rows), ("none", rows.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage in ("simhash_near_dedup", "suffix_array_dedup"):
+            out = dict(corpus_pipeline.STAGES)[stage](spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns and all(r[n] == n for r in out.collect() for n in names)
+        assert (corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() > 0) == (name == "hard")
+
+
+def test_very_long_texts(spark):
+    """One document of 8 MB, most of it one sentence over and over, beside short ones."""
+    rng = np.random.default_rng(14)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 500_000)) + " the same words again and again" * 150_000
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    assert order_minhash.fingerprint_edits(docs).where("n_chars > 8000000").count() == 1
+    assert suffixes.strip_repeats(docs).where("n_removed > 4500000 AND n_spans = 1").count() == 1
+    assert simhash.simhash_components(docs).count() == 3 and simhash.keep_first(docs).count() == 3
+    assert sum(r.length for r in packing.pack(docs, VOCABULARY).collect() if r.doc_id == 1) > 10**6
+    assert token_counts.token_counts(docs, VOCABULARY).where("section = -1").count() == 3
