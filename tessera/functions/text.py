@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,6 +82,43 @@ def char_chunks(docs: DataFrame, size: int = 1500, overlap: int = 150) -> DataFr
     return docs.select("doc_id", F.posexplode(windows(F.coalesce("text", F.lit("")))).alias("chunk_index", "text"))
 
 
+def named_entities(text: str) -> str:
+    """Named character references as numbers, but for the five that XML has; CDATA sections and comments stay as they are.
+
+    An unknown name is an error, as it would be to a reader of the page.
+    """
+
+    def one(m: re.Match[str]) -> str:
+        if m["literal"] or m["name"] in ("amp", "lt", "gt", "apos", "quot"):
+            return m[0]
+        found = html5.get(m["name"] + ";")
+        if found is None:
+            raise ValueError(f"unknown entity {m['name']}")
+        return "".join(f"&#x{ord(c):X};" for c in found)
+
+    return re.sub(r"(?P<literal><!\[CDATA\[.*?\]\]>|<!--.*?-->)|&(?P<name>[A-Za-z][A-Za-z0-9]+);", one, text, flags=re.S)
+
+
+def row_cells(line: str) -> list[str]:
+    """The cells of a Markdown table's row; an escaped bar does not part them."""
+    body = line.strip().removeprefix("|")
+    body = body[:-1] if body.endswith("|") and not body.endswith("\\|") else body
+    out = [""]
+    for m in re.finditer(r"\\.|\||[^\\|]+|\\", body, flags=re.S):
+        if m[0] == "|":
+            out.append("")
+        else:
+            out[-1] += m[0]
+    return out
+
+
+def instant(value: Column) -> Column:
+    """An RFC 3339 time as text in UTC with six digits of a second; null for what is none: no offset, or no such day."""
+    shape = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d{1,6})?([Zz]|[+-]\d{2}:\d{2})$"
+    at = F.try_to_timestamp(F.when(value.rlike(shape), F.upper(value)))
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 #: File extensions and the names of their languages.
 LANGUAGES = {
     "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "h": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "inl": "cpp", "java": "java",
