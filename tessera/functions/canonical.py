@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,3 +52,15 @@ def rows_digest(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     words = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(4)]
     total = h.agg(F.count("*").alias("rows"), *words)
     return total.select("rows", digest(F.concat_ws(":", F.lit(",".join(names)), F.col("rows").cast("string"), *[F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("string") for i in range(4)])).alias("digest"))
+
+
+def crawl_fingerprint(endpoint: Column, scope: Column, profile: Mapping[str, Column]) -> Column:
+    """What a crawl may be resumed under: the digest of its endpoint's and scope's identities and of its limits."""
+    return digest(canonical_json({"endpoint": endpoint, "scope": scope, "profile": digest(canonical_json(profile))}))
+
+
+def streams_digest(streams: Mapping[str, DataFrame]) -> DataFrame:
+    """One row (digest) over all streams of a version: the names in order, each with the digest of its rows."""
+    parts = [rows_digest(streams[name]).select(F.lit(name).alias("name"), "digest") for name in sorted(streams)]
+    listed = reduce(DataFrame.unionByName, parts).agg(F.array_sort(F.collect_list(F.concat_ws("=", "name", "digest"))).alias("all"))  # a row per stream
+    return listed.select(digest(F.array_join("all", "\x00")).alias("digest"))

@@ -109,6 +109,17 @@ def dependents(streams: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("entity_id IS NOT NULL").distinct().join(docs.select("document_id").distinct(), "document_id", "left_semi")
 
 
+def dependents_hash(rows: DataFrame) -> DataFrame:
+    """(document_id, entity_type, entity_id) -> (document_id, dependents_hash): equal for equal sets, whatever their order.
+
+    Hashes of the entities are added up, so that a document with very many is never gathered. Beside content and access
+    this is the third thing that ``classify`` compares.
+    """
+    h = F.sha2(F.concat_ws("\x1f", "entity_type", "entity_id"), 256)
+    words = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"__{i}") for i in range(2)]
+    return rows.groupBy("document_id").agg(F.count("*").alias("__n"), *words).select("document_id", F.concat_ws(":", "__n", "__0", "__1").alias("dependents_hash"))
+
+
 #: States of a media file that count as processed.
 PROCESSED = ("parsed", "ocr", "summarized")
 

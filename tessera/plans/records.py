@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import canonical, ids, text
-from tessera.operators import crawl, delta, evaluation, integrity, records, relations, retrieval, store
+from tessera.functions import canonical, diagrams, ids, text
+from tessera.operators import code, crawl, delta, evaluation, integrity, records, relations, retrieval, store
 from tessera.plans.registry import DAY, VERSION, query, table
 
 _LINES_SQL = "lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)"
@@ -449,3 +449,74 @@ def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id)")
 def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.without(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 0"), ["doc_id"])
+
+
+# ---- source files: parts as files of repositories, their lines from their fields
+
+_CODE_SQL = """
+f AS (SELECT p_partkey AS k, p_brand AS repo, 'src/f' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.java' ELSE '' END AS path, p_size AS n, p_type AS t FROM part),
+g AS (SELECT *, [t || ' ' || i FOR i IN range(0, n)] AS l FROM f),
+d AS (SELECT *, array_to_string(l, chr(10)) AS text FROM g)
+"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ending = F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".java").otherwise("")
+    lines = F.transform(F.sequence(F.lit(0), F.col("p_size") - 1), lambda i: F.concat_ws(" ", "p_type", i.cast("string")))
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.col("p_brand").alias("repo"), F.concat(F.lit("src/f"), k, ending).alias("path"), F.array_join(lines, "\n").alias("text"))
+
+
+@query(f"""WITH {_CODE_SQL} SELECT 'git:' || repo || ':' || path AS document_id, sha256(text) AS content_hash, CASE k % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'unknown' END AS language, 'repo:' || repo AS tag, 'abc' AS source_version FROM d""")
+def git_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.git_documents(_files(spark, sf_dir), "main", "abc").select("document_id", "content_hash", "language", F.col("acl_tags")[0].alias("tag"), "source_version")
+
+
+@query(f"""WITH RECURSIVE {_CODE_SQL},
+c AS (SELECT *, len(regexp_extract_all(path, '[A-Za-z0-9_]+|[^A-Za-z0-9_ ]')) AS head, [len(regexp_extract_all(x, '[A-Za-z0-9_]+|[^A-Za-z0-9_ ]')) FOR x IN l] AS s FROM d WHERE n > 0),
+w AS (SELECT k, 0 AS i, 0 AS a, least(40, n, greatest(1, (450 - head) // s[1])) AS e FROM c
+ UNION ALL SELECT w.k, i + 1, e - least(4, e), least(n, e - least(4, e) + least(40, (450 - head) // s[1])) FROM w JOIN c USING (k) WHERE e < n)
+SELECT 'git:' || repo || ':' || path AS document_id, i AS part_index, (count(*) OVER (PARTITION BY k))::INT AS part_total, (a + 1)::INT AS line_start, e::INT AS line_end, (head + (e - a) * s[1])::INT AS token_count,
+'chunk:git:' || substr(sha256(concat_ws(chr(31), 'git', 'git:' || repo || ':' || path, path || '#w' || i, path || chr(10) || chr(10) || array_to_string(l[a + 1 : e], chr(10)))), 1, 16) AS chunk_id FROM w JOIN c USING (k)""")
+def git_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a file have as many tokens, so SQL can tell where windows end."""
+    return code.git_chunks(code.git_documents(_files(spark, sf_dir), "main", "abc")).select("document_id", "part_index", "part_total", "line_start", "line_end", "token_count", "chunk_id")
+
+
+@query(f"""WITH {_CODE_SQL}, s AS (SELECT k, repo, path, n, x FROM d, (SELECT unnest([1, 30, 37, 45]) AS x) WHERE k % 4 = 0)
+SELECT k || '@' || x AS symbol_id, CASE WHEN x <= n THEN CASE WHEN x <= 40 THEN 0 ELSE 1 END END AS part FROM s""")
+def symbol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols at some lines of files, and the number of the window that holds each first."""
+    files = _files(spark, sf_dir)
+    chunks = code.git_chunks(code.git_documents(files, "main", "abc"))
+    symbols = files.where("k % 4 = 0").select("repo", F.col("path").alias("file_path"), "k", F.explode(F.lit([1, 30, 37, 45])).alias("line_start")).select("repo", "file_path", F.concat_ws("@", "k", "line_start").alias("symbol_id"), "line_start")
+    tied = code.tie_symbols(symbols, chunks)
+    return tied.join(chunks.select("chunk_id", F.col("part_index").alias("part")), "chunk_id", "left").select("symbol_id", "part")
+
+
+@query("""WITH o AS (SELECT o_custkey AS d, o_orderkey AS k FROM orders), a AS (SELECT d, list(DISTINCT k ORDER BY k) AS ks FROM o WHERE k % 5 <> 0 GROUP BY d), b AS (SELECT d, list(DISTINCT k ORDER BY k) AS ks FROM o WHERE k % 7 <> 0 OR k % 35 = 0 GROUP BY d),
+c AS (SELECT c_custkey AS d, a.ks AS x, b.ks AS y FROM customer LEFT JOIN a ON a.d = c_custkey LEFT JOIN b ON b.d = c_custkey)
+SELECT d AS document_id, CASE WHEN x IS NOT DISTINCT FROM y THEN 'unchanged' ELSE 'changed' END AS outcome FROM c""")
+def dependent_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose own content stays, compared by what hangs on them."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.lit("chunk").alias("entity_type"), F.col("o_orderkey").alias("entity_id"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"))
+    old, new = (docs.join(delta.dependents_hash(o.where(part)), "document_id", "left") for part in ("entity_id % 5 <> 0", "entity_id % 7 <> 0 OR entity_id % 35 = 0"))
+    return delta.classify(old, new, hashes=("dependents_hash",))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k FROM nation) SELECT k AS crawl_key, sha256('{"endpoint":"e' || k || '","profile":"' || sha256('{"pages":' || k || ',"pause":3.0}') || '","scope":"s"}') AS fingerprint FROM n""")
+def crawl_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    made = canonical.crawl_fingerprint(F.concat(F.lit("e"), k), F.lit("s"), {"pages": k, "pause": F.lit(3.0)})
+    return table(spark, sf_dir, "nation").select(k.alias("crawl_key"), made.alias("fingerprint"))
+
+
+@query("""SELECT n_nationkey AS media_id, 'chunk:confluence:' || substr(sha256(concat_ws(chr(31), 'confluence', n_regionkey::VARCHAR, 'drawio:' || n_nationkey, n_name || chr(10) || chr(10) || '```mermaid' || chr(10) || 'flowchart TD' || chr(10) || '    b' || n_nationkey || '["' || n_name || '"]' || chr(10) || '```')), 1, 16) AS chunk_id FROM nation""")
+def diagram_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diagram with one box for each nation, read, drawn and cut."""
+    n = table(spark, sf_dir, "nation")
+    body = F.concat(F.lit('<mxGraphModel><root><mxCell id="0"/><mxCell id="b'), "n_nationkey", F.lit('" vertex="1" parent="0" value="'), "n_name", F.lit('"/></root></mxGraphModel>')).cast("binary")
+    drawn = diagrams.read_diagrams(n.select(F.col("n_nationkey").alias("media_id"), body.alias("body")))
+    named = drawn.join(n.select(F.col("n_nationkey").alias("media_id"), F.col("n_regionkey").alias("document_id"), F.col("n_name").alias("title")), "media_id")
+    return code.diagram_chunks(named).select("media_id", "chunk_id")
