@@ -125,16 +125,17 @@ def pack_shard(packer: Packer, docs: list, ids: list[np.ndarray], starts: list[i
         seed = int(np.argmax(unused))
         score = shard.scores(seed)
         order = np.argsort(-score, kind="stable")
-        opened = []
+        opened, filled = [], 0
         for d in [seed, *order[order != seed].tolist()]:
             if not unused[d]:
                 continue
-            n = int(min(left[d], packer.window - sum(x[2] for x in opened)))
+            n = int(min(left[d], packer.window - filled))
             opened.append((d, int(start[d]), n))
+            filled += n
             start[d] += n
             left[d] -= n
             unused[d] = left[d] > 0
-            if sum(x[2] for x in opened) == packer.window:
+            if filled == packer.window:
                 rows += [packer.put(docs[d], s, n) for d, s, n in opened]
                 opened = []
                 break
@@ -223,6 +224,7 @@ def _pack(window: int, dtype: str, idf: np.ndarray, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         held: list[tuple] = []  # (doc_id, ids, start of ids, doc_tokens, ids that are packed)
+        new = 0  # held rows that were in no shard yet: very short ones can stay in an open window by the thousand
 
         def out(rows):
             return _piece([(*d[:4], d[2] + s, n, 2 * number + 1, offset) for d, s, n, number, offset in rows])
@@ -238,8 +240,10 @@ def _pack(window: int, dtype: str, idf: np.ndarray, mean: float):
         for b in batches:
             for key, start, total, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 held.append((key, np.frombuffer(x.as_py(), dtype), start, total, 0))
-                if len(held) >= SHARD:
+                new += 1
+                if new >= SHARD:
                     yield from shard()
+                    new = 0
         if held:
             yield from shard()
         todo, rows = list(held), []
