@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.checkpoints import cut, ensure_checkpoint_dir, partitions
 
-__all__ = ["Roots", "connected_components", "crc_mod", "cut", "ensure_checkpoint_dir", "fresh", "partitions", "salted_join", "table"]
+__all__ = ["Roots", "connected_components", "crc_mod", "cut", "ensure_checkpoint_dir", "fresh", "partitions", "salted_join", "small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows, of a few numbers each, up to which a side of a join goes to every task.
+FEW = 1_000_000
+
+
+def small(side: DataFrame, rows: Column | None = None) -> DataFrame:
+    """``side`` (cut before) marked for broadcast if it is counted to be small, else as it is, for a shuffle join.
+
+    ``rows`` says how much each row counts, where rows hold lists.
+    """
+    n = side.agg(F.coalesce(F.sum(rows if rows is not None else F.lit(1)), F.lit(0))).first()[0]
+    return F.broadcast(side) if n <= FEW else side
+
+
 def salted_join(rows: DataFrame, side: DataFrame, key: str, other: str, each: int = 256) -> DataFrame:
     """``rows`` joined with ``side`` (one row per key) on ``key``, where one key may hold very many rows.
 
@@ -48,7 +61,7 @@ class Roots:
     """Union-find over array positions; unions come as whole arrays of pairs."""
 
     def __init__(self, n: int):
-        self.parent = np.arange(n)
+        self.parent = np.arange(n, dtype=np.int32)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         r = self.parent[x]
@@ -81,7 +94,7 @@ class Roots:
             self.union(a[used], b[used])
 
     def all(self) -> np.ndarray:
-        return self.find(np.arange(len(self.parent)))
+        return self.find(np.arange(len(self.parent), dtype=np.int32))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

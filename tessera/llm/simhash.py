@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Roots, connected_components, cut, fresh, partitions, salted_join
+from .common import Roots, connected_components, cut, fresh, partitions, salted_join, small
 from .windows import mix
 
 #: Bound of the sample that the trees across shards are drawn from, and fingerprints that a shard is meant to hold.
@@ -50,12 +50,14 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.array([f(flat[s:e], 42) for s, e in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Bit i is 1 if it is set in over half the hashes; 0 without hashes."""
-    ones = np.zeros(64, np.int64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Bit i is 1 if it is set in over half the rows of hashes, a word of bits per column; 0 without rows."""
+    hashes = hashes[:, None] if hashes.ndim == 1 else hashes
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
     for i in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+        part = np.ascontiguousarray(hashes[i : i + 8192])
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -63,7 +65,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(shingle_hashes(t.as_py(), k)) for t in b.column(1)], np.uint64)
+            fps = np.array([fingerprint(shingle_hashes(t.as_py(), k))[0] for t in b.column(1)], np.uint64)
             yield pa.record_batch({"doc_id": b.column(0), "fp": pa.array(fps.view(np.int64))})
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
@@ -263,14 +265,13 @@ def near_groups(fps: DataFrame, radius: int = 3) -> DataFrame:
 
     Equal fingerprints are one node, whatever their number. ``fps`` should be cut, as it is read three times.
     """
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = cut(own)
-    comp = connected_components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
-    held = distinct.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = held.where("root <> fp").select("root").distinct()
-    low = held.join(linked, "root", "left_semi").groupBy("root").agg(F.min("first").alias("low"))
-    named = held.join(low, "root", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    comp = cut(connected_components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"}))
+    linked = comp.join(distinct, "fp")
+    low = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = salted_join(linked, low, "root", "fp").select("fp", "component_id")
+    alone = distinct.join(comp, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    return fps.join(named.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
@@ -288,9 +289,9 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFram
 
 #: Bits by which candidates may differ (of 256; a similarity of 0.8 gives 39, give or take 6), least bits of a table's
 #: key, part of the pairs of similarity 0.8 that meet in no table, rows of a key that are compared in one task.
-LIMIT, BITS, MISSED, GROUP = 54, 16, 0.03, 4096
-#: Rows of a key up to which keys are compared many at once; rows of a table that may be broadcast.
-SMALL, FEW = 32, 1_000_000
+LIMIT, BITS, MISSED, GROUP = 54, 6, 0.03, 1024
+#: Rows of a key up to which keys are compared many at once.
+SMALL = 32
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -300,7 +301,8 @@ def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in b.column(1)]
-            words = {f"f{i}": pa.array(np.array([fingerprint(mix(h + np.uint64(i))) for h in sets], np.uint64).view(np.int64)) for i in range(4)}
+            wide = np.array([fingerprint(mix(h[:, None] + np.arange(4, dtype=np.uint64))) for h in sets], np.uint64).reshape(-1, 4).view(np.int64)
+            words = {f"f{i}": pa.array(wide[:, i]) for i in range(4)}
             node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             yield pa.record_batch({"doc_id": b.column(0), "node": pa.array(node), **words})
 
@@ -320,9 +322,9 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def layout(n: int, similarity: float = 0.8, missed: float = MISSED) -> tuple[int, int]:
-    """(bits of a key, number of tables) for n fingerprints: keys hold a few hundred rows, and but for ``missed`` of them
+    """(bits of a key, number of tables) for n fingerprints: keys hold some hundreds of rows, and but for ``missed`` of them
     all pairs of that similarity that differ in at most ``LIMIT`` bits are expected to share a key, at any size."""
-    bits = max(BITS, math.ceil(math.log2(max(n, 2))) - 8)
+    bits = max(BITS, math.ceil(math.log2(max(n, 2))) - 9)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     weight = [math.comb(256, d) * p**d * (1 - p) ** (256 - d) for d in range(LIMIT + 1)]
     share = [math.comb(256 - d, bits) / math.comb(256, bits) for d in range(LIMIT + 1)]
@@ -341,36 +343,38 @@ def _table_keys(bits: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)]).view(np.uint64)
-            set_ = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            set_ = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
             for t, d in enumerate(drawn):
-                yield pa.record_batch([pa.array(set_[:, d] @ weights + (t << bits)), *b.columns], names=["key", *b.schema.names])
+                yield pa.record_batch([pa.array(set_[:, d].astype(np.int64) @ weights + (t << bits)), *b.columns], names=["key", *b.schema.names])
 
     return run
 
 
 def _candidates(limit: int, most: int):
-    """Rows (key, part, node, comp, words) sorted by key and part -> (u, v, place): pairs within ``limit`` of different comps.
+    """Rows (key, part, node, comp, words) sorted by key and part -> (u, v): pairs within ``limit`` of different comps.
 
     Of a key come the pairs of a least spanning forest by distance, and for each row up to ``most`` nearest ones. A row
-    (null, null, key) tells that the key has more. Rows of part -1 - p are compared with those of part p.
+    (u, null) tells that u has more. Rows of part -1 - p are compared with those of part p.
     """
 
     def pairs(f: np.ndarray, comp: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = []
-        for i in range(0, len(f), 256):
-            d = _apart(f[i : i + 256, None], f[None, i + 1 :]) if i + 1 < len(f) else np.empty((0, 0))
+        """All pairs of a key, a block of rows and a word of the fingerprints at a time; small numbers, as there can be many."""
+        words = np.ascontiguousarray(f.T)
+        out = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8))]
+        for i in range(0, len(f) - 1, 256):
+            d = sum((np.bitwise_count(w[i : i + 256, None] ^ w[i + 1 :]) for w in words), np.uint16(0))
             x, y = np.nonzero(d <= limit)
             ok = y >= x  # columns start one behind the block's first row
             x, y = x[ok], y[ok]
-            out.append((x + i, y + i + 1, d[x, y]))
-        a, b, d = (np.concatenate(z).astype(np.int64) for z in zip(*out, strict=True))
-        ok = comp[a] != comp[b]
-        if apart is not None:
-            ok &= apart[a] != apart[b]
-        return a[ok], b[ok], d[ok]
-
-    def pick(nodes: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, bool]:
-        order = np.lexsort((nodes[b], nodes[a], d))
+            a, b = x + i, y + i + 1
+            ok = comp[a] != comp[b]
+            if apart is not None:
+                ok &= apart[a] != apart[b]
+            out.append((a[ok].astype(np.int32), b[ok].astype(np.int32), d[x[ok], y[ok]].astype(np.uint8)))
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+    def pick(nodes: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(d.astype(np.uint8), kind="stable")  # pairs come in the order of their nodes
         a, b = a[order], b[order]
         place = np.unique(comp, return_inverse=True)[1]
         keep = np.zeros(len(a), bool)
@@ -380,9 +384,9 @@ def _candidates(limit: int, most: int):
                 o = np.argsort(side, kind="stable")
                 first = np.searchsorted(side[o], side[o])
                 keep[o[np.arange(len(o)) - first < most]] = True
-        return order[keep], not keep.all()
+        return order[keep], np.unique(np.concatenate((a[~keep], b[~keep])))
 
-    def small(key: np.ndarray, part: np.ndarray, comp: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def at_once(key: np.ndarray, part: np.ndarray, comp: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of all keys of up to SMALL rows, each row compared with the next ones of its key, at once."""
         out = [(np.empty(0, np.int64),) * 3]
         for step in range(1, SMALL):
@@ -399,19 +403,18 @@ def _candidates(limit: int, most: int):
 
     def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, part, nodes, comp, f = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4:].view(np.uint64)
-        us, vs, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        us, vs, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
         def send(at: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
             kept, rest = pick(nodes[at], comp[at], a, b, d)
             us.append(nodes[at][a[kept]])
             vs.append(nodes[at][b[kept]])
-            if rest:
-                more.append(int(key[at[0]]))
+            more.append(nodes[at][rest])
 
         spans = np.array(_spans(key))
         size = spans[:, 1] - spans[:, 0]
         at = np.flatnonzero(np.repeat(size <= SMALL, size))
-        a, b, d = small(key[at], part[at], comp[at], f[at])
+        a, b, d = at_once(key[at], part[at], comp[at], f[at])
         a, b = at[a], at[b]
         order = np.argsort(key[a], kind="stable")
         a, b, d = a[order], b[order], d[order]
@@ -428,9 +431,10 @@ def _candidates(limit: int, most: int):
                 send(np.arange(s, e), a, b, d)
         u, v = np.concatenate(us), np.concatenate(vs)
         if len(u):
-            yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "place": pa.nulls(len(u), pa.int64())})
-        if more:
-            yield pa.record_batch({"u": pa.nulls(len(more), pa.int64()), "v": pa.nulls(len(more), pa.int64()), "place": pa.array(more, pa.int64())})
+            yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+        open_ = np.unique(np.concatenate(more))
+        if len(open_):
+            yield pa.record_batch({"u": pa.array(open_), "v": pa.nulls(len(open_), pa.int64())})
 
     return by_key(8, work)
 
@@ -457,13 +461,13 @@ def similar_links(docs: DataFrame, nodes: DataFrame, k: int, similarity: float =
     """(u, v): links between ``nodes`` (node, first, words of the fingerprint) whose components are those of all candidates
     whose sets of shingles have the similarity.
 
-    Keys send a spanning forest of their candidates first; once those are checked, keys with further candidates between
-    parts not yet joined send more for each row, four times as many each round, until none is left unchecked.
+    Keys send a spanning forest of their candidates first; once those are checked, rows with further candidates between
+    parts not yet joined send more, sixteen times as many each round, until none is left unchecked.
     """
     spark = docs.sparkSession
     bits, tables = layout(nodes.count(), similarity)
     names = ["node", "comp", "f0", "f1", "f2", "f3"]
-    tested = good = None
+    tested = good = comp = None
     rows, most = nodes.withColumn("comp", F.col("node")), 0
     while True:
         first = rows.select(*names).mapInArrow(_table_keys(bits, tables), "key bigint, " + WIDE)
@@ -473,27 +477,28 @@ def similar_links(docs: DataFrame, nodes: DataFrame, k: int, similarity: float =
         both = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))).otherwise(
             F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, own).otherwise(-1 - own).alias("part")))
         )
-        parted = first.join(F.broadcast(wide) if wide.count() <= FEW else wide, "key", "left").withColumn("p", F.explode(both))
+        parted = first.join(small(wide), "key", "left").withColumn("p", F.explode(both))
         placed = parted.select(F.xxhash64("key", "p.i", "p.j").alias("place"), F.col("p.part").cast("bigint").alias("part"), *names)
         dealt = placed.repartition(partitions(spark), "place").sortWithinPartitions("place", "part", "node")
-        found = cut(dealt.mapInArrow(_candidates(LIMIT, most), "u bigint, v bigint, place bigint"))
-        pairs = found.where("u IS NOT NULL").select("u", "v").distinct()
+        found = cut(dealt.mapInArrow(_candidates(LIMIT, most), "u bigint, v bigint"))
+        pairs = found.where("v IS NOT NULL").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = cut(shingle_sets(texts, k).join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+        named = cut(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct())
+        texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(small(named), "doc_id", "left_semi")
+        sets = cut(shingle_sets(texts, k).join(small(ends), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
         one = salted_join(pairs, sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u", "v")
         two = salted_join(one, sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v", "u")
         new = cut(two.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u bigint, v bigint"))
         good = new if good is None else good.unionByName(new)
-        left = found.where("u IS NULL").select("place").distinct()
+        left = found.where("v IS NULL").select(F.col("u").alias("node")).distinct()
         if left.isEmpty():
             return good
-        most = max(4, 4 * most)
-        comp = connected_components(good)
-        again = placed.join(left, "place", "left_semi").select("node").distinct()
-        rows = cut(nodes.join(again, "node", "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")))
+        most = max(16, 16 * most)
+        if comp is None or not new.isEmpty():
+            comp = connected_components(good)
+        rows = cut(nodes.join(left, "node", "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -509,11 +514,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     fps = cut(wide_fingerprints(own.where(worded), k))
     names = ["f0", "f1", "f2", "f3"]
     nodes = cut(fps.groupBy("node", *names).agg(F.min("doc_id").alias("first")))
-    comp = connected_components(similar_links(own.where(worded), nodes, k, similarity))
-    rooted = nodes.join(comp, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    low = rooted.where("root <> node").select("root").distinct()
-    least = rooted.join(low, "root", "left_semi").groupBy("root").agg(F.min("first").alias("low"))
-    named = rooted.join(least, "root", "left").select("node", F.coalesce("low", "first").alias("group_id"))
+    comp = cut(connected_components(similar_links(own.where(worded), nodes, k, similarity)))
+    linked = comp.join(nodes.select("node", "first"), "node")
+    named = salted_join(linked, linked.groupBy("root").agg(F.min("first").alias("group_id")), "root", "node").select("node", "group_id")
+    named = named.unionByName(nodes.join(comp, "node", "left_anti").select("node", F.col("first").alias("group_id")))
     grouped = fps.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
     return grouped.unionByName(own.where(~worded).select(F.col("doc_id").cast("bigint"), F.col("doc_id").cast("bigint").alias("group_id")))
 
@@ -527,7 +531,8 @@ def keep_first(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
     key, many, place = fresh(docs, "key", "many", "place")
     groups = near_duplicates(docs, k, similarity)
     low = groups.groupBy("doc_id").agg(F.min("group_id").alias("group_id"), (F.count("*") > 1).alias(many)).where("doc_id = group_id")
-    kept = docs.join(low.select(F.col("doc_id").alias(key), many), docs["doc_id"] == F.col(key)).drop(key)
+    stay = small(cut(low.select(F.col("doc_id").alias(key), many)))
+    kept = docs.join(stay, docs["doc_id"] == F.col(key)).drop(key)
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     several = kept.where(many).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place, many)
     return kept.where(~F.col(many)).drop(many).unionByName(several).unionByName(docs.where("doc_id IS NULL"))
