@@ -93,7 +93,7 @@ class Weights(dict):
         self.stem = stem
 
     def __missing__(self, word: str) -> float | None:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = [x for s in stems(word) if (x := self.stem.get(s)) is not None]
         self[word] = None if not found else max(found) if max(found) > 0 else min(found)
