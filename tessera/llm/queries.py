@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chaining, hnsw, langid, order_minhash, packing, simhash, suffixes, token_counts, toxicity
+from . import bpe, chaining, hnsw, infill, langid, order_minhash, packing, simhash, suffixes, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -59,9 +59,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``infill`` over all documents; the outputs and the texts rebuilt from them as digests. Hard rows: see ``infill``."""
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    made = infill.infill(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_order_minhash, op2_simhash, op3_collinear_chaining, op4_packing, op5_hnsw, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_bpe, op10_token_counts)
+    for f in (op1_order_minhash, op2_simhash, op3_collinear_chaining, op4_packing, op5_hnsw, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_bpe, op10_token_counts, op13_infill)
 }
 #: Fingerprints, models, encoders and searches of the other queries cannot be written in DuckDB's SQL; see tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +86,12 @@ kept AS (SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a,
 left_ AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a, z) AS k FROM kept JOIN d USING (r) GROUP BY r),
 spans AS (SELECT r, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed FROM runs GROUP BY r)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN left_ USING (r) LEFT JOIN spans USING (r)""",
+    # units of a text as a list; the restored text is compared with the text itself
+    "op13_infill": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, len(u) AS n, [('0x' || substr(h, 8 * i + 1, 8))::UBIGINT::BIGINT for i in [0, 1, 2, 3]] AS d FROM t),
+c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS z, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:z], '') AS m, array_to_string(u[z + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
