@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chaining, hnsw, infill, langid, order_minhash, packing, simhash, suffixes, token_counts, toxicity
+from . import bpe, chaining, codebooks, hnsw, infill, langid, order_minhash, packing, simhash, suffixes, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -59,6 +59,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings. Hard rows: see ``codebooks.encode``."""
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``infill`` over all documents; the outputs and the texts rebuilt from them as digests. Hard rows: see ``infill``."""
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -70,8 +75,29 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_order_minhash, op2_simhash, op3_collinear_chaining, op4_packing, op5_hnsw, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_bpe, op10_token_counts, op13_infill)
+    for f in (op1_order_minhash, op2_simhash, op3_collinear_chaining, op4_packing, op5_hnsw, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_bpe, op10_token_counts, op12_codebooks, op13_infill)
 }
+
+
+def _codebook_sql() -> str:
+    """The rounds one after another; a distance is a sum over the components of a part, ties go to the lower entry."""
+    steps = ["""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "x AS MATERIALIZED (SELECT r, vec_id, label, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS v FROM k, range(4) t(p))",
+        "c0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM x WHERE r <= 256)"]
+    for i in range(codebooks.ROUNDS + 1):
+        far = "list_sum([(x.v[i] - c.v[i]) * (x.v[i] - c.v[i]) for i in range(1, len(x.v) + 1)])::HUGEINT"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, p, min({far} * 256 + e) AS m FROM x JOIN c{i} c USING (p) GROUP BY r, p)")
+        if i < codebooks.ROUNDS:
+            total = f"SELECT p, m % 256 AS e, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM x JOIN a{i} USING (r, p)) GROUP BY ALL"
+            mean = f"SELECT p, e, list((((s - ((s % n) + n) % n) // n)::BIGINT) ORDER BY i) AS v FROM ({total}) GROUP BY p, e"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN ({mean}) m USING (p, e))")
+    n = codebooks.ROUNDS
+    steps.append(f"o AS (SELECT vec_id, label, string_agg(printf('%02x', (m % 256)::INT), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{n} JOIN k USING (r) GROUP BY r, vec_id, label)")
+    return f"""WITH {", ".join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+(SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM c{n}) AS codebooks_sha256 FROM o"""
+
+
 #: Fingerprints, models, encoders and searches of the other queries cannot be written in DuckDB's SQL; see tests/llm.
 ORACLE_SQL: dict[str, str] = {
     # bytes as pairs of hex digits, windows cut from blocks of 1024 bytes; runs of covered bytes, and what lies between them
@@ -94,4 +120,5 @@ c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n +
 p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:z], '') AS m, array_to_string(u[z + 1:], '') AS s FROM c)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op12_codebooks": _codebook_sql(),
 }
