@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chaining, codebooks, hnsw, infill, langid, order_minhash, packing, simhash, suffixes, token_counts, toxicity
+from . import bpe, chaining, codebooks, disclosure, hnsw, infill, langid, order_minhash, packing, simhash, suffixes, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -59,6 +59,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data, and of words that disclose some, in all documents. Hard rows: see ``disclosure.sanitise``."""
+    found = disclosure.sanitise(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(disclosure.KINDS)]
+    base, spans = disclosure.listed(F.col("spans"), base=True), disclosure.listed(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"))
+
+
 def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all embeddings. Hard rows: see ``codebooks.encode``."""
     return codebooks.compress(table(spark, sf_dir, "embeddings"))
@@ -75,7 +83,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_order_minhash, op2_simhash, op3_collinear_chaining, op4_packing, op5_hnsw, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_bpe, op10_token_counts, op12_codebooks, op13_infill)
+    for f in (op1_order_minhash, op2_simhash, op3_collinear_chaining, op4_packing, op5_hnsw, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_bpe, op10_token_counts, op11_disclosure, op12_codebooks, op13_infill)
 }
 
 
