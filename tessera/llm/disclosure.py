@@ -304,3 +304,7 @@ def listed(spans: Column, base: bool = False) -> Column:
     own = F.filter(spans, lambda s: s.kind < 4) if base else spans
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(own, lambda s: F.concat_ws(":", F.get(names, s.kind), s.start, s.end)), ",")
+
+
+def count_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind))

@@ -62,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data, and of words that disclose some, in all documents. Hard rows: see ``disclosure.sanitise``."""
     found = disclosure.sanitise(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(disclosure.KINDS)]
+    counts = [disclosure.count_of(F.col("spans"), k).cast("bigint").alias(f"n_{name}") for k, name in enumerate(disclosure.KINDS)]
     base, spans = disclosure.listed(F.col("spans"), base=True), disclosure.listed(F.col("spans"))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"))
 
