@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import relation_id, short_hash
+from tessera.functions.joins import dealt_join
 
 #: Fixed by the record format: an issue key, not inside a longer word.
 ISSUE_KEY = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]+-[0-9]+(?![A-Za-z0-9_])"
@@ -68,6 +69,37 @@ def attach(intents: DataFrame, attachments: DataFrame) -> DataFrame:
     return joined.withColumn("resolution_status", F.when(F.col("media_id").isNotNull(), "resolved").otherwise("unresolved_target"))
 
 
+#: Fixed by the record format: the relation that a reference of a page stands for.
+REFERENCE_RELATIONS = {"image_attachment": "embeds_media", "drawio": "embeds_media", "include_page": "includes_page", "page_link": "links_to_page"}
+
+
+def reference_relations(pages: DataFrame, attachments: DataFrame, targets: DataFrame, created_at: str) -> DataFrame:
+    """References of pages (document_id, references) -> one relation per page, kind and target.
+
+    Media are found among ``attachments`` (document_id, filename, media_id) of the same page, if a name stands there once;
+    pages among ``targets`` (title, target_id), by a title that only one has, else as their id. What is not found has a
+    target named after a hash of page and evidence. The evidence is the first reference of its kind to the target. A page
+    that very many others name is found by many tasks.
+    """
+    r = pages.select("document_id", F.explode("references").alias("r")).select("document_id", "r.ordinal", "r.kind", F.col("r.identity").alias("evidence"))
+    kinds = F.create_map(*[F.lit(x) for pair in REFERENCE_RELATIONS.items() for x in pair])
+    r = r.withColumn("relation_type", F.try_element_at(kinds, F.col("kind"))).where(F.col("relation_type").isNotNull()).drop("kind")
+    files = attach(r.where("relation_type = 'embeds_media'").withColumnRenamed("evidence", "filename"), attachments).withColumnsRenamed({"filename": "evidence", "media_id": "found"}).drop("resolution_status")
+    titles = targets.groupBy(F.col("title").alias("evidence")).agg(F.min("target_id").alias("found"), F.count_distinct("target_id").alias("n")).where("n = 1").drop("n")
+    own = targets.select(F.col("target_id").alias("evidence"), F.col("target_id").alias("found")).distinct()
+    # a title goes before an id that reads the same
+    named = titles.withColumn("first", F.lit(0)).unionByName(own.withColumn("first", F.lit(1))).groupBy("evidence").agg(F.min_by("found", "first").alias("found"))
+    places = dealt_join(r.where("relation_type <> 'embeds_media'"), named, "evidence", "document_id")
+    both = files.unionByName(places)
+    lost = F.concat(F.lit("confluence:"), F.when(F.col("relation_type") == "embeds_media", "attachment").otherwise("page"), F.lit(":unresolved-"), short_hash(F.col("document_id"), F.col("evidence")))
+    target = both.withColumn("target_id", F.coalesce("found", lost)).withColumn("resolution_status", F.when(F.col("found").isNotNull(), "resolved").otherwise("unresolved_target"))
+    one = target.groupBy("document_id", "relation_type", "target_id").agg(F.min_by("evidence", "ordinal").alias("evidence"), F.min("resolution_status").alias("resolution_status"))
+    return one.select(
+        relation_id(F.col("document_id"), F.col("relation_type"), F.col("target_id")).alias("relation_id"), F.col("document_id").alias("source_id"), "target_id", "relation_type", "evidence",
+        F.lit(None).cast("double").alias("confidence"), "resolution_status", F.lit(created_at).alias("created_at"),
+    )
+
+
 def merge_relation_ids(old: Column, new: Column) -> Column:
     """Sorted union of two lists of ids."""
     none = F.array().cast("array<string>")
