@@ -24,6 +24,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, STEMS = 8, (4, 2)
 #: Part of an entity's information from which a word discloses it, different contexts it takes, and bits of evidence in all.
 PART, LEAST_CONTEXTS, LEAST_BITS = 0.9, 3, 20.0
+#: Letters of a word beyond which it is known by its hash.
+LONG = 40
 #: Disclosing words up to which they go to every task.
 FEW_WORDS = 200_000
 #: Words counted in a task before they are handed on, and characters of results.
@@ -96,7 +98,7 @@ def entity(text: str, kind: int) -> str:
 
 def key(word: str) -> str:
     """A word as it is counted; a very long one by its hash."""
-    return word if len(word) <= 40 else "#" + hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+    return word if len(word) <= LONG else "#" + hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def forms(word: str) -> list[str]:
@@ -104,8 +106,12 @@ def forms(word: str) -> list[str]:
     return [key(word), *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
 
+def _words(text: str) -> set[str]:
+    return set(map(str.lower, WORD.findall(text)))
+
+
 def _all_forms(text: str) -> set[str]:
-    return {f for w in {w.lower() for w in set(WORD.findall(text))} for f in forms(w)}
+    return {f for w in _words(text) for f in forms(w)}
 
 
 def words_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -157,19 +163,38 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of a task each form of a word stands; handed on in parts of a bounded number of words."""
-    counts: Counter[str] = Counter()
-    made = lambda: pa.record_batch({"form": pa.array(list(counts), pa.string()), "documents": pa.array(list(counts.values()), pa.int64())})
-    for b in batches:
-        for x in b.column(0):
-            text = x.as_py()
-            if text:
-                counts.update(_all_forms(text))
-                if len(counts) > HELD_WORDS:
-                    yield made()
-                    counts.clear()
-    yield made()
+def _document_counts(asked: frozenset[str] | None):
+    """In how many documents of a task each form stands, of all forms or those asked for; handed on in bounded parts."""
+    word_asked = None if asked is None else {f for f in asked if f[-1] != "*"}
+    stems_asked = [None if asked is None else {f[:-1] for f in asked if f[-1] == "*" and len(f) == n + 1} for n in STEMS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        stems: list[Counter[str]] = [Counter() for _ in STEMS]
+
+        def made() -> pa.RecordBatch:
+            names = [*counts, *(f"{w}*" for c in stems for w in c)]
+            return pa.record_batch({"form": pa.array(names, pa.string()), "documents": pa.array([*counts.values(), *(n for c in stems for n in c.values())], pa.int64())})
+
+        for b in batches:
+            for x in b.column(0):
+                text = x.as_py()
+                if text:
+                    words = _words(text)
+                    own = {w if len(w) <= LONG else key(w) for w in words}
+                    counts.update(own if word_asked is None else own & word_asked)
+                    for n, c, some in zip(STEMS, stems, stems_asked, strict=True):
+                        if some is None or some:
+                            own = {w[:n] for w in words if len(w) > n}
+                            c.update(own if some is None else own & some)
+                    if len(counts) > HELD_WORDS:
+                        yield made()
+                        counts.clear()
+                        for c in stems:
+                            c.clear()
+        yield made()
+
+    return run
 
 
 def disclosing(docs: DataFrame, part: float = PART, least_contexts: int = LEAST_CONTEXTS, least_bits: float = LEAST_BITS) -> DataFrame:
@@ -189,10 +214,12 @@ def disclosing(docs: DataFrame, part: float = PART, least_contexts: int = LEAST_
     # an entity of fewer contexts can have no form with enough of them; a hot entity's rows are dealt out by their contexts
     common = salted_join(rows, whole.where(F.col("spans") >= least_contexts).select("entity"), "entity", "contexts", 10_000)
     near = common.select("entity", F.explode("contexts").alias("c")).select("entity", "c.context", F.explode("c.forms").alias("form"))
-    enough = near.distinct().groupBy("entity", "form").agg(F.count("*").alias("k")).where(F.col("k") >= least_contexts).select("entity", "form")
+    enough = cut(near.distinct().groupBy("entity", "form").agg(F.count("*").alias("k")).where(F.col("k") >= least_contexts).select("entity", "form"))
     apart = common.select("entity", "copies", F.explode(F.array_distinct(F.flatten("contexts.forms"))).alias("form"))
     meet = apart.groupBy("entity", "form").agg(F.sum("copies").alias("n_ef")).join(enough, ["entity", "form"])
-    counts = texts.mapInArrow(_document_counts, "form string, documents bigint").groupBy("form").agg(F.sum("documents").alias("n_f"))
+    some = cut(enough.select("form").distinct())
+    asked = frozenset(r.form for r in some.collect()) if some.count() <= FEW_WORDS else None  # more of them: all forms are counted
+    counts = texts.mapInArrow(_document_counts(asked), "form string, documents bigint").groupBy("form").agg(F.sum("documents").alias("n_f"))
     pairs = cut(salted_join(meet, whole.select("entity", "n_e"), "entity", "form", 10_000))
     told = F.log2(F.col("n_ef") * F.lit(float(n)) / (F.col("n_f") * F.col("n_e")))
     known = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
@@ -211,11 +238,12 @@ def generalise(word: str, forbidden) -> str | None:
 _SPAN = "struct<start:bigint,kind:int,end:bigint,put:string>"
 
 
-def _find(texts: Iterator[str], forbidden) -> Iterator[list[dict]]:
+def _find(texts: Iterator[str], forbidden: set[str]) -> Iterator[list[dict]]:
+    hashed = any(f[0] == "#" for f in forbidden)  # then words must be looked at one by one
     for text in texts:
         base = base_spans(text)
         found = [(a, k, z, f"[{KINDS[k]}]") for a, k, z in base]
-        if forbidden:
+        if forbidden and (hashed or not forbidden.isdisjoint(map(str.lower, WORD.findall(text)))):
             found += [(a, 4, z, put) for a, z in words_outside(text, base) if (put := generalise(text[a:z].lower(), forbidden)) is not None]
         yield [dict(zip(("start", "kind", "end", "put"), s, strict=True)) for s in sorted(found)]
 
