@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import named_entities
+from tessera.functions.text import named_entities, tidy
 
 # Fixed by the page format: names of elements and macros, marks and bounds.
 BLOCKS = {"article", "div", "section", "layout", "layout-section", "layout-cell"}
@@ -41,12 +41,6 @@ _DECLARATION = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|(?P<bad><!\s*(?:DOCTY
 _CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
 
 
-def tidy(text: str) -> str:
-    """Composed, line feeds only, no space at line ends, one empty line at most, none at either end."""
-    lines = unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n")).split("\n")
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in lines)).strip("\n")
-
-
 def safe_name(value: str | None) -> str:
     """A name of an element or macro that may be shown; ``unknown`` for all others."""
     value = (value or "unknown").strip().lower()

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from itertools import accumulate, pairwise
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.ids import chunk_id, content_hash, file_document_id
-from tessera.functions.text import language_of, normalize
-from tessera.operators.chunking import Budget, Spans, code_windows, word_spans
+from tessera.functions import symbols as declared
+from tessera.functions.ids import chunk_id, content_hash, file_document_id, symbol_id
+from tessera.functions.text import language_of, normalize, tidy
+from tessera.operators.chunking import Budget, Counted, Spans, code_windows, word_spans
 
 
 def git_documents(files: DataFrame, branch: str, commit: str) -> DataFrame:
@@ -47,6 +52,122 @@ def tie_symbols(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     return found
 
 
+def runs_of_lines(header: str, lines: list[str], budget: Budget, spans: Spans) -> list[tuple[int, int]]:
+    """Runs of whole lines (first, end), each as long as the hard limit and the number of lines allow under a header; each
+    repeats the last lines of the one before. A line that fits nowhere stands alone, over the limit."""
+    counted = Counted("\n".join(lines), spans)
+    starts = list(accumulate((len(x) + 1 for x in lines), initial=0))
+    sums = [0, *accumulate(counted.tokens(a, b) for a, b in pairwise(starts))]
+    room = budget.hard - len(spans(header))
+    out, at = [], 0
+    while True:
+        end = at + 1
+        while end < len(lines) and end - at < budget.lines and sums[end + 1] - sums[at] <= room:
+            end += 1
+        out.append((at, end))
+        if end >= len(lines):
+            return out
+        at = max(at + 1, end - budget.repeat)
+
+
+def units(repo: str, path: str, language: str, text: str, budget: Budget, spans: Spans) -> tuple[list[dict], list[dict], bool]:
+    """The symbols of a file, its chunks, and whether it could be read only in part.
+
+    A class, namespace or package is chunked as its own signature and those of its members, a function as its lines; over
+    the hard limit they are cut into runs of lines. Each chunk opens with repository, path and name, and the comment
+    above the symbol. A file without symbols is chunked as runs of lines.
+    """
+    found, partial = declared.scan(language, text)
+    lines = text.split("\n")
+    members: dict[str | None, list[str]] = {}
+    for x in found:
+        members.setdefault(x.parent, []).append(x.signature)
+    symbols, chunks = [], []
+    for x in found:
+        header = f"// {repo} · {path} · {x.qualified_name}" + (f"\n\n{x.comment}" if x.comment else "")
+        first = x.line_start if x.aggregate else x.line_start + (x.comment.count("\n") + 1 if x.comment else 0)
+        body = "\n".join([x.signature, *members.get(x.qualified_name, [])]).split("\n") if x.aggregate else lines[first - 1 : x.line_end]
+        whole = tidy(header + "\n\n" + "\n".join(body))
+        if len(spans(whole)) <= budget.hard:
+            parts = [(whole, x.line_start, x.line_end, x.qualified_name)]
+        else:
+            parts = []
+            for i, (a, b) in enumerate(runs_of_lines(header, body, budget, spans)):
+                part = tidy(header + "\n\n" + "\n".join(body[a:b]))
+                parts.append((part, min(first + a, x.line_end), min(first + b - 1, x.line_end), f"{x.qualified_name}#p{i}"))
+        own = len(chunks)
+        for i, (part, a, b, unit) in enumerate(parts):
+            n = (i, len(parts)) if len(parts) > 1 else (None, None)
+            chunks.append({"content_kind": "code_symbol", "symbol": x.qualified_name, "text": part, "token_count": len(spans(part)), "unit_key": unit, "line_start": a, "line_end": b, "part_index": n[0], "part_total": n[1]})
+        symbols.append({
+            "symbol_type": x.symbol_type, "name": x.name, "qualified_name": x.qualified_name, "parent_symbol": x.parent, "signature": x.signature, "overloaded": x.overloaded,
+            "line_start": x.line_start, "line_end": x.line_end, "unit_key": chunks[own]["unit_key"], "first_text": chunks[own]["text"],
+        })
+    if not found:
+        header = f"// {repo} · {path}"
+        runs = runs_of_lines(header, lines, budget, spans)
+        for i, (a, b) in enumerate(runs):
+            part = tidy(header + "\n\n" + "\n".join(lines[a:b]))
+            chunks.append({"content_kind": "code_window", "symbol": None, "text": part, "token_count": len(spans(part)), "unit_key": f"{path}#w{i}", "line_start": a + 1, "line_end": b, "part_index": i, "part_total": len(runs)})
+    return symbols, chunks, partial
+
+
+_SYMBOL = {"symbol_type": "string", "name": "string", "qualified_name": "string", "parent_symbol": "string", "signature": "string", "overloaded": "boolean", "line_start": "int", "line_end": "int", "unit_key": "string", "first_text": "string"}
+_CHUNK = {"content_kind": "string", "symbol": "string", "text": "string", "token_count": "int", "unit_key": "string", "line_start": "int", "line_end": "int", "part_index": "int", "part_total": "int"}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_STATUS = {False: "ok", True: "partial"}
+
+
+def read_symbols(documents: DataFrame, budget: Budget = Budget(), spans: Spans = word_spans) -> DataFrame:
+    """Documents of ``git_documents`` in C++ and Java -> (document_id, repo, branch, file_path, source_version, language,
+    acl_tags, symbols, chunks, parse_status), a row per file. Files in other languages are left out."""
+    kept = ("document_id", "repo", "branch", "file_path", "source_version", "language", "acl_tags")
+    lists = [pa.list_(pa.struct([(k, _ARROW[v]) for k, v in fields.items()])) for fields in (_SYMBOL, _CHUNK)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = {n: b.column(i).to_pylist() for i, n in enumerate((*kept, "text"))}
+            made = [units(*row, budget, spans) for row in zip(of["repo"], of["file_path"], of["language"], of["text"], strict=True)]
+            cols = [pa.array([m[0] for m in made], lists[0]), pa.array([m[1] for m in made], lists[1]), pa.array([_STATUS[m[2]] for m in made], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *cols], [*kept, "symbols", "chunks", "parse_status"])
+
+    struct = lambda fields: "array<struct<" + ",".join(f"{k}:{v}" for k, v in fields.items()) + ">>"
+    schema = f"document_id string, repo string, branch string, file_path string, source_version string, language string, acl_tags array<string>, symbols {struct(_SYMBOL)}, chunks {struct(_CHUNK)}, parse_status string"
+    return documents.where(F.col("language").isin("cpp", "java") & F.col("text").isNotNull()).select(*kept, "text").mapInArrow(run, schema)
+
+
+def _unit_id(unit: Column, body: Column) -> Column:
+    return chunk_id(F.lit("git"), F.concat_ws(":", F.lit("git"), "repo", "file_path"), unit, body)
+
+
+def git_symbols(read: DataFrame, scanned_at: str) -> DataFrame:
+    """Files of ``read_symbols`` -> a record per symbol, each with the id of the first chunk that holds it."""
+    s = F.col("s")
+    rows = read.select("*", F.explode("symbols").alias("s"))
+    return rows.select(
+        symbol_id(F.col("repo"), F.col("branch"), F.col("file_path"), s["qualified_name"], s["signature"], s["overloaded"]).alias("symbol_id"), "repo", "branch", F.col("source_version").alias("commit_hash"),
+        "file_path", "language", s["symbol_type"].alias("symbol_type"), s["name"].alias("name"), s["qualified_name"].alias("qualified_name"), s["signature"].alias("signature"), s["line_start"].alias("line_start"),
+        s["line_end"].alias("line_end"), s["parent_symbol"].alias("parent_symbol"), _unit_id(s["unit_key"], s["first_text"]).alias("chunk_id"), "parse_status", F.lit(scanned_at).alias("scanned_at"),
+    )
+
+
+def symbol_chunks(read: DataFrame) -> DataFrame:
+    """Files of ``read_symbols`` -> their chunks: of symbols, or, where a file has none, of runs of lines."""
+    c = F.col("c")
+    rows = read.select("document_id", "repo", "branch", "file_path", "source_version", "language", "acl_tags", F.explode("chunks").alias("c"))
+    return rows.select("document_id", "repo", "branch", "file_path", "source_version", "language", "acl_tags", "c.*", _unit_id(c["unit_key"], c["text"]).alias("chunk_id"), content_hash(c["text"]).alias("content_hash")).drop("unit_key")
+
+
+def symbol_metrics(read: DataFrame) -> DataFrame:
+    """One row: files, symbols and chunks, files read in part, files without symbols, parts of symbols that were cut."""
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    cut = F.size(F.filter("chunks", lambda c: (c.content_kind == "code_symbol") & c.part_total.isNotNull()))
+    return read.agg(
+        F.count("*").alias("files"), count(F.size("symbols")).alias("symbols"), count(F.size("chunks")).alias("chunks"), count((F.col("parse_status") == "partial").cast("int")).alias("partial"),
+        count((F.size("symbols") == 0).cast("int")).alias("fallback"), count(cut).alias("cut_parts"),
+    )
+
+
 def diagram_chunks(diagrams: DataFrame, system: str = "confluence") -> DataFrame:
     """(document_id, media_id, title, mermaid) -> a chunk per drawn diagram: its title, then the picture as text."""
     fence = F.concat_ws("\n\n", F.nullif(F.coalesce("title", F.lit("")), F.lit("")), F.concat(F.lit("```mermaid\n"), F.regexp_replace("mermaid", r"\n+\z", ""), F.lit("\n```")))
