@@ -1,4 +1,4 @@
-"""Structure of Markdown-like texts and their chunks under a token budget.
+"""Windows of source files, and counts of tokens, under a token budget.
 
 Spark deals out documents; what runs per document is one pass over its lines. Tokens are counted by any tokenizer that
 gives spans; without one, words and single signs count.
@@ -8,24 +8,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from tessera.functions.ids import chunk_id, content_hash
 
 Spans = Callable[[str], list[tuple[int, int]]]
-HEADING = re.compile(r"(#{1,3})\s+(.*\S)\s*$")
-FENCE = re.compile(r"\s*(`{3,})(.*)$")
-RULE = re.compile(r"\|(\s*-{3,}\s*\|)+\s*$")
-SENTENCE = re.compile(r"[.!?。！？](?:\s+|$)")
-BREAKS = (re.compile(r"\n{2,}"), SENTENCE, re.compile(r"\n"))
 CRUMB = " › "
 
 
@@ -45,50 +36,6 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"\w+|[^\w\s]", text)]
 
 
-def blocks(text: str) -> list[tuple[list[str], str, list[str]]]:
-    """(headings above, kind, lines) in order; kinds are prose, code and table.
-
-    Fenced code comes first, then headings of the first three levels, then tables with a rule under their head; all else
-    is prose. A fence that is never closed runs to the end. A heading ends the headings of its level and below.
-    """
-    out: list[tuple[list[str], str, list[str]]] = []
-    path: list[tuple[int, str]] = []
-    prose: list[str] = []
-
-    def flush() -> None:
-        if any(x.strip() for x in prose):
-            out.append(([h for _, h in path], "prose", prose.copy()))
-        prose.clear()
-
-    rows, i = text.split("\n"), 0
-    while i < len(rows):
-        fence, heading = FENCE.match(rows[i]), HEADING.match(rows[i])
-        if fence:
-            flush()
-            j = i + 1
-            while j < len(rows) and not re.match(r"\s*`{%d,}\s*$" % len(fence[1]), rows[j]):
-                j += 1
-            out.append(([h for _, h in path], "code", rows[i : j + 1]))
-            i = j + 1
-        elif heading:
-            flush()
-            level = len(heading[1])
-            path = [*((n, h) for n, h in path if n < level), (level, heading[2])]
-            i += 1
-        elif rows[i].startswith("|") and i + 1 < len(rows) and RULE.match(rows[i + 1]):
-            flush()
-            j = i + 2
-            while j < len(rows) and rows[j].startswith("|"):
-                j += 1
-            out.append(([h for _, h in path], "table", rows[i:j]))
-            i = j
-        else:
-            prose.append(rows[i])
-            i += 1
-    flush()
-    return out
-
-
 class Counted:
     """A text whose tokens are found once; how many start between two places is a search in their starts."""
 
@@ -99,93 +46,6 @@ class Counted:
     def tokens(self, a: int, b: int) -> int:
         return bisect_left(self.starts, b) - bisect_left(self.starts, a)
 
-    def pieces(self, a: int, b: int, most: int, level: int = 0) -> Iterator[tuple[int, int]]:
-        """Parts that fit ``most`` tokens: paragraphs, else sentences, else lines, else runs of tokens. Nothing is lost."""
-        if self.tokens(a, b) <= most:
-            yield a, b
-            return
-        for i, pattern in enumerate(BREAKS[level:], level):
-            ends = [m.end() for m in pattern.finditer(self.text, a, b) if a < m.end() < b]
-            if ends:
-                for x, y in pairwise([a, *ends, b]):
-                    yield from self.pieces(x, y, most, i + 1)
-                return
-        first = bisect_left(self.starts, a)
-        yield from pairwise([a, *(self.starts[i] for i in range(first + most, bisect_left(self.starts, b), most)), b])
-
-
-def split_prose(text: str, budget: Budget, spans: Spans) -> list[str]:
-    """Windows of whole pieces up to the target, each opened by the longest tail of the last one within the overlap."""
-    t = Counted(text, spans)
-    out: list[str] = []
-    held: list[tuple[int, int]] = []
-    size = 0
-    for piece in t.pieces(0, len(text), budget.target):
-        n = t.tokens(*piece)
-        if held and size + n > budget.target:
-            out.append(text[held[0][0] : held[-1][1]])
-            keep = len(held)
-            while keep and t.tokens(held[keep - 1][0], held[-1][1]) <= budget.overlap:
-                keep -= 1
-            tail = held[keep:]
-            size = t.tokens(tail[0][0], tail[-1][1]) if tail else 0
-            held, size = (tail, size) if size + n <= budget.target else ([], 0)
-        held.append(piece)
-        size += n
-    return [*out, text[held[0][0] : held[-1][1]]] if held else out
-
-
-def split_lines(head: list[str], body: list[str], tail: list[str], most: int, repeat: int, budget: Budget, spans: Spans) -> list[str]:
-    """Runs of whole lines between a repeated head and tail; a line over the budget is cut into runs of tokens."""
-    t = Counted("\n".join(body), spans)
-    starts = list(accumulate((len(x) + 1 for x in body), initial=0))
-    cut = lambda i, j: (starts[i], starts[j] - 1)
-    out, i = [], 0
-    while i < len(body):
-        j = i + 1
-        while j < len(body) and j - i < most and t.tokens(*cut(i, j + 1)) <= budget.target:
-            j += 1
-        a, b = cut(i, j)
-        for x, y in [(a, b)] if t.tokens(a, b) <= budget.hard else t.pieces(a, b, budget.target):
-            out.append("\n".join([*head, t.text[x:y], *tail]))
-        i = j if j == len(body) else max(j - repeat, i + 1)
-    return out
-
-
-def chunk_text(title: str, text: str, budget: Budget, spans: Spans = word_spans) -> list[tuple[list[str], str, str, int, str, int | None, int | None]]:
-    """(heading path, kind, text, tokens, unit key, part, parts) of each chunk; its text opens with the headings above it.
-
-    The unit is the block that a chunk was cut from: the headings, and for code and tables the number of the block under
-    them. Only a block that was cut has parts.
-    """
-    out = []
-    seen: Counter[tuple[str, str]] = Counter()
-    for path, kind, rows in blocks(text):
-        path = [*([title] if title else []), *path]
-        crumb = CRUMB.join(path)
-        body = "\n".join(rows).strip("\n")
-        unit = crumb
-        if kind != "prose":
-            seen[crumb, kind] += 1
-            unit = f"{crumb}#{kind}{seen[crumb, kind]}"
-        joined = crumb + "\n\n" + body if path else body
-        n = len(spans(joined))
-        if n <= budget.hard:
-            out.append((path, kind, joined, n, unit, None, None))
-            continue
-        if kind == "prose":
-            parts = split_prose(body, budget, spans)
-        elif kind == "code":
-            closed = len(rows) > 1 and FENCE.match(rows[-1]) is not None
-            parts = split_lines(rows[:1], rows[1 : -1 if closed else None], ["`" * len(FENCE.match(rows[0])[1])], budget.lines, budget.repeat, budget, spans)
-        else:
-            parts = split_lines(rows[:2], rows[2:], [], len(rows), 0, budget, spans)
-        for i, p in enumerate(parts):
-            whole = crumb + "\n\n" + p.strip("\n") if path else p.strip("\n")
-            key = f"{unit}#w{i}" if kind == "prose" else f"{unit}#g{i}" if kind == "table" else unit
-            out.append((path, kind, whole, len(spans(whole)), key, i, len(parts)))
-    return out
-
 
 def code_windows_of(lines: list[str], sizes: list[int], head: int, budget: Budget) -> list[tuple[int, int]]:
     """Windows (first line, end) of a file: whole lines up to the target, after as many repeated ones as the hard limit allows.
@@ -241,32 +101,6 @@ def code_windows(files: DataFrame, budget: Budget = Budget(), spans: Spans = wor
     return made.select("document_id", F.size("c").alias("part_total"), F.posexplode("c").alias("part_index", "c")).select("document_id", "part_index", "part_total", "c.*")
 
 
-CHUNKS = "array<struct<heading_path:array<string>,content_kind:string,text:string,token_count:int,unit_key:string,part_index:int,part_total:int>>"
-
-
-def token_chunks(docs: DataFrame, budget: Budget = Budget(), spans: Spans = word_spans, system: str = "confluence") -> DataFrame:
-    """(document_id, title, text) -> a row per chunk, with its ids, its place in the document, and its part of its block.
-
-    Chunks of equal unit and content within a document get ``-1``, ``-2`` ... behind their id, in their order. Null and
-    blank texts have no chunk.
-    """
-    names = ("heading_path", "content_kind", "text", "token_count", "unit_key", "part_index", "part_total")
-
-    @F.pandas_udf(CHUNKS)
-    def cut(titles: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, c, strict=True)) for c in chunk_text(title or "", text or "", budget, spans)] for title, text in zip(titles, texts, strict=True)])
-
-    made = docs.select("document_id", cut(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("c"))
-    rows = made.select("document_id", F.posexplode("c").alias("chunk_index", "c")).select("document_id", "chunk_index", "c.*")
-    plain = chunk_id(F.lit(system), F.col("document_id").cast("string"), F.col("unit_key"), F.col("text"))
-    again = F.row_number().over(Window.partitionBy("document_id", "__id").orderBy("chunk_index")) - 1
-    ids = rows.withColumn("__id", plain).withColumn("__again", again)
-    return ids.select(
-        F.when(F.col("__again") > 0, F.concat_ws("-", "__id", "__again")).otherwise(F.col("__id")).alias("chunk_id"),
-        "document_id", "chunk_index", "heading_path", "content_kind", "text", "token_count", "part_index", "part_total", content_hash(F.col("text")).alias("content_hash"),
-    )
-
-
 def line_windows(files: DataFrame, lines: int = 40, repeat: int = 4) -> DataFrame:
     """(document_id, text) -> (document_id, line_start, line_end, text): windows of whole lines, lines counted from 1.
 

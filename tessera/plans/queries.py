@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ids, markup, text
 from tessera.functions.checkpoints import cut
 from tessera.operators import access, chunking, crawl, delta, evaluation, integrity, relations, retrieval, store
+from tessera.operators import wiki as wiki_ops
 from tessera.plans import records, sources, wiki  # noqa: F401 - add their queries to those below
 from tessera.plans.registry import DAY, NAMESPACE, ORACLE_SQL, QUERIES, TURN, VERSION, query, table  # noqa: F401
 
@@ -224,8 +225,8 @@ def pages_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wiki_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = markup.to_markdown(table(spark, sf_dir, "pages").withColumn("document_id", ids.page_document_id(F.col("page_id"))))
-    return chunking.token_chunks(text.normalize(pages))
+    pages = table(spark, sf_dir, "pages").select(ids.page_document_id(F.col("page_id")).alias("document_id"), "html")
+    return wiki_ops.chunk_rows(wiki_ops.chunk_pages(pages, "html", read=markup.render))
 
 
 @query()

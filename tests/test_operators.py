@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, markup, text, vectors
-from tessera.operators import access, chunking, crawl, delta, evaluation, integrity, relations, retrieval, store
+from tessera.operators import access, crawl, delta, evaluation, integrity, relations, retrieval, store
 from tessera.sources import files
 from tessera.streaming import capture
 
@@ -163,19 +163,6 @@ def test_upsert_is_idempotent(spark):
     assert rows(once) == rows(store.upsert(once, new, ["id"], keep=["made"])) == [(1, "a", "x"), (2, "c", "y"), (3, "d", "w")]
 
 
-def test_chunks_keep_the_budget(spark):
-    body = "Intro.\n# One\n" + "A sentence here. " * 600 + "\n## Code\n```py\n" + "x = 1\n" * 700 + "```\n## T\n| a | b |\n| --- | --- |\n" + "| 1 | 2 |\n" * 500
-    budget = chunking.Budget()
-    parts = chunking.chunk_text("Title", body, budget)
-    assert {p[1] for p in parts} == {"prose", "code", "table"}
-    assert all(p[3] <= budget.hard for p in parts)
-    assert sum(p[2].count("| 1 | 2 |") for p in parts if p[1] == "table") == 500
-    assert chunking.chunk_text("T", "", budget) == []
-    df = spark.createDataFrame([("d", "T", "# A\nsame\n# A\nsame"), ("e", None, None)], "document_id string, title string, text string")
-    out = [r.chunk_id for r in chunking.token_chunks(df).orderBy("chunk_index").collect()]
-    assert out[1] == out[0] + "-1" and len(out) == 2
-
-
 def test_markdown():
     title, body = markup.render("<title>T</title><h2>Head</h2><p>a <b>b</b> <a href='javascript:x'>c</a> <a href='/d'>e</a><script>no</script><ul><li>1<li>2</ul><table><tr><th>x<th>y<tr><td>1|2</table><pre>c_d</pre>")
     assert title == "T"
