@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -54,28 +55,28 @@ def words(text: Column) -> Column:
     return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(WORD), 0), F.array().cast("array<string>")), F.lower)
 
 
-def cut_windows(text: str, size: int = 1500, overlap: int = 150) -> list[str]:
-    """Windows of at most ``size`` characters, stripped; one ends behind its last line feed if that is past its middle.
+def window_places(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of each window of a text, by bisection among its line feeds.
 
-    The next window starts ``overlap`` characters before the end. Texts of white space only have none, and windows of
-    white space are left out.
+    A window that does not reach the end of the text ends behind its last line feed, if that is past its middle, else after
+    ``size`` characters.
     """
-    if size <= overlap or overlap < 0:
+    behind = [m.end() for m in re.finditer("\n", text)]
+    start = 0
+    while start < len(text):
+        last = bisect_right(behind, start + size) - 1
+        whole = start + size >= len(text)
+        end = len(text) if whole else behind[last] if last >= 0 and behind[last] - 1 > start + size // 2 else start + size
+        yield start, end
+        start = len(text) if whole else max(end - overlap, start + 1)
+
+
+def cut_windows(text: str, size: int = 1500, overlap: int = 150) -> list[str]:
+    """The text's windows without white space around them; each but the first starts ``overlap`` characters before the end of
+    the one before. Windows of white space only are left out."""
+    if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the window")
-    out, start, n = [], 0, len(text)
-    if not text.strip():
-        return out
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            feed = text.rfind("\n", start, end)
-            end = feed + 1 if feed > start + size // 2 else end
-        if part := text[start:end].strip():
-            out.append(part)
-        if end == n:
-            break
-        start = max(end - overlap, start + 1)
-    return out
+    return [part for a, z in window_places(text, size, overlap) if (part := text[a:z].strip())]
 
 
 def char_chunks(docs: DataFrame, size: int = 1500, overlap: int = 150) -> DataFrame:

@@ -19,9 +19,17 @@ def enforceable(names: Column) -> Column:
 
 def distinct_principals(names: Column) -> Column:
     """Enforceable names in order, each once whatever its case; the first spelling stays."""
-    kept = enforceable(names)
-    lowered = F.transform(kept, F.lower)
-    return F.filter(kept, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return F.transform(F.array_sort(F.transform(first_spellings(names), lambda x: F.struct(x.i.alias("i"), x.v.alias("v")))), lambda x: x.v)
+
+
+def first_spellings(names: Column) -> Column:
+    """Of the enforceable names the first of each lower-case form, as (k, i, v): form, place, spelling; sorted by form.
+
+    Sorted names are laid beside themselves, one place on, so the work does not grow with the square of their number.
+    """
+    own = F.array_sort(F.transform(enforceable(names), lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<k:string,i:int,v:string>")), own)
+    return F.array_compact(F.zip_with(own, before, lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a.k != b.k)), a)))
 
 
 def tags(users: Column, groups: Column) -> Column:
@@ -61,8 +69,7 @@ def materialize(observations: DataFrame, pages: DataFrame, crawler: str, extract
 
     def every(part: str) -> Column:
         """All enforceable names as first written, by their lower-case form."""
-        names = distinct_principals(F.flatten(F.transform("held", lambda x: x[part])))
-        return F.transform(F.array_sort(F.transform(names, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))), lambda x: x["v"])
+        return F.transform(first_spellings(F.flatten(F.transform("held", lambda x: x[part]))), lambda x: x.v)
 
     def unusable(part: str) -> Column:
         return F.exists("levels", lambda x: F.size(x[part]) > F.size(enforceable(x[part])))

@@ -208,7 +208,8 @@ def read_tree(spark: SparkSession, path: str, repo: str, most_bytes: int = 1 <<
     """Files of a source tree -> (repo, path, size, content, excluded, fault, text, language, symbols).
 
     Excluded files have no text, nor have those with a fault: a path that cannot be stored anywhere, bytes that are no
-    UTF-8, or control characters.
+    UTF-8, or control characters. ``most_bytes`` is a budget: a tree with a larger file that is not excluded is refused
+    when it is read, as leaving the file out would go unseen.
     """
     from tessera.functions.text import language_of
     from tessera.operators.crawl import exclusion, symbol_authority, text_fault, valid_path
@@ -217,7 +218,8 @@ def read_tree(spark: SparkSession, path: str, repo: str, most_bytes: int = 1 <<
     root = path.rstrip("/").removeprefix("file:")
     relative = F.regexp_replace("path", r"^.*?" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root) + "/", "")
     rows = files.select(F.lit(repo).alias("repo"), relative.alias("path"), F.col("length").alias("size"), "content")
-    reason = F.when(F.col("size") > most_bytes, "too_large").otherwise(exclusion(F.col("path"), F.col("content")))
+    refused = F.raise_error(F.concat(F.lit(f"a file is over the budget of {most_bytes} bytes: "), "path")).cast("string")
+    reason = F.coalesce(exclusion(F.col("path"), F.col("content")), F.when(F.col("size") > most_bytes, refused))
     out = rows.withColumn("excluded", reason).withColumn("fault", F.when(F.col("excluded").isNull(), F.when(~valid_path(F.col("path")), "path_invalid").otherwise(text_fault(F.col("content")))))
     good = F.col("excluded").isNull() & F.col("fault").isNull()
     return out.withColumns({"text": F.when(good, F.decode("content", "UTF-8")), "language": language_of(F.col("path")), "symbols": good & symbol_authority(F.col("path"))})
