@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uuid import uuid4
+
 from tessera.functions import ids, storage
+from tessera.functions.checkpoints import ensure_checkpoint_dir
 from tessera.operators import relations
 from tessera.plans.registry import DAY, query, table
+from tessera.sources import windows
+from tessera.streaming import capture
 
 _SPACE = r"[\t\x0B\x0C\x0D\x1C-\x1F\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _BLANK = _SPACE[:-1] + r"\n]"
@@ -83,3 +88,58 @@ def reference_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.select("document_id", F.concat(F.lit("f"), "i", F.lit(".png")).alias("filename"), F.concat(F.lit("confluence:attachment:"), "doc_id", F.lit("-"), "i").alias("media_id"))
     targets = docs.select(F.when(F.col("doc_id") < 50, F.concat(F.lit("Title "), "doc_id")).alias("title"), F.col("document_id").alias("target_id"))
     return relations.reference_relations(pages, files, targets, DAY).drop("confidence", "created_at")
+
+
+# ---- sources that go on where they stopped, and what is kept between batches
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all tasks share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid4().hex}"
+
+
+#: Results of a window, windows of a batch.
+LIMIT, PER_BATCH = 20, 200
+
+
+@query(f"""WITH c AS (SELECT c_nationkey AS r, c_custkey AS k, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+SELECT r::VARCHAR AS root, place - place % {LIMIT} AS start, (place % {LIMIT})::INT AS ordinal, k::VARCHAR AS page_id, c_name AS title, c_mktsegment AS space_key, (k % 4)::VARCHAR AS source_version, r || '/' || (r + 100) AS above,
+CASE WHEN place - place % {LIMIT} + {LIMIT} < n THEN place - place % {LIMIT} + {LIMIT} END AS next_start, place - place % {LIMIT} + {LIMIT} >= n AS terminal FROM c""")
+def inventory_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pages of their nations, in windows; a stream reads them, is stopped after a batch, and goes on."""
+    c = F.col
+    pages = table(spark, sf_dir, "customer").select(
+        c("c_nationkey").alias("root"), c("c_custkey").alias("page_id"), c("c_name").alias("title"), c("c_mktsegment").alias("space_key"), (c("c_custkey") % 4).alias("source_version"), F.array("c_nationkey", c("c_nationkey") + 100).alias("ancestor_ids"),
+    )
+    home = _folder(spark, "windows")
+    windows.write_windows(pages, f"{home}/in", LIMIT)
+    windows.follow_windows(spark, f"{home}/in", f"{home}/out", f"{home}/cursor", PER_BATCH, stop_after=1)
+    windows.follow_windows(spark, f"{home}/in", f"{home}/out", f"{home}/cursor", PER_BATCH)
+    return spark.read.schema(windows.SCHEMA).parquet(f"{home}/out").withColumn("above", F.array_join("ancestor_ids", "/")).drop("ancestor_ids")
+
+
+_EVENTS_SQL = """
+e AS (SELECT o_custkey AS k, o_orderkey AS o, o_orderdate AS t, (CASE WHEN o_orderkey % 5 = 4 THEN o_custkey % 3 + 1 ELSE o_custkey % 3 END)::VARCHAR AS version, (o_custkey % 7 <> 0) AS known, o_custkey % 13 = 0 AS twice, o_orderstatus AS sha FROM orders),
+v AS (SELECT *, CASE WHEN NOT known THEN 'unknown_inventory' WHEN twice OR version <> (k % 3)::VARCHAR THEN 'identity_conflict' END AS bad FROM e),
+f AS (SELECT k, arg_min(sha, row(t, sha, o)) AS first_sha, min(row(t, sha, o)) AS first_one FROM v WHERE bad IS NULL GROUP BY k)
+"""
+
+
+@query(f"""WITH {_EVENTS_SQL} SELECT k::VARCHAR AS page_id, coalesce(bad, CASE WHEN row(t, sha, o) = first_one THEN 'committed' WHEN sha = first_sha THEN 'replayed' ELSE 'conflict' END) AS decision, count(*) AS n FROM v LEFT JOIN f USING (k) GROUP BY ALL""")
+def page_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pages, their orders as answers that came for them, in two batches of a stream."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    seen = table(spark, sf_dir, "customer").where(k % 7 != 0)
+    base = seen.select(k.alias("page_id"), F.explode(F.when(k % 13 == 0, F.array(k % 3, k % 3 + 7)).otherwise(F.array(k % 3))).alias("source_version"))
+    known = base.select("page_id", F.lit("1980-01-01").cast("timestamp").alias("at"), F.lit("inventory").alias("kind"), "source_version", F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("sha256"))
+    k = F.col("o_custkey")
+    answers = table(spark, sf_dir, "orders").select(k.alias("page_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit("page").alias("kind"), F.when(o % 5 == 4, k % 3 + 1).otherwise(k % 3).alias("source_version"), F.lit(200).alias("http_status"), F.col("o_orderstatus").alias("sha256"))
+    home = _folder(spark, "decisions")
+    for part in (known, answers):
+        run = part.select(F.lit("r").alias("run_id"), F.col("page_id").cast("string"), "at", "kind", F.col("source_version").cast("string"), "http_status", "sha256")
+        run.write.mode("append").parquet(f"{home}/in")
+        stream = spark.readStream.schema(run.schema).parquet(f"{home}/in")
+        made = capture.page_decisions(stream, patience="36500 days", late="36500 days")
+        made.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(path=f"{home}/out", format="parquet").awaitTermination()
+    return spark.read.schema(capture.DECISIONS).parquet(f"{home}/out").groupBy("page_id", "decision").agg(F.count("*").alias("n"))

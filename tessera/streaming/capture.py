@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def capture(pages: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("run_id", "page_id")) -> StreamingQuery:
@@ -26,6 +28,79 @@ def capture(pages: DataFrame, target: str, checkpoint: str, keys: Sequence[str]
     return pages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: What a crawl tells of a page, in the order in which events of one time are taken: it is in the inventory, its answer has
+#: come, the answer is stored.
+KINDS = ("inventory", "page", "stored")
+DECISIONS = "run_id string, page_id string, at timestamp, decision string, source_version string, http_status int, sha256 string"
+_STATE = "versions string, version string, status int, sha string, stored boolean, since bigint"
+
+
+def page_decisions(events: DataFrame, patience: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """A stream (run_id, page_id, at, kind, source_version, http_status, sha256) -> what becomes of each answer.
+
+    ``committed``: the first answer of a page in the inventory, of the version that stands there; ``replayed``: the same
+    again; ``conflict``: another one after it; ``identity_conflict``: of another version, or the inventory has two;
+    ``unknown_inventory``: the page is not there yet. ``stored`` answers ``acknowledged``, or ``not_committed`` if there is
+    nothing, or something else, to store. A page that is in the inventory without a committed answer when the watermark,
+    ``late`` behind the newest event, has passed ``patience``, is ``overdue``, once. Events without a run, page or time are
+    left out; those of other kinds say nothing.
+
+    What is kept of a page is a few numbers and hashes, and goes when it was acknowledged for as long as ``patience``.
+    """
+    wait = pd.Timedelta(patience).value // 1_000_000
+
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        versions, version, status, sha, stored, since = state.get if state.exists else ("", None, None, None, False, None)
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            if sha is None and since is not None:
+                out.append((*key, pd.Timestamp(since + wait, unit="ms"), "overdue", versions or None, None, None))
+                state.update((versions, None, None, None, False, None))
+            elif stored:
+                state.remove()
+            if out:
+                yield _frame(out)
+            return
+        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: (r.at, KINDS.index(r.kind) if r.kind in KINDS else len(KINDS), str(r.sha256)))
+        for r in rows:
+            of = None if r.source_version is None else str(r.source_version)
+            answer = of, None if pd.isna(r.http_status) else int(r.http_status), r.sha256
+            if r.kind == "inventory" and of is not None:
+                # two versions contradict each other for good; a bar stands for that
+                versions = of if versions in ("", of) else "|"
+                since = int(r.at.timestamp() * 1000) if sha is None and since is None else since
+            elif r.kind == "page":
+                if not versions:
+                    said = "unknown_inventory"
+                elif versions != of:
+                    said = "identity_conflict"
+                elif sha is None:
+                    said, (version, status, sha) = "committed", answer
+                else:
+                    said = "replayed" if answer == (version, status, sha) else "conflict"
+                out.append((*key, r.at, said, *answer))
+            elif r.kind == "stored":
+                same = sha is not None and r.sha256 == sha
+                stored = stored or same
+                out.append((*key, r.at, "acknowledged" if same else "not_committed", *answer))
+        state.update((versions, version, status, sha, stored, since))
+        if rows and (stored or sha is None and since is not None):
+            newest = int(max(r.at for r in rows).timestamp() * 1000)
+            state.setTimeoutTimestamp(max((newest if stored else since) + wait, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield _frame(out)
+
+    known = events.where("run_id IS NOT NULL AND page_id IS NOT NULL AND at IS NOT NULL").select(
+        F.col("run_id").cast("string"), F.col("page_id").cast("string"), F.col("at").cast("timestamp"), "kind", F.col("source_version").cast("string"), F.col("http_status").cast("int"), "sha256"
+    )
+    return known.withWatermark("at", late).groupBy("run_id", "page_id").applyInPandasWithState(decide, DECISIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in DECISIONS.split(", ")])
+    return out.astype({"at": "datetime64[us]", "http_status": "Int32"} | {c: object for c in ("run_id", "page_id", "decision", "source_version", "sha256")})
+
+
 def window_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes", at: str = "ts", kind: str = "event_type") -> DataFrame:
     """Events per kind and window of time; those later than ``late`` behind the newest one are not waited for."""
     return events.withWatermark(at, late).groupBy(F.window(at, every).alias("w"), kind).count().select(F.col("w.start").alias("start"), kind, "count")
