@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from uuid import uuid4
 
-from tessera.functions import ids, storage
+from tessera.functions import ids, storage, text
 from tessera.functions.checkpoints import ensure_checkpoint_dir
-from tessera.operators import relations
+from tessera.operators import inverted, relations, retrieval, vector_store
 from tessera.plans.registry import DAY, query, table
-from tessera.sources import windows
+from tessera.sources import cells, windows
 from tessera.streaming import capture
 
 _SPACE = r"[\t\x0B\x0C\x0D\x1C-\x1F\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -20,8 +20,8 @@ _BLANK = _SPACE[:-1] + r"\n]"
 LONG = 257
 
 
-def _escaped(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def _escaped(body: Column) -> Column:
+    return F.replace(F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def _macro(name: str, *content: Column | str) -> Column:
@@ -31,8 +31,8 @@ def _macro(name: str, *content: Column | str) -> Column:
 
 def storage_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a page: its text in a paragraph, and one of four further blocks; some break a rule."""
-    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    cut = F.replace(text, F.lit("]]>"), F.lit("]] >"))
+    d, body = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    cut = F.replace(body, F.lit("]]>"), F.lit("]] >"))
     joined = F.when(d % 3 == 0, '<td rowspan="2">').otherwise("<td>")
     block = (
         F.when(d % 4 == 0, _macro("info", "<ac:rich-text-body><p>in <b>", F.col("lang"), "</b></p></ac:rich-text-body>"))
@@ -42,10 +42,10 @@ def storage_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     include = F.when(d % 5 == 0, _macro("include", '<ri:page ri:content-title="Title ', (d % 60).cast("string"), '"/>')).otherwise("")
     fault = F.when(d % 11 == 3, "<!DOCTYPE page>").when(d % 11 == 4, "&nope;").when(d % 11 == 5, "<p>").when(d % 11 == 6, f"<table>{'<tr><td>1</td></tr>' * LONG}</table>").otherwise("")
-    body = F.concat(
-        F.lit("<h2>"), F.col("source"), F.lit("</h2><p>"), _escaped(text), F.lit("</p>"), block, include, F.lit('<p><a href="/pages/'), d + 1, F.lit('/x">next &rarr;</a></p>'), F.when(d % 7 == 1, _macro("widget")).otherwise(""), fault,
+    page = F.concat(
+        F.lit("<h2>"), F.col("source"), F.lit("</h2><p>"), _escaped(body), F.lit("</p>"), block, include, F.lit('<p><a href="/pages/'), d + 1, F.lit('/x">next &rarr;</a></p>'), F.when(d % 7 == 1, _macro("widget")).otherwise(""), fault,
     )
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("storage"))
+    return table(spark, sf_dir, "documents").select("doc_id", page.alias("storage"))
 
 
 _PAGES_SQL = rf"""
@@ -143,3 +143,63 @@ def page_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = capture.page_decisions(stream, patience="36500 days", late="36500 days")
         made.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(path=f"{home}/out", format="parquet").awaitTermination()
     return spark.read.schema(capture.DECISIONS).parquet(f"{home}/out").groupBy("page_id", "decision").agg(F.count("*").alias("n"))
+
+
+# ---- stores kept in cells
+
+_STORE_SQL = """
+s AS (SELECT vec_id, label, CASE WHEN vec_id % 10 = 0 THEN [-x for x in embedding::DOUBLE[]] ELSE embedding::DOUBLE[] END AS v, CASE WHEN vec_id % 10 = 0 THEN 'new' ELSE 'old' END AS text FROM embeddings WHERE vec_id % 7 <> 3 AND list_sum([abs(x) for x in embedding::DOUBLE[]]) > 0)
+"""
+
+
+def _vector_store(spark: SparkSession, sf_dir: str) -> tuple[str, str, object]:
+    """Two thirds of the vectors, then the rest with every tenth turned round, and every seventh gone."""
+    home = _folder(spark, "store")
+    rows = table(spark, sf_dir, "embeddings").where(vector_store._usable("embedding")).select(F.col("vec_id").alias("chunk_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    key = F.col("chunk_id")
+    chunk = lambda df, x: df.select("chunk_id", F.lit(x).alias("text"))
+    first = rows.where(key % 3 != 2)
+    centre = vector_store.centres(first, 16)
+    vector_store.save(spark, home, "v1", chunk(first, "old"), first, centre, chunk_cells=8)
+    turned = rows.where((key % 3 == 2) | (key % 10 == 0)).withColumn("embedding", F.when(key % 10 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    fresh = chunk(turned, "old").withColumn("text", F.when(key % 10 == 0, "new").otherwise("old"))
+    vector_store.save(spark, home, "v2", fresh, turned, centre, None, "v1", chunk_cells=8)
+    vector_store.save(spark, home, "v3", chunk(rows.limit(0), ""), rows.limit(0), centre, rows.where(key % 7 == 3).select("chunk_id"), "v2", chunk_cells=8)
+    return home, "chunk_id bigint, label int, embedding array<double>", centre
+
+
+@query(f"""WITH {_STORE_SQL}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 25 = 1 AND list_sum([abs(x) for x in embedding::DOUBLE[]]) > 0),
+h AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, v), 12) AS score FROM q, s WHERE label = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM h)
+SELECT query_id, vec_id AS chunk_id, round(score, 6) AS score, rank, text FROM r JOIN s USING (vec_id) WHERE rank <= 5""")
+def vector_store_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered search after upserts and deletes, and the chunks of the hits from the other store of the same version."""
+    home, schema, centre = _vector_store(spark, sf_dir)
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 25 = 1").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = vector_store.search(spark, home, schema, centre, asked, 5, {"label": 1})
+    chunks = cells.read_store(spark, home, "chunks", "chunk_id bigint, text string").drop("cell")
+    return hits.join(chunks, "chunk_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "text")
+
+
+# ---- an inverted index on disk
+
+_INDEX_SQL = """
+w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE doc_id % 9 <> 4),
+dt AS (SELECT doc_id, term, count(*) AS weight FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 10 = 0 THEN w || ['the', 'new'] ELSE w END) AS term FROM w) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*) AS weight FROM (SELECT item_id AS query_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) || ['new']) AS term FROM benchmark) GROUP BY ALL)
+"""
+
+
+@query(f"""WITH {_INDEX_SQL}, s AS (SELECT query_id, doc_id, sum(dt.weight * qt.weight)::DOUBLE AS score FROM dt JOIN qt USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
+def inverted_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as queries against an index of all documents' words, every tenth written again with more words, every ninth gone."""
+    home = _folder(spark, "index")
+    words = text.words(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    terms = lambda d: retrieval.postings(d, "doc_id", F.col("w"))
+    inverted.add_segment(terms(docs), home, "doc_id")
+    again = docs.where("doc_id % 10 = 0").withColumn("w", F.concat("w", F.array(F.lit("the"), F.lit("new"))))
+    inverted.add_segment(terms(again), home, "doc_id", gone=docs.where("doc_id % 9 = 4").select("doc_id"))
+    gone = docs.where("doc_id % 9 = 4 AND doc_id % 10 = 0").select("doc_id")  # put in and taken out at once: gone
+    inverted.add_segment(terms(again.limit(0)), home, "doc_id", gone=gone)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words, F.array(F.lit("new"))).alias("w"))
+    return inverted.top_k(spark, home, retrieval.postings(items, "query_id", F.col("w")), 10, "doc_id")
