@@ -18,15 +18,15 @@ ATTACHMENTS = "results array<struct<id:string,type:string,title:string,metadata:
 # ---- what a source sends
 
 
-def page_fields(pages: DataFrame, body: str = "body") -> DataFrame:
-    """(page_id, body as JSON) -> (page_id, title, space_key, source_version, updated_at, storage, fault).
+def page_fields(pages: DataFrame, body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
+    """(page_id, body as JSON) -> (page_id, title, space_key, source_version, updated_at, storage, fault), and columns to keep.
 
     A page is taken only as it must be: an object of that id, of type page (or none named), with a title, a space, a positive
     version with its time, and a body in storage form. ``fault`` names the first field that is not so; then the others are
     null.
     """
     p = F.from_json(F.col(body), PAGE)
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), p.alias("p"), F.json_object_keys(body).isNull().alias("broken"))
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), p.alias("p"), F.json_object_keys(body).isNull().alias("broken"), *keep)
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     rules = {
         "payload": F.col("broken"),
@@ -42,7 +42,7 @@ def page_fields(pages: DataFrame, body: str = "body") -> DataFrame:
     fault = F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in rules.items()])
     good = rows.withColumn("fault", fault)
     fields = {"title": "p.title", "space_key": "p.space.key", "source_version": "p.version.number", "updated_at": "p.version.when", "storage": "p.body.storage.value"}
-    return good.select("page_id", *[F.when(F.col("fault").isNull(), F.col(c).cast("string")).alias(n) for n, c in fields.items()], "fault")
+    return good.select("page_id", *[F.when(F.col("fault").isNull(), F.col(c).cast("string")).alias(n) for n, c in fields.items()], "fault", *keep)
 
 
 def restriction_targets(pages: DataFrame, body: str = "body") -> DataFrame:

@@ -384,8 +384,9 @@ def markdown(body: str) -> tuple[str | None, str]:
     return None, body
 
 
-def chunk_pages(pages: DataFrame, body: str = "text", budget: Budget = Budget(), read: Callable[[str], tuple[str | None, str]] = markdown, spans: Spans = word_spans) -> DataFrame:
-    """(document_id, title, ``body``) -> (document_id, chunks, counters, fault), one row per page, in one pass.
+def chunk_pages(pages: DataFrame, body: str = "text", budget: Budget = Budget(), read: Callable[[str], tuple[str | None, str]] = markdown, spans: Spans = word_spans, keep: Sequence[str] = ()) -> DataFrame:
+    """(document_id, title, ``body``) -> (document_id, title, chunks, counters, fault), one row per page, in one pass; and
+    columns to keep.
 
     ``read`` turns a body into title and Markdown, which is brought into canonical form; a title in the table goes first.
     A null body has no chunks and no fault. Without a column ``title`` all titles are those of the bodies.
@@ -407,10 +408,13 @@ def chunk_pages(pages: DataFrame, body: str = "text", budget: Budget = Budget(),
         for b in batches:
             made = [one(t.as_py(), x.as_py()) for t, x in zip(b.column(1), b.column(2), strict=True)]
             chunks, counters, faults = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(chunks, chunk_type), pa.array(counters, pa.map_(pa.string(), pa.int64())), pa.array(faults, pa.string())], names=["document_id", "chunks", "counters", "fault"])
+            new = [pa.array(chunks, chunk_type), pa.array(counters, pa.map_(pa.string(), pa.int64())), pa.array(faults, pa.string())]
+            yield pa.record_batch([b.column(0), b.column(1), *new, *b.columns[3:]], names=["document_id", "title", "chunks", "counters", "fault", *keep])
 
     struct = ",".join(f"{k}:{v}" for k, v in _FIELDS.items())
-    return pages.select(F.col("document_id").cast("string"), titled.cast("string").alias("title"), F.col(body).cast("string").alias("body")).mapInArrow(run, f"document_id string, chunks array<struct<{struct}>>, counters map<string,bigint>, fault string")
+    rest = pages.select(*keep)
+    schema = ", ".join([f"document_id string, title string, chunks array<struct<{struct}>>, counters map<string,bigint>, fault string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)])
+    return pages.select(F.col("document_id").cast("string"), titled.cast("string").alias("title"), F.col(body).cast("string").alias("__body"), *keep).mapInArrow(run, schema)
 
 
 def chunk_rows(made: DataFrame, system: str = "confluence") -> DataFrame:

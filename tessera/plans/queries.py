@@ -9,7 +9,7 @@ from tessera.functions import ids, markup, text
 from tessera.functions.checkpoints import cut
 from tessera.operators import access, chunking, crawl, delta, evaluation, integrity, relations, retrieval, store
 from tessera.operators import wiki as wiki_ops
-from tessera.plans import records, sources, wiki  # noqa: F401 - add their queries to those below
+from tessera.plans import delta_plans, records, sources, wiki  # noqa: F401 - add their queries to those below
 from tessera.plans.registry import DAY, NAMESPACE, ORACLE_SQL, QUERIES, TURN, VERSION, query, table  # noqa: F401
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from uuid import uuid4
 from tessera.functions import ids, storage, text
 from tessera.functions.checkpoints import ensure_checkpoint_dir
 from tessera.operators import inverted, relations, retrieval, vector_store
+from tessera.operators import page_set as pages_ops
+from tessera.operators.chunking import Budget
 from tessera.plans.registry import DAY, query, table
 from tessera.sources import cells, windows
 from tessera.streaming import capture
@@ -90,6 +92,32 @@ def reference_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.reference_relations(pages, files, targets, DAY).drop("confidence", "created_at")
 
 
+# ---- a set of raw pages, with those that fail set aside
+
+
+@query(f"""WITH {_PAGES_SQL}, r AS (SELECT d::VARCHAR AS page_id, t, md, fault, CASE WHEN d % 23 = 0 THEN ['raw_page', 'raw_page_read_failed', ''] WHEN d % 17 = 0 THEN ['raw_page', 'raw_page_status_failed', ''] WHEN d % 19 = 0 THEN ['raw_page', 'source_version_mismatch', '']
+ WHEN d % 31 = 0 THEN ['normalization', 'normalization_failed', 'payload'] WHEN d % 29 = 0 THEN ['document', 'document_identity_mismatch', ''] WHEN d % 37 = 0 THEN ['normalization', 'normalization_failed', 'title'] WHEN d % 41 = 0 THEN ['document', 'source_version_mismatch', '']
+ WHEN fault IS NOT NULL THEN ['normalization', 'normalization_failed', fault] WHEN regexp_matches(t, '(^|\n)#{{1,3}}{_SPACE}*(\n|$)') THEN ['structure', 'structure_failed', 'empty_structural_heading'] END AS f FROM p JOIN s USING (d)),
+g AS (SELECT page_id, md, coalesce(f, ['', '', '']) AS f FROM r)
+SELECT page_id, f[1] AS stage, f[2] AS category, f[3] AS detail, CASE WHEN f[1] = '' THEN sha256(md) END AS content_hash FROM g""")
+def page_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw answers of a wiki, through the whole chain; each kind of fault is among them."""
+    d = F.col("doc_id")
+    body = F.to_json(F.struct(
+        F.when(d % 29 == 0, d + 1).otherwise(d).cast("string").alias("id"), F.lit("page").alias("type"), F.when(d % 37 == 0, " ").otherwise("Title").alias("title"), F.struct(F.lit("S").alias("key")).alias("space"),
+        F.struct(F.when(d % 41 == 0, 8).otherwise(7).alias("number"), F.lit(DAY).alias("when")).alias("version"), F.struct(F.struct(F.col("storage").alias("value"), F.lit("storage").alias("representation")).alias("storage")).alias("body"),
+    ))
+    body = F.when(d % 23 == 0, F.lit(None)).when(d % 31 == 0, "no json").otherwise(body)
+    pages = storage_bodies(spark, sf_dir).select(d.alias("page_id"), F.when(d % 17 == 0, 404).otherwise(200).alias("http_status"), F.lit("7").alias("source_version"), F.when(d % 19 == 0, "6").when(d % 2 == 0, "7").alias("expected_source_version"), body.alias("body"))
+    done = pages_ops.process(pages, UNBOUNDED)
+    named = [F.coalesce(c, F.lit("")).alias(c) for c in ("stage", "category", "detail")]
+    return done.select("page_id", *named, ids.content_hash(F.col("text")).alias("content_hash"))
+
+
+#: A budget that nothing exceeds: what a chunk may hold has its own tests.
+UNBOUNDED = Budget(target=1 << 40, hard=1 << 40)
+
+
 # ---- sources that go on where they stopped, and what is kept between batches
 
 

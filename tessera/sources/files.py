@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from tessera.functions.canonical import rows_digest
 from tessera.operators.delta import overlay
 from tessera.operators.integrity import require_none, tombstone_violations
 
@@ -86,7 +88,7 @@ def _point(spark: SparkSession, root: str, version: str) -> None:
 
 
 def write_version(streams: Mapping[str, DataFrame], root: str, version: str, manifest: Mapping[str, object], check: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None) -> None:
-    """Write all streams of a version, then its manifest with their counts, then the pointer to it.
+    """Write all streams of a version, then its manifest with their counts and digests, then the pointer to it.
 
     A version that is there already is never written over, and readers see a new one only by the pointer. ``check`` gives a
     row per violation of the streams as written; with any the version is not published and what was written goes again.
@@ -102,8 +104,9 @@ def write_version(streams: Mapping[str, DataFrame], root: str, version: str, man
     try:
         if check is not None:
             require_none(check(written))
-        counts = {name: rows.count() for name, rows in written.items()}
-        full = dict(manifest) | {"dataset_version": version, "counts": counts}
+        found = {name: rows_digest(rows).first() for name, rows in written.items()}  # a row per stream: rows and digest
+        digests = {name: r.digest for name, r in found.items()}
+        full = dict(manifest) | {"dataset_version": version, "counts": {name: r.rows for name, r in found.items()}, "digests": digests, "digest": tree_digest(digests)}
         spark.createDataFrame([(json.dumps(full, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{aside}/manifest")
     except Exception:
         fs.delete(_path(spark, aside)[0], True)
@@ -120,16 +123,28 @@ def rollback(spark: SparkSession, root: str, version: str) -> None:
     _point(spark, root, version)
 
 
-def _folder(spark: SparkSession, root: str, version: str) -> tuple[dict[str, DataFrame], dict]:
+def tree_digest(digests: Mapping[str, str]) -> str:
+    """One digest over those of all streams, by their names; ``canonical.streams_digest`` gives the same as a plan."""
+    return hashlib.sha256("\x00".join(f"{name}={digests[name]}" for name in sorted(digests)).encode()).hexdigest()
+
+
+def _folder(spark: SparkSession, root: str, version: str, verify: str) -> tuple[dict[str, DataFrame], dict]:
     manifest = json.loads(spark.read.text(f"{root}/{version}/manifest").first()[0])
     home, fs = _path(spark, f"{root}/{version}")
     found = {s.getPath().getName() for s in fs.listStatus(home)} - {"manifest"}
     if found != set(manifest["counts"]):
         raise ValueError(f"a version holds exactly the streams of its manifest: {sorted(found ^ set(manifest['counts']))}")
     streams = {name: spark.read.parquet(f"{root}/{version}/{name}") for name in manifest["counts"]}
-    wrong = [name for name, n in manifest["counts"].items() if streams[name].count() != n]
+    digests = manifest.get("digests")
+    if digests is not None and (set(digests) != set(streams) or tree_digest(digests) != manifest.get("digest")):
+        raise ValueError("the manifest contradicts itself")
+    if verify == "digests" and digests is not None:
+        found = {name: rows_digest(rows).first() for name, rows in streams.items()}
+        wrong = [name for name, r in found.items() if (r.rows, r.digest) != (manifest["counts"][name], digests[name])]
+    else:
+        wrong = [] if verify == "none" else [name for name, n in manifest["counts"].items() if streams[name].count() != n]
     if wrong:
-        raise ValueError(f"counts differ from the manifest: {wrong}")
+        raise ValueError(f"streams differ from the manifest: {wrong}")
     return streams, manifest
 
 
@@ -137,8 +152,11 @@ def latest_version(spark: SparkSession, root: str) -> str:
     return spark.read.text(f"{root}/LATEST").first()[0]
 
 
-def read_version(spark: SparkSession, root: str, version: str | None = None, keys: Mapping[str, tuple[str, str]] | None = None) -> tuple[dict[str, DataFrame], dict]:
-    """The streams and the manifest of a version, the latest if none is named; counts must agree with the manifest.
+def read_version(spark: SparkSession, root: str, version: str | None = None, keys: Mapping[str, tuple[str, str]] | None = None, verify: str = "digests") -> tuple[dict[str, DataFrame], dict]:
+    """The streams and the manifest of a version, the latest if none is named; they must agree.
+
+    ``verify`` says how far that is looked at, which takes a pass over each version: ``digests`` of all rows, so that no
+    changed byte of a value goes unseen, ``counts`` only, or ``none``.
 
     A delta is laid over the version that its manifest names as base, and so on down to a whole one: at most
     ``LONGEST_CHAIN`` versions, none twice. ``keys`` maps streams to (key, entity type) for that; tombstones of a delta must
@@ -151,7 +169,7 @@ def read_version(spark: SparkSession, root: str, version: str | None = None, key
         if name in seen or len(seen) >= LONGEST_CHAIN:
             raise ValueError("the chain of versions has a circle or is too long")
         seen.append(name)
-        chain.append(_folder(spark, root, name))
+        chain.append(_folder(spark, root, name, verify))
         name = chain[-1][1].get("base_dataset_version") if chain[-1][1].get("export_mode") == "delta" else None
     streams = chain[-1][0]
     for part, _ in reversed(chain[:-1]):
@@ -178,7 +196,7 @@ def write_delta(streams: Mapping[str, DataFrame], root: str, version: str, base:
     if base == version:
         raise ValueError("a delta needs another version as its base")
     spark = next(iter(streams.values())).sparkSession
-    below, _ = read_version(spark, root, base, keys)
+    below, _ = read_version(spark, root, base, keys, "counts")
     prior = {kind: below[s].select(key) for s, (key, kind) in (keys or KEYS).items() if s in below}
     write_version(streams, root, version, dict(manifest) | {"export_mode": "delta", "base_dataset_version": base}, lambda s: tombstone_violations(s["tombstones"], prior))
 
@@ -200,8 +218,24 @@ def write_packet(streams: Mapping[str, DataFrame], path: str, keys: Mapping[str,
 
 
 def write_diagrams(diagrams: DataFrame, path: str) -> None:
-    """(media_id, mermaid) -> text files, a folder for each diagram."""
-    diagrams.where("mermaid IS NOT NULL").select(F.concat("media_id", F.lit(".mmd")).alias("file"), F.col("mermaid").alias("value")).write.partitionBy("file").text(path)
+    """(media_id, mermaid) -> a text file ``<media_id>.mmd`` for each diagram, in a folder that is not there yet.
+
+    Tasks write through Spark's own folder for each id; the files are then moved to their names, so that a task that runs
+    again leaves nothing behind.
+    """
+    spark = diagrams.sparkSession
+    aside = f"{path}.staging"
+    diagrams.where("mermaid IS NOT NULL").select(F.col("media_id").alias("file"), F.col("mermaid").alias("value")).repartition("file").write.partitionBy("file").text(aside)
+    home, fs = _path(spark, aside)
+    target, _ = _path(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    fs.mkdirs(target)
+    for folder in fs.listStatus(home):
+        name = folder.getPath().getName().removeprefix("file=")
+        for part in fs.listStatus(folder.getPath()) if folder.isDirectory() else ():
+            fs.rename(part.getPath(), _path(spark, f"{path}/{name}.mmd")[0])
+    fs.delete(home, True)
 
 
 def read_tree(spark: SparkSession, path: str, repo: str, most_bytes: int = 1 << 20) -> DataFrame:
@@ -231,10 +265,17 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases, one JSON object per line; blank lines and those that open with # are skipped."""
+    """Evaluation cases, one JSON object per line; blank lines and those that open with # are skipped.
+
+    A case has an id and both questions, and names at least one relevant chunk, document or source; others fail the job.
+    """
     schema = "id string, user_question string, search_query string, relevant_chunk_ids array<string>, relevant_document_ids array<string>, relevant_source_ids array<string>, tags array<string>, filters map<string,string>"
     lines = spark.read.text(path).where("trim(value) <> '' AND NOT ltrim(value) LIKE '#%'")
-    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("c")).select("c.*")
+    cases = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("c")).select("c.*")
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    nothing = F.coalesce(F.size("relevant_chunk_ids"), F.lit(0)) + F.coalesce(F.size("relevant_document_ids"), F.lit(0)) + F.coalesce(F.size("relevant_source_ids"), F.lit(0)) <= 0
+    fault = F.coalesce(*[F.when(blank(F.col(c)), F.lit(f"{c} is missing")) for c in ("id", "user_question", "search_query")], F.when(nothing, F.lit("nothing is relevant")))
+    return cases.withColumn("id", F.when(fault.isNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("a case is no case: "), fault, F.lit(": "), F.coalesce("id", F.lit("")))).cast("string")))
 
 
 def read_packet(spark: SparkSession, path: str, schemas: Mapping[str, StructType | str]) -> dict[str, DataFrame]:
