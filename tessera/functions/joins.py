@@ -16,10 +16,10 @@ def dealt_join(rows: DataFrame, side: DataFrame, key: str, other: str, each: int
     hot = side.join(places, key, "left").withColumn("__place", F.explode(F.sequence(F.lit(0), F.coalesce("__places", F.lit(1)) - 1))).drop("__places")
     # rows without a key are dealt out too: they find nothing, but must not meet in one task
     spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(other), F.lit(1 << 30)).cast("int")).otherwise(F.coalesce(F.pmod(F.xxhash64(other), F.col("__places")), F.lit(0)).cast("int"))
-    dealt = rows.join(F.broadcast(places), key, "left") if _few(places) else rows.join(places, key, "left")
+    dealt = rows.join(F.broadcast(places), key, "left") if few(places) else rows.join(places, key, "left")
     return dealt.withColumn("__place", spread).drop("__places").join(hot, [key, "__place"], "left").drop("__place")
 
 
-def _few(side: DataFrame, most: int = 100_000) -> bool:
+def few(side: DataFrame, most: int = 100_000) -> bool:
     """Whether a side has so few rows that it may go to every task."""
     return side.limit(most + 1).count() <= most

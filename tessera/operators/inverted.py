@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.checkpoints import cut
-from tessera.functions.joins import _few as few
+from tessera.functions.joins import few
 from tessera.operators.retrieval import ranked
 from tessera.sources.files import _path
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.checkpoints import cut
 from tessera.functions.ids import relation_id, short_hash
 from tessera.functions.joins import dealt_join
 
@@ -83,7 +84,7 @@ def reference_relations(pages: DataFrame, attachments: DataFrame, targets: DataF
     """
     r = pages.select("document_id", F.explode("references").alias("r")).select("document_id", "r.ordinal", "r.kind", F.col("r.identity").alias("evidence"))
     kinds = F.create_map(*[F.lit(x) for pair in REFERENCE_RELATIONS.items() for x in pair])
-    r = r.withColumn("relation_type", F.try_element_at(kinds, F.col("kind"))).where(F.col("relation_type").isNotNull()).drop("kind")
+    r = cut(r.withColumn("relation_type", F.try_element_at(kinds, F.col("kind"))).where(F.col("relation_type").isNotNull()).drop("kind"))  # pages are read once
     files = attach(r.where("relation_type = 'embeds_media'").withColumnRenamed("evidence", "filename"), attachments).withColumnsRenamed({"filename": "evidence", "media_id": "found"}).drop("resolution_status")
     titles = targets.groupBy(F.col("title").alias("evidence")).agg(F.min("target_id").alias("found"), F.count_distinct("target_id").alias("n")).where("n = 1").drop("n")
     own = targets.select(F.col("target_id").alias("evidence"), F.col("target_id").alias("found")).distinct()

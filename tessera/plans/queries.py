@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids, markup, text
 from tessera.functions.checkpoints import cut
+from tessera.functions.joins import few
 from tessera.operators import access, chunking, crawl, delta, evaluation, integrity, relations, retrieval, store
 from tessera.operators import wiki as wiki_ops
 from tessera.plans import delta_plans, records, sources, wiki  # noqa: F401 - add their queries to those below
@@ -133,9 +134,12 @@ def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = items.where(F.size("w") > 4)
     half = F.floor(F.size("w") / 2).cast("int")
     cases = cases.select("case_id", "item", F.concat(F.get("w", half - 1), F.lit(" "), F.get("w", half)).alias("term"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(_pairs(text.words(F.col("text"))))).alias("term"))
-    long = docs.join(cases, "term").where(F.contains("text", "item")).select("case_id", "doc_id")
-    return long.unionByName(table(spark, sf_dir, "documents").join(short, F.contains("text", "item")).select("case_id", "doc_id"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = texts.select("doc_id", F.explode(F.array_distinct(_pairs(text.words(F.col("text"))))).alias("term"))
+    # pairs meet the cases without their texts, which only the documents found are asked for
+    found = pairs.join(F.broadcast(cases) if few(cases) else cases, "term").select("doc_id", "case_id", "item").distinct()
+    long = texts.join(found, "doc_id").where(F.contains("text", "item")).select("case_id", "doc_id")
+    return long.unionByName(texts.join(short, F.contains("text", "item")).select("case_id", "doc_id"))
 
 
 _EVAL_SQL = f"""

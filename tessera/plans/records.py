@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, diagrams, ids, text
+from tessera.functions.checkpoints import cut
 from tessera.operators import code, crawl, delta, evaluation, integrity, records, relations, retrieval, store
 from tessera.plans.registry import DAY, VERSION, query, table
 
@@ -164,7 +165,7 @@ def _streams(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     chunk = F.concat(F.lit("c"), F.col("l_orderkey"), F.lit("-"), line)
     of = docs.select(F.col("k").alias("l_orderkey"), "document_id", "source_system")
     tag = F.when(F.col("l_quantity") > 40, F.array(F.lit("restricted:unresolved"))).otherwise(F.array(F.lit("space:A")))
-    chunks = l.join(of, "l_orderkey").select(chunk.alias("chunk_id"), "document_id", tag.alias("acl_tags"), line.alias("chunk_index"), "l_orderkey", "source_system", "l_quantity", "l_partkey")
+    chunks = cut(l.join(of, "l_orderkey").select(chunk.alias("chunk_id"), "document_id", tag.alias("acl_tags"), line.alias("chunk_index"), "l_orderkey", "source_system", "l_quantity", "l_partkey"))  # four streams come from it
     media = chunks.where("chunk_index = 1 AND source_system = 'confluence'").select(F.concat(F.lit("m"), "l_orderkey").alias("media_id"), F.col("document_id").alias("parent_document_id"), F.when(F.col("l_quantity") > 30, "parsed").when(F.col("l_quantity") > 20, "failed").otherwise("not_processed").alias("processing_status"), F.lit("1").alias("source_version"), F.lit(None).cast("string").alias("content_hash"))
     acl = docs.select(F.concat(F.lit("acl:"), "document_id").alias("acl_id"), "document_id")
     symbols = chunks.where("source_system = 'git' AND chunk_index <= 2").select(F.concat(F.lit("s"), "chunk_id").alias("symbol_id"), F.when(F.col("chunk_index") == 1, F.col("chunk_id")).alias("chunk_id"), F.lit("repo").alias("repo"), F.lit("main").alias("branch"), F.lit("0").alias("commit_hash"), F.concat(F.lit("f"), "l_orderkey").alias("file_path"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.checkpoints import cut
-from tessera.functions.joins import _few as few
+from tessera.functions.joins import few
 from tessera.sources.files import _path, _point, latest_version
 
 #: Cells of a store; what is known of them is small enough for the driver.

@@ -149,7 +149,7 @@ def test_hot_targets_and_ambiguous_ones(spark, monkeypatch):
     found = {(r.source_id, r.evidence): r.target_id for r in out if r.resolution_status == "resolved"}
     assert sum(e == "Home" for _, e in found) == 50 and found["p1", "a"] == "m1" and ("p1", "b") not in found and found["p9", "confluence:page:3"] == "confluence:page:3"
     assert all(r.target_id.startswith("confluence:page:unresolved-") for r in out if r.evidence == "Two")
-    monkeypatch.setattr(joins, "_few", lambda *a: False)
+    monkeypatch.setattr(joins, "few", lambda *a: False)
     assert {r.relation_id for r in relations.reference_relations(pages, files, targets, "now").collect()} == {r.relation_id for r in out}
 
 
