@@ -234,6 +234,47 @@ def test_passages_with_edits(spark):
             assert abs(r.start - 30) <= 3 and abs(r.end - 130) <= 3 and abs(r.similarity - (1 - want[r.doc_id] / 100)) < 0.03
 
 
+def test_passages_with_edits_at_random_places(spark):
+    """Short passages too, with words changed anywhere in them, up to a similarity of 0.81."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows, want = [], {}
+    for length in (52, 55, 60, 100):
+        for share in (0, 0.05, 0.1, 0.15, 0.19):
+            for _ in range(40):
+                shared, i = word(length), 2 * len(want)
+                changed = edited(shared, rng.choice(length, int(length * share), replace=False), rng)
+                rows += [(i, " ".join(word(80) + shared + word(60))), (i + 1, " ".join(word(30) + changed + word(90)))]
+                want[i + 1] = length, share
+    out = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.src_id == r.doc_id - 1 and r.doc_id in want and r.similarity >= 0.8 - 1e-9 for r in out)
+    found, hits = {r.doc_id for r in out}, defaultdict(list)
+    for d, kind in want.items():
+        hits[kind].append(d in found)
+    assert all(np.mean(h) >= 0.85 for h in hits.values()), hits
+    assert np.mean([x for h in hits.values() for x in h]) >= 0.95
+
+
+def test_chains_are_the_best_of_all():
+    """The best chain against all earlier seeds of each seed; ends against the edit distances of all prefixes."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        x, y = np.array(sorted(set(zip(rng.integers(0, 40, n).tolist(), rng.integers(0, 40, n).tolist(), strict=True)))).T
+        score = np.ones(len(x))
+        for j in range(len(x)):
+            for i in np.flatnonzero((x < x[j]) & (y < y[j])):
+                score[j] = max(score[j], score[i] + 1 - chaining.GAP * (x[j] - x[i] + y[j] - y[i]))
+        made = chaining.chain(x, y)
+        got = max((sum(1 - chaining.GAP * (x[b] - x[a] + y[b] - y[a]) for a, b in zip(p, p[1:])) + 1 for p in made), default=0)
+        assert abs(got - score.max()) < 1e-9 if made and len(made[0]) >= chaining.LEAST else score.max() <= chaining.LEAST
+        a, b = rng.integers(0, 3, rng.integers(1, 14)).tolist(), rng.integers(0, 3, rng.integers(1, 14)).tolist()
+        gain = lambda e: (e[1] + e[2]) / 2 - e[0] * (1 + chaining.BAD)
+        best = max(gain((chaining.edits(a[:i], b[:j], 99), i, j)) for i in range(len(a) + 1) for j in range(len(b) + 1))
+        assert abs(max(map(gain, chaining.extend(a, b, 0, 0, 1))) - best) < 1e-9
+        assert chaining.extend(a, b, 0, 0, 1) == chaining.extend(a[::-1], b[::-1], len(a), len(b), -1)
+
+
 def test_passages_among_common_phrases(spark):
     """Two documents share a passage whose every phrase stands in earlier documents; passages return in one document."""
     rng = np.random.default_rng(8)
