@@ -292,6 +292,8 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFram
 LIMIT, BITS, MISSED, GROUP = 54, 6, 0.03, 1024
 #: Rows of a key up to which keys are compared many at once.
 SMALL = 32
+#: Bytes of shingle sets and pairs that are checked together.
+BLOCK, PAIRS = 16 << 20, 8192
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -351,10 +353,10 @@ def _table_keys(bits: int, tables: int):
 
 
 def _candidates(limit: int, most: int):
-    """Rows (key, part, node, comp, words) sorted by key and part -> (u, v): pairs within ``limit`` of different comps.
+    """Rows (key, part, node, comp, words) sorted by key and part -> (u, v, place): pairs within ``limit`` of different comps.
 
     Of a key come the pairs of a least spanning forest by distance, and for each row up to ``most`` nearest ones. A row
-    (u, null) tells that u has more. Rows of part -1 - p are compared with those of part p.
+    (u, null, null) tells that u has more. Rows of part -1 - p are compared with those of part p.
     """
 
     def pairs(f: np.ndarray, comp: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,12 +405,13 @@ def _candidates(limit: int, most: int):
 
     def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, part, nodes, comp, f = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4:].view(np.uint64)
-        us, vs, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        us, vs, places, more = ([np.empty(0, np.int64)] for _ in range(4))
 
         def send(at: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
             kept, rest = pick(nodes[at], comp[at], a, b, d)
             us.append(nodes[at][a[kept]])
             vs.append(nodes[at][b[kept]])
+            places.append(key[at][a[kept]])
             more.append(nodes[at][rest])
 
         spans = np.array(_spans(key))
@@ -422,6 +425,7 @@ def _candidates(limit: int, most: int):
             if e - s == 1:
                 us.append(nodes[a[s:e]])
                 vs.append(nodes[b[s:e]])
+                places.append(key[a[s:e]])
             else:
                 of_key = np.unique(np.concatenate((a[s:e], b[s:e])))
                 send(of_key, np.searchsorted(of_key, a[s:e]), np.searchsorted(of_key, b[s:e]), d[s:e])
@@ -431,29 +435,61 @@ def _candidates(limit: int, most: int):
                 send(np.arange(s, e), a, b, d)
         u, v = np.concatenate(us), np.concatenate(vs)
         if len(u):
-            yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+            yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "place": pa.array(np.concatenate(places))})
         open_ = np.unique(np.concatenate(more))
         if len(open_):
-            yield pa.record_batch({"u": pa.array(open_), "v": pa.nulls(len(open_), pa.int64())})
+            yield pa.record_batch({"u": pa.array(open_), "v": pa.nulls(len(open_), pa.int64()), "place": pa.nulls(len(open_), pa.int64())})
 
     return by_key(8, work)
 
 
 def _similar(similarity: float):
-    """(u, v, shingles of both) -> (u, v) of the pairs whose sets have at least that Jaccard similarity."""
+    """Rows (block, u, null, shingles), then (block, u, v, null), sorted by block -> (u, v) of the pairs whose sets have at
+    least that Jaccard similarity. The sets of one block are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            us, vs = [], []
+            for at, u, v, held in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                if at != block:
+                    block, sets = at, {}
+                if v is None:
+                    sets[u] = np.frombuffer(held.as_buffer(), np.uint64).copy()  # a view would hold the whole batch
+                    continue
+                p, q = sets[u], sets[v]
+                if min(len(p), len(q)) < similarity * max(len(p), len(q)) - 1e-9:
+                    continue
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+                if both >= similarity * (len(p) + len(q) - both) - 1e-9:
+                    us.append(u)
+                    vs.append(v)
+            yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of the pairs (u, v, place) whose sets (node, shingles) have the similarity.
+
+    The pairs of a place are checked together, so that a set goes there once, not once a pair. A place is cut into blocks,
+    by hashes of both ends, until a block holds about ``BLOCK`` bytes of sets and ``PAIRS`` pairs.
+    """
+    ends = pairs.select("place", F.explode(F.array("u", "v")).alias("node")).distinct()
+    sizes = small(cut(sets.select("node", F.octet_length("shingles").alias("size"))))
+    wide = ends.join(sizes, "node").groupBy("place").agg(F.sum("size").alias("size"))
+    full = pairs.groupBy("place").agg(F.count("*").alias("n")).join(wide, "place")
+    cuts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.sqrt(F.col("n") / PAIRS))).cast("int")
+    many = cut(full.select("place", cuts.alias("cuts")).where("cuts > 1"))
+    side = [F.pmod(F.xxhash64(x), F.coalesce("cuts", F.lit(1))) for x in ("u", "v")]
+    dealt = cut(pairs.join(small(many), "place", "left").select(F.xxhash64("place", *side).alias("block"), "u", "v"))
+    asked = dealt.select("block", F.explode(F.array("u", "v")).alias("node")).distinct()
+    held = salted_join(asked, sets, "node", "block").select("block", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "shingles")
+    rows = held.unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
+    sorted_ = rows.repartition(partitions(pairs.sparkSession), "block").sortWithinPartitions("block", F.col("v").asc_nulls_first())
+    return sorted_.mapInArrow(_similar(similarity), "u bigint, v bigint")
+
+
 WIDE = "node bigint, comp bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
 
 
@@ -480,17 +516,16 @@ def similar_links(docs: DataFrame, nodes: DataFrame, k: int, similarity: float =
         parted = first.join(small(wide), "key", "left").withColumn("p", F.explode(both))
         placed = parted.select(F.xxhash64("key", "p.i", "p.j").alias("place"), F.col("p.part").cast("bigint").alias("part"), *names)
         dealt = placed.repartition(partitions(spark), "place").sortWithinPartitions("place", "part", "node")
-        found = cut(dealt.mapInArrow(_candidates(LIMIT, most), "u bigint, v bigint"))
-        pairs = found.where("v IS NOT NULL").distinct()
+        found = cut(dealt.mapInArrow(_candidates(LIMIT, most), "u bigint, v bigint, place bigint"))
+        pairs = found.where("v IS NOT NULL").groupBy("u", "v").agg(F.min("place").alias("place"))
         pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        done = pairs.select("u", "v")
+        tested = done if tested is None else tested.unionByName(done)
         ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         named = cut(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct())
         texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(small(named), "doc_id", "left_semi")
         sets = cut(shingle_sets(texts, k).join(small(ends), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-        one = salted_join(pairs, sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u", "v")
-        two = salted_join(one, sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v", "u")
-        new = cut(two.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u bigint, v bigint"))
+        new = cut(_checked(pairs, sets, similarity))
         good = new if good is None else good.unionByName(new)
         left = found.where("v IS NULL").select(F.col("u").alias("node")).distinct()
         if left.isEmpty():
