@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import symbols as declared
+from tessera.functions.checkpoints import spread
 from tessera.functions.ids import chunk_id, content_hash, file_document_id, symbol_id
 from tessera.functions.text import language_of, normalize, tidy
 from tessera.operators.chunking import Budget, Counted, Spans, code_windows, word_spans
@@ -19,9 +20,9 @@ from tessera.operators.chunking import Budget, Counted, Spans, code_windows, wor
 def git_documents(files: DataFrame, branch: str, commit: str) -> DataFrame:
     """(repo, path, text) -> a document per file, its text in canonical form; files without a text are left out.
 
-    Everybody who sees the repository sees its files.
+    Everybody who sees the repository sees its files. Files are dealt out first, as all that is made of them is slow.
     """
-    rows = normalize(files.where("text IS NOT NULL").select("repo", "path", "text"))
+    rows = normalize(spread(files.where("text IS NOT NULL").select("repo", "path", "text"), "repo", "path"))
     return rows.select(
         file_document_id(F.col("repo"), F.col("path")).alias("document_id"), F.lit("git").alias("source_system"), "repo", F.lit(branch).alias("branch"), F.col("path").alias("file_path"),
         F.lit(commit).alias("source_version"), "text", content_hash(F.col("text")).alias("content_hash"), language_of(F.col("path")).alias("language"), F.array(F.concat(F.lit("repo:"), "repo")).alias("acl_tags"),
@@ -30,8 +31,8 @@ def git_documents(files: DataFrame, branch: str, commit: str) -> DataFrame:
 
 def git_chunks(documents: DataFrame, budget: Budget = Budget(), spans: Spans = word_spans) -> DataFrame:
     """Documents of ``git_documents`` -> their windows of lines, with ids over path and number; equal ones get -1, -2 ..."""
-    made = code_windows(documents.select("document_id", F.col("file_path").alias("path"), "text"), budget, spans)
-    rows = made.join(documents.select("document_id", "repo", "branch", "file_path", "source_version", "language", "acl_tags"), "document_id")
+    kept = ("repo", "branch", "file_path", "source_version", "language", "acl_tags")
+    rows = code_windows(documents.select("document_id", *kept, F.col("file_path").alias("path"), "text"), budget, spans, kept)
     key = F.concat_ws(":", F.lit("git"), "repo", "file_path")
     plain = chunk_id(F.lit("git"), key, F.concat(F.col("file_path"), F.lit("#w"), F.col("part_index").cast("string")), F.col("text"))
     again = F.row_number().over(Window.partitionBy("document_id", "__id").orderBy("part_index")) - 1

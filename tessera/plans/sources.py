@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.checkpoints import cut, spread
 from tessera.operators import code
 from tessera.operators.chunking import Budget
 from tessera.plans.registry import DAY, query, table
@@ -34,7 +35,8 @@ def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.when(k % 10 == 9, F.concat(F.lit("int x"), k, F.lit(" = 1;\n"))).when(k % 2 == 0, _cpp(k)).otherwise(_java(k))
     path = F.concat(F.lit("src/f"), k, F.when(k % 10 == 9, ".h").when(k % 2 == 0, ".cpp").otherwise(".java"))
-    files = table(spark, sf_dir, "part").select(F.lit("repo").alias("repo"), path.alias("path"), text.alias("text"))
+    parts = cut(spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey"))  # a filter on the texts would be moved before a mere shuffle
+    files = parts.select(F.lit("repo").alias("repo"), path.alias("path"), text.alias("text"))
     return code.read_symbols(code.git_documents(files, "main", "c0"), SMALL)
 
 
@@ -70,7 +72,7 @@ x AS (SELECT f.k, f.path, f.q, '// repo · ' || path || ' · ' || q || CASE WHEN
 SELECT q AS symbol, path AS file_path, sha256(txt) AS content_hash, 'chunk:git:' || substr(sha256(concat_ws(chr(31), 'git', 'git:repo:' || path, q, txt)), 1, 16) AS chunk_id FROM x""")
 def symbol_member_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of classes, namespaces and packages: their own signature and those of their members."""
-    read = _read(spark, sf_dir)
+    read = cut(_read(spark, sf_dir))  # symbols and chunks come from it
     rows = code.symbol_chunks(read)
     whole = code.git_symbols(read, DAY).where(F.col("symbol_type").isin("namespace", "class", "enum", "package")).select("chunk_id")
     return rows.join(whole, "chunk_id", "left_semi").select("symbol", "file_path", "content_hash", "chunk_id")

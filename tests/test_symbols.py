@@ -84,3 +84,10 @@ def test_chunks_of_symbols(spark):
     assert [(c.line_start, c.line_end) for c in windows] == [(1, 8), (7, 14), (13, 20)]
     assert [c.text for c in chunks if c.file_path == "f.java"] == ["// r · f.java"]
     assert code.symbol_metrics(read).collect()[0].asDict() == {"files": 3, "symbols": 3, "chunks": len(chunks), "partial": 0, "fallback": 2, "cut_parts": len(parts)}
+
+
+def test_files_of_one_partition_are_read_in_many_tasks(spark):
+    files = spark.createDataFrame([("r", f"a{i}.cpp", f"class C{i} {{ void go(); }};") for i in range(64)], "repo string, path string, text string").coalesce(1)
+    read = code.read_symbols(code.git_documents(files, "main", "c"))
+    assert sum(read.rdd.mapPartitions(lambda p: [any(True for _ in p)]).collect()) > 1
+    assert code.git_symbols(read, "now").count() == 128
