@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, diagrams, ids, text
-from tessera.functions.checkpoints import cut
+from tessera.functions.checkpoints import cut, spread
 from tessera.operators import code, crawl, delta, evaluation, integrity, records, relations, retrieval, store
 from tessera.plans.registry import DAY, VERSION, query, table
 
@@ -465,7 +465,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     ending = F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".java").otherwise("")
     lines = F.transform(F.sequence(F.lit(0), F.col("p_size") - 1), lambda i: F.concat_ws(" ", "p_type", i.cast("string")))
-    return table(spark, sf_dir, "part").select(k.alias("k"), F.col("p_brand").alias("repo"), F.concat(F.lit("src/f"), k, ending).alias("path"), F.array_join(lines, "\n").alias("text"))
+    parts = cut(spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey"))  # a filter on the texts would be moved before a mere shuffle
+    return parts.select(k.alias("k"), F.col("p_brand").alias("repo"), F.concat(F.lit("src/f"), k, ending).alias("path"), F.array_join(lines, "\n").alias("text"))
 
 
 @query(f"""WITH {_CODE_SQL} SELECT 'git:' || repo || ':' || path AS document_id, sha256(text) AS content_hash, CASE k % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'unknown' END AS language, 'repo:' || repo AS tag, 'abc' AS source_version FROM d""")
@@ -489,7 +490,7 @@ SELECT k || '@' || x AS symbol_id, CASE WHEN x <= n THEN CASE WHEN x <= 40 THEN
 def symbol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols at some lines of files, and the number of the window that holds each first."""
     files = _files(spark, sf_dir)
-    chunks = code.git_chunks(code.git_documents(files, "main", "abc"))
+    chunks = cut(code.git_chunks(code.git_documents(files, "main", "abc")).select("repo", "file_path", "chunk_id", "part_index", "line_start", "line_end"))  # used twice
     symbols = files.where("k % 4 = 0").select("repo", F.col("path").alias("file_path"), "k", F.explode(F.lit([1, 30, 37, 45])).alias("line_start")).select("repo", "file_path", F.concat_ws("@", "k", "line_start").alias("symbol_id"), "line_start")
     tied = code.tie_symbols(symbols, chunks)
     return tied.join(chunks.select("chunk_id", F.col("part_index").alias("part")), "chunk_id", "left").select("symbol_id", "part")
