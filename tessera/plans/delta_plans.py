@@ -16,14 +16,13 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], di
     streams = _streams(spark, sf_dir)
     streams["chunks"] = streams["chunks"].withColumn("content_hash", F.sha2(F.col("l_quantity").cast("string"), 256))
     k = F.col("k")
-    of = streams["documents"].select("document_id", "k")
-    owners = {"documents": "document_id", "chunks": "document_id", "acl": "document_id", "media_assets": "parent_document_id"}
+    owners = {"chunks": "document_id", "acl": "document_id", "media_assets": "parent_document_id"}
 
     def numbered(s: str) -> DataFrame:
         if s == "documents":
             return streams[s]
-        if s in owners:
-            return streams[s].join(of.withColumnRenamed("document_id", owners[s]), owners[s])
+        if s in owners:  # an id ends in its order's number
+            return streams[s].withColumn("k", F.regexp_extract(owners[s], r"(\d+)$", 1).cast("bigint"))
         return streams[s].withColumn("k", F.regexp_extract("symbol_id" if s == "symbols" else "relation_id", r"c(\d+)-", 1).cast("bigint"))
 
     rows = {s: numbered(s).withColumn("restricted", F.lit(False)) if s == "acl" else numbered(s) for s in streams}

@@ -163,9 +163,11 @@ def _streams(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(git, F.concat(F.lit("f"), k)).alias("file_path"), F.sha2(k.cast("string"), 256).alias("content_hash"), k.alias("k"),
     )
     chunk = F.concat(F.lit("c"), F.col("l_orderkey"), F.lit("-"), line)
-    of = docs.select(F.col("k").alias("l_orderkey"), "document_id", "source_system")
+    of = o.select(k.alias("l_orderkey"), git.alias("git"))
     tag = F.when(F.col("l_quantity") > 40, F.array(F.lit("restricted:unresolved"))).otherwise(F.array(F.lit("space:A")))
-    chunks = cut(l.join(of, "l_orderkey").select(chunk.alias("chunk_id"), "document_id", tag.alias("acl_tags"), line.alias("chunk_index"), "l_orderkey", "source_system", "l_quantity", "l_partkey"))  # four streams come from it
+    lines = cut(l.join(of, "l_orderkey"))  # four streams come from it; what is written are numbers, ids are made of them when read
+    owner = F.when(F.col("git"), F.concat(F.lit("git:repo:"), "l_orderkey")).otherwise(doc(F.col("l_orderkey")))
+    chunks = lines.select(chunk.alias("chunk_id"), owner.alias("document_id"), tag.alias("acl_tags"), line.alias("chunk_index"), "l_orderkey", F.when(F.col("git"), "git").otherwise("confluence").alias("source_system"), "l_quantity", "l_partkey")
     media = chunks.where("chunk_index = 1 AND source_system = 'confluence'").select(F.concat(F.lit("m"), "l_orderkey").alias("media_id"), F.col("document_id").alias("parent_document_id"), F.when(F.col("l_quantity") > 30, "parsed").when(F.col("l_quantity") > 20, "failed").otherwise("not_processed").alias("processing_status"), F.lit("1").alias("source_version"), F.lit(None).cast("string").alias("content_hash"))
     acl = docs.select(F.concat(F.lit("acl:"), "document_id").alias("acl_id"), "document_id")
     symbols = chunks.where("source_system = 'git' AND chunk_index <= 2").select(F.concat(F.lit("s"), "chunk_id").alias("symbol_id"), F.when(F.col("chunk_index") == 1, F.col("chunk_id")).alias("chunk_id"), F.lit("repo").alias("repo"), F.lit("main").alias("branch"), F.lit("0").alias("commit_hash"), F.concat(F.lit("f"), "l_orderkey").alias("file_path"))

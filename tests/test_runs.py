@@ -145,3 +145,14 @@ def test_a_planted_change_is_found_in_any_stream(spark, sf):
         column = next(c for c in previous[s].columns if c != key and dict(previous[s].dtypes)[c] == "string")
         for bad in (previous[s].withColumn(column, F.when(F.col(key) == least, "planted").otherwise(F.col(column))), previous[s].unionByName(previous[s].where(F.col(key) == least))):
             assert streams_digest(previous | {s: bad}).first().digest != first
+
+
+def test_a_delta_makes_what_is_asked_for(spark, monkeypatch):
+    """Outcomes need neither tombstones nor streams, tombstones no streams."""
+    old = small(spark, {"a": "1", "b": "1"}, [("a1", "a", "x"), ("b1", "b", "x")])
+    new = small(spark, {"a": "2"}, [("a1", "a", "y")])
+    seen = spark.createDataFrame([("b", "source_deleted", "1", "x")], INVENTORY)
+    monkeypatch.setattr(delta_run, "_differing", lambda *_: pytest.fail("streams were made"))
+    change = delta_run.run_delta(old, new, seen, "v", "now")
+    assert {(r.document_id, r.outcome) for r in change.outcomes.collect()} == {("a", "changed"), ("b", "removed")}
+    assert {(r.entity_type, r.entity_id) for r in change.tombstones.collect()} == {("document", "b"), ("chunk", "b1"), ("chunk", "a1")}
