@@ -11,20 +11,31 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.window import Window
 
+from tessera.functions.checkpoints import spread
+from tessera.sources.files import _path
+
 SCHEMA = "root string, start bigint, ordinal int, page_id string, title string, space_key string, source_version string, ancestor_ids array<string>, next_start bigint, terminal boolean"
 NAME = "wiki_windows"
 
 
+#: Windows that a task reads, one after the other: one each would be a task and a file for every few rows.
+PER_TASK = 25
+
+
 @dataclass
-class OneWindow(InputPartition):
-    root: str
-    start: int
+class SomeWindows(InputPartition):
+    windows: list[tuple[str, int]]
+
+
+def _dealt(windows: list[tuple[str, int]]) -> list[SomeWindows]:
+    return [SomeWindows(list(x)) for x in batched(windows, PER_TASK)]
 
 
 class Folder:
@@ -84,17 +95,19 @@ class _Reader:
     def __init__(self, path: str):
         self.path = path
 
-    def read(self, part: OneWindow) -> Iterator[tuple]:
-        window = Folder(self.path).window(part.root, part.start)
-        if window is None:
-            raise ValueError(f"window {part.root}/{part.start} is gone")
-        return rows_of(window, part.root)
+    def read(self, part: SomeWindows) -> Iterator[tuple]:
+        folder = Folder(self.path)
+        for root, start in part.windows:
+            window = folder.window(root, start)
+            if window is None:
+                raise ValueError(f"window {root}/{start} is gone")
+            yield from rows_of(window, root)
 
 
 class WindowReader(_Reader, DataSourceReader):
-    def partitions(self) -> list[OneWindow]:
+    def partitions(self) -> list[SomeWindows]:
         folder = Folder(self.path)
-        return [OneWindow(root, start) for root in folder.roots() for start in folder.starts(root)]
+        return _dealt([(root, start) for root in folder.roots() for start in folder.starts(root)])
 
 
 class WindowStream(_Reader, DataSourceStreamReader):
@@ -104,6 +117,7 @@ class WindowStream(_Reader, DataSourceStreamReader):
         super().__init__(path)
         self.most = most
         self.at: dict[str, int] = {}
+        self.followed: dict[tuple[str, int], int] = {}  # where windows that were looked at for the next batch lead to
 
     def initialOffset(self) -> dict:
         return {}
@@ -114,21 +128,25 @@ class WindowStream(_Reader, DataSourceStreamReader):
         self.at, _ = self._follow(self.at, None, self.most)
         return self.at
 
-    def partitions(self, start: dict, end: dict) -> list[OneWindow]:
+    def partitions(self, start: dict, end: dict) -> list[SomeWindows]:
         self.at = {**end}
-        return self._follow(start, end, None)[1]
+        taken = self._follow(start, end, None)[1]
+        self.followed = {w: self.followed[w] for w in taken}
+        return _dealt(taken)
 
-    def _follow(self, at: dict[str, int], end: dict[str, int] | None, most: int | None) -> tuple[dict[str, int], list[OneWindow]]:
+    def _follow(self, at: dict[str, int], end: dict[str, int] | None, most: int | None) -> tuple[dict[str, int], list[tuple[str, int]]]:
         """From a cursor along the windows, root by root, up to another cursor or as many windows as allowed."""
         folder, out, taken = Folder(self.path), dict(at), []
         for root in sorted(end) if end is not None else folder.roots():
             cursor = out.get(root, 0)
             while cursor >= 0 and (most is None or len(taken) < most) and (end is None or cursor != end[root]):
-                window = folder.window(root, cursor)
-                if window is None:
-                    break
-                taken.append(OneWindow(root, cursor))
-                cursor = -1 if window["next_start"] is None else window["next_start"]
+                if (root, cursor) not in self.followed:
+                    window = folder.window(root, cursor)
+                    if window is None:
+                        break
+                    self.followed[root, cursor] = -1 if window["next_start"] is None else window["next_start"]
+                taken.append((root, cursor))
+                cursor = self.followed[root, cursor]
             if cursor or root in at:
                 out[root] = cursor
         return out, taken
@@ -163,7 +181,7 @@ def write_windows(occurrences: DataFrame, path: str, limit: int = 50) -> None:
     start = (F.col("place") - F.col("place") % limit).alias("start")
     windows = placed.groupBy("root", start).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(content.alias("content")).alias("r")))), lambda x: x.r).alias("results")).join(total, "root")
     body = F.to_json(F.struct("start", F.lit(limit).alias("limit"), F.size("results").alias("size"), "totalSize", "results"))
-    windows.select("root", "start", body.alias("value")).repartition("root", "start").write.partitionBy("root", "start").text(path)
+    spread(windows.select("root", "start", body.alias("value")), "root", "start").write.partitionBy("root", "start").text(path)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
@@ -172,6 +190,13 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format(NAME).load(path)
 
 
+def _committed(spark: SparkSession, checkpoint: str) -> int:
+    """How many batches a stream has committed, by its checkpoint: they are numbered from 0."""
+    home, fs = _path(spark, f"{checkpoint}/commits")
+    names = [s.getPath().getName() for s in fs.listStatus(home)] if fs.exists(home) else []
+    return max((int(n) + 1 for n in names if n.isdigit()), default=0)
+
+
 def follow_windows(spark: SparkSession, path: str, target: str, checkpoint: str, per_batch: int = 100, stop_after: int | None = None) -> int:
     """Append the windows that were not read before to the Parquet table ``target``; the number of batches it took.
 
@@ -179,10 +204,19 @@ def follow_windows(spark: SparkSession, path: str, target: str, checkpoint: str,
     call, and is in ``target`` once.
     """
     spark.dataSource.register(InventoryWindows)
+    stream = spark.readStream.format(NAME).option("windowsPerBatch", per_batch).load(path)
+    out = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
     done = 0
-    while stop_after is None or done < stop_after:
-        stream = spark.readStream.format(NAME).option("windowsPerBatch", per_batch).load(path)
-        run = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if stop_after is None:  # one stream for all batches
+        before = _committed(spark, checkpoint)
+        run = out.trigger(processingTime="0 seconds").start()
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+        return _committed(spark, checkpoint) - before
+    while done < stop_after:
+        run = out.trigger(availableNow=True).start()
         run.awaitTermination()
         if not sum(p["numInputRows"] for p in run.recentProgress):
             break

@@ -113,3 +113,12 @@ def test_decisions_do_not_depend_on_batches(spark, tmp_path):
     for i in range(0, 120, 30):
         out = push(spark, tmp_path / "four", rows[i : i + 30], **more)
     assert out == want
+
+
+def test_many_windows_are_few_tasks_of_one_stream(spark, tmp_path):
+    for i in range(60):
+        put(tmp_path / "in", "a", i, 1, 1, 60)
+    args = spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cursor")
+    assert windows.follow_windows(*args, per_batch=50) == 2
+    assert spark.read.parquet(str(tmp_path / "out")).select("start").distinct().count() == 60
+    assert len(list((tmp_path / "out").glob("part-*"))) == 3
