@@ -292,6 +292,25 @@ def test_passages_among_common_phrases(spark):
     assert next(r for r in got if r.doc_id == n + 4)[1:] == (0, 90, n + 3, 0, 90, 1.0)
 
 
+def test_passages_whose_every_part_is_common(spark):
+    """Two documents share a passage of which all parts, long ones too, stand in over FEW documents between them."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows, want = [], set()
+    for i in range(20):
+        shared = word(70)
+        parts = [shared[a : a + 40] for a in range(0, 31, 10)]
+        texts = [word(30) + shared + word(30), *(word(20) + part + word(20) for _ in range(12) for part in parts), word(20) + shared + word(40)]
+        ids = [1000 * i + j for j in range(len(texts))]
+        rows += zip(ids, map(" ".join, texts), strict=True)
+        want.add((ids[-1], ids[0]))
+    out = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.src_id) for r in out.collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    sides = chaining.both_sides(out).collect()
+    assert {(r.doc_id, r.src_id) for r in sides} == got | {(b, a) for a, b in got} and all(r.end - r.start >= 50 for r in sides)
+
+
 def test_alignment_is_the_least_edit_distance():
     rng = np.random.default_rng(6)
     for _ in range(200):
