@@ -8,8 +8,9 @@ also visits the shards there. Each shard goes on with a tree of its own; every p
 Only links that join two parts not yet joined leave a shard, so that a group of n copies gives fewer than n links.
 
 ``near_duplicates`` links by similarity instead: 256 bits over sets of shingles of five words, of which two texts differ
-in a share that follows the angle between their sets. At such distances no border prunes anything, so candidates come
-from tables of drawn bits, as many as a stated recall needs, and each link is checked against the two sets.
+in a share that follows the angle between their sets. The trees find the links within 3 of the first 64 bits. At the
+distances of the others no border prunes anything, so further candidates come from tables of drawn bits, as many as a
+stated recall needs. Each link is checked against the two sets.
 """
 
 from __future__ import annotations
@@ -292,8 +293,8 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFram
 LIMIT, BITS, MISSED, GROUP = 54, 6, 0.03, 1024
 #: Rows of a key up to which keys are compared many at once.
 SMALL = 32
-#: Bytes of shingle sets and pairs that are checked together.
-BLOCK, PAIRS = 16 << 20, 8192
+#: Bytes of shingle sets and pairs that are checked together; shingles that are compared at once.
+BLOCK, PAIRS, COLUMNS = 16 << 20, 8192, 8192
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -336,10 +337,15 @@ def layout(n: int, similarity: float = 0.8, missed: float = MISSED) -> tuple[int
     return bits, tables
 
 
+def _drawn(bits: int, tables: int) -> list[np.ndarray]:
+    """The bits that each table draws."""
+    rng = np.random.default_rng(7)
+    return [rng.choice(256, bits, replace=False) for _ in range(tables)]
+
+
 def _table_keys(bits: int, tables: int):
     """(node, comp, words) -> a row per table, keyed by the table's number over the bits that it draws."""
-    rng = np.random.default_rng(7)
-    drawn = [rng.choice(256, bits, replace=False) for _ in range(tables)]
+    drawn = _drawn(bits, tables)
     weights = np.int64(1) << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,40 +358,35 @@ def _table_keys(bits: int, tables: int):
     return run
 
 
-def _candidates(limit: int, most: int):
+def _near_pairs(limit: int, f: np.ndarray, comp: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of a key, a block of rows and a word of the fingerprints at a time; small numbers, as there can be many."""
+    words = np.ascontiguousarray(f.T)
+    out = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8))]
+    for i in range(0, len(f) - 1, 256):
+        d = sum((np.bitwise_count(w[i : i + 256, None] ^ w[i + 1 :]) for w in words), np.uint16(0))
+        x, y = np.nonzero(d <= limit)
+        ok = y >= x  # columns start one behind the block's first row
+        x, y = x[ok], y[ok]
+        a, b = x + i, y + i + 1
+        ok = comp[a] != comp[b]
+        if apart is not None:
+            ok &= apart[a] != apart[b]
+        out.append((a[ok].astype(np.int32), b[ok].astype(np.int32), d[x[ok], y[ok]].astype(np.uint8)))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def _candidates(limit: int):
     """Rows (key, part, node, comp, words) sorted by key and part -> (u, v, place): pairs within ``limit`` of different comps.
 
-    Of a key come the pairs of a least spanning forest by distance, and for each row up to ``most`` nearest ones. A row
-    (u, null, null) tells that u has more. Rows of part -1 - p are compared with those of part p.
+    Of a key come the pairs of a least spanning forest by distance. A row (u, null, null) tells that u has more. Rows of part -1 - p are compared with those of part p.
     """
 
-    def pairs(f: np.ndarray, comp: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of a key, a block of rows and a word of the fingerprints at a time; small numbers, as there can be many."""
-        words = np.ascontiguousarray(f.T)
-        out = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8))]
-        for i in range(0, len(f) - 1, 256):
-            d = sum((np.bitwise_count(w[i : i + 256, None] ^ w[i + 1 :]) for w in words), np.uint16(0))
-            x, y = np.nonzero(d <= limit)
-            ok = y >= x  # columns start one behind the block's first row
-            x, y = x[ok], y[ok]
-            a, b = x + i, y + i + 1
-            ok = comp[a] != comp[b]
-            if apart is not None:
-                ok &= apart[a] != apart[b]
-            out.append((a[ok].astype(np.int32), b[ok].astype(np.int32), d[x[ok], y[ok]].astype(np.uint8)))
-        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
-
     def pick(nodes: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(d.astype(np.uint8), kind="stable")  # pairs come in the order of their nodes
         a, b = a[order], b[order]
         place = np.unique(comp, return_inverse=True)[1]
         keep = np.zeros(len(a), bool)
         keep[Roots(int(place.max()) + 1).forest(place[a], place[b])] = True
-        if most:
-            for side in (a, b):
-                o = np.argsort(side, kind="stable")
-                first = np.searchsorted(side[o], side[o])
-                keep[o[np.arange(len(o)) - first < most]] = True
         return order[keep], np.unique(np.concatenate((a[~keep], b[~keep])))
 
     def at_once(key: np.ndarray, part: np.ndarray, comp: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -430,7 +431,7 @@ def _candidates(limit: int, most: int):
                 of_key = np.unique(np.concatenate((a[s:e], b[s:e])))
                 send(of_key, np.searchsorted(of_key, a[s:e]), np.searchsorted(of_key, b[s:e]), d[s:e])
         for s, e in spans[size > SMALL].tolist():
-            a, b, d = pairs(f[s:e], comp[s:e], part[s:e] if part[s:e].min() < 0 else None)
+            a, b, d = _near_pairs(limit, f[s:e], comp[s:e], part[s:e] if part[s:e].min() < 0 else None)
             if len(a):
                 send(np.arange(s, e), a, b, d)
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -443,6 +444,105 @@ def _candidates(limit: int, most: int):
     return by_key(8, work)
 
 
+def _masks(bits: int, tables: int) -> np.ndarray:
+    """The bits that each table draws, as words of a fingerprint."""
+    set_ = np.zeros((tables, 256), np.uint8)
+    for t, d in enumerate(_drawn(bits, tables)):
+        set_[t, d] = 1
+    return np.packbits(set_, axis=1, bitorder="little").view(np.uint64)
+
+
+def _met_here(limit: int, masks: np.ndarray, table: int, part: np.ndarray, comp: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a place, nearest first, that differ in up to ``limit`` bits, are of different comps, and share no earlier
+    table's key: each pair of the corpus is met so in one place."""
+    a, b, d = _near_pairs(limit, f, comp, part if part.min() < 0 else None)
+    for m in masks[:table]:
+        apart = np.zeros(len(a), bool)
+        for w in np.flatnonzero(m):
+            apart |= (f[a, w] ^ f[b, w]) & m[w] != 0
+        a, b, d = a[apart], b[apart], d[apart]
+    order = np.argsort(d, kind="stable")
+    return a[order], b[order]
+
+
+def _asked(limit: int, masks: np.ndarray):
+    """Rows (place, part, at, node, comp, words) sorted by place -> (place, node) of those in a pair met there."""
+
+    def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, e in _spans(rows[:, 0]):
+            if e - s > 1:
+                a, b = _met_here(limit, masks, int(rows[s, 2]), rows[s:e, 1], rows[s:e, 4], rows[s:e, 5:].view(np.uint64))
+                at = np.unique(np.concatenate((a, b)))
+                if len(at):
+                    yield pa.record_batch({"place": pa.array(rows[s:e, 0][at]), "node": pa.array(rows[s:e, 3][at])})
+
+    return by_key(9, work)
+
+
+def _similar_here(limit: int, masks: np.ndarray, similarity: float):
+    """Rows (place, part, at, node, comp, words, shingles) sorted by place -> (u, v): links, by checked pairs, between the
+    comps of a place, fewer than it has rows. The sets of one place are held at a time."""
+
+    def links_of(rows: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        comp = np.unique(rows[:, 4], return_inverse=True)[1]
+        a, b = _met_here(limit, masks, int(rows[0, 2]), rows[:, 1], rows[:, 4], rows[:, 5:].view(np.uint64))
+        size = np.array([len(x) for x in sets])
+        ok = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+        a, b = a[ok], b[ok]
+        # of shingles that stand in one set only nothing is shared
+        ids, of, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(n > 1) - 1
+        owner, keep = np.repeat(np.arange(len(sets)), size), n[of] > 1
+        owner, of = owner[keep], shared[of[keep]]
+        width = int((n > 1).sum())
+        roots, us, vs = Roots(int(comp.max()) + 1), [], []
+        step = 256
+        while len(a):
+            x, y, a, b = a[:step], b[:step], a[step:], b[step:]
+            apart = roots.find(comp[x]) != roots.find(comp[y])
+            x, y = x[apart], y[apart]
+            if len(x):
+                both = np.zeros(len(x), np.int64)
+                if width // COLUMNS < 32:
+                    for c in range(0, width, COLUMNS):
+                        inside = (of >= c) & (of < c + COLUMNS)
+                        bits = np.zeros((len(sets), COLUMNS), np.uint8)
+                        bits[owner[inside], of[inside] - c] = 1
+                        bits = np.packbits(bits, axis=1).view(np.uint64)
+                        for k in range(0, len(x), 4096):
+                            both[k : k + 4096] += np.bitwise_count(bits[x[k : k + 4096]] & bits[y[k : k + 4096]]).sum(1, dtype=np.int64)
+                else:
+                    both[:] = [len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+                good = both >= similarity * (size[x] + size[y] - both) - 1e-9
+                x, y = x[good], y[good]
+                used = roots.forest(comp[x], comp[y]) if len(x) else []
+                us += rows[x[used], 3].tolist() if len(x) else []
+                vs += rows[y[used], 3].tolist() if len(x) else []
+            step *= 4
+        return us, vs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[np.ndarray] = []
+        sets: list[np.ndarray] = []
+
+        def done() -> pa.RecordBatch:
+            us, vs = links_of(np.array(rows), sets)
+            return pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+        for b in batches:
+            numbers = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(9)])
+            for r, held in zip(numbers, b.column(9), strict=True):
+                if rows and rows[-1][0] != r[0]:
+                    yield done()
+                    rows, sets = [], []
+                rows.append(r.copy())
+                sets.append(np.frombuffer(held.as_buffer(), np.uint64).copy())  # a view would hold the whole batch
+        if rows:
+            yield done()
+
+    return run
+
+
 def _similar(similarity: float):
     """Rows (block, u, null, shingles), then (block, u, v, null), sorted by block -> (u, v) of the pairs whose sets have at
     least that Jaccard similarity. The sets of one block are held at a time."""
@@ -493,47 +593,77 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 WIDE = "node bigint, comp bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
 
 
+def _placed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(node, comp, words) -> (place, part, at, node, comp, words): a row for each table ``at``, at the place of its key there.
+
+    A key of very many rows, or of very large sets where ``rows`` tell their ``size`` in bytes, is cut into parts, and each
+    pair of parts has a place of its own.
+    """
+    names = ["node", "comp", "f0", "f1", "f2", "f3"]
+    first = rows.select(*names).mapInArrow(_table_keys(bits, tables), "key bigint, " + WIDE)
+    counted = first.withColumn("size", F.lit(0)) if "size" not in rows.columns else first.join(small(rows.select("node", "size")), "node")
+    parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / BLOCK)).cast("int")
+    wide = cut(counted.groupBy("key").agg(parts.alias("parts")).where("parts > 1"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    both = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, own).otherwise(-1 - own).alias("part")))
+    )
+    parted = first.join(small(wide), "key", "left").withColumn("p", F.explode(both))
+    return parted.select(F.xxhash64("key", "p.i", "p.j").alias("place"), F.col("p.part").cast("bigint").alias("part"), F.shiftright("key", bits).alias("at"), *names)
+
+
+def _tree_links(docs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(u, v): links of ``nodes`` by vantage-point trees, within 3 of the first 64 bits, whose sets have the similarity."""
+    heads = cut(nodes.groupBy("f0").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "f0").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    near = links(heads.select(F.col("f0").alias("fp")))
+    for end in ("u", "v"):
+        near = near.join(heads.select(F.col("f0").alias(end), F.col("head").alias(f"{end}_head")), end)
+    pairs = cut(same.unionByName(near.select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))).distinct().withColumn("place", F.col("v")))
+    return cut(_checked(pairs, _sets(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")), k), similarity))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from one text each."""
+    ends = cut(wanted.select("node").distinct())
+    named = cut(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(small(named), "doc_id", "left_semi")
+    return cut(shingle_sets(texts, k).join(small(ends), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, k: int, similarity: float = 0.8) -> DataFrame:
     """(u, v): links between ``nodes`` (node, first, words of the fingerprint) whose components are those of all candidates
     whose sets of shingles have the similarity.
 
-    Keys send a spanning forest of their candidates first; once those are checked, rows with further candidates between
-    parts not yet joined send more, sixteen times as many each round, until none is left unchecked.
+    First come the links of the vantage-point trees. What is too far apart for them, keys of drawn bits find: they send a
+    spanning forest of their candidates; once those are checked, the sets of rows with further candidates between parts not
+    yet joined go to the places where these meet, and all such pairs are checked there. What comes out of a place are fewer
+    links than it has rows.
     """
     spark = docs.sparkSession
     bits, tables = layout(nodes.count(), similarity)
-    names = ["node", "comp", "f0", "f1", "f2", "f3"]
-    tested = good = comp = None
-    rows, most = nodes.withColumn("comp", F.col("node")), 0
-    while True:
-        first = rows.select(*names).mapInArrow(_table_keys(bits, tables), "key bigint, " + WIDE)
-        # a key of very many rows is compared part by part, each pair of parts in a place of its own
-        wide = cut(first.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1"))
-        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        both = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, own).otherwise(-1 - own).alias("part")))
-        )
-        parted = first.join(small(wide), "key", "left").withColumn("p", F.explode(both))
-        placed = parted.select(F.xxhash64("key", "p.i", "p.j").alias("place"), F.col("p.part").cast("bigint").alias("part"), *names)
-        dealt = placed.repartition(partitions(spark), "place").sortWithinPartitions("place", "part", "node")
-        found = cut(dealt.mapInArrow(_candidates(LIMIT, most), "u bigint, v bigint, place bigint"))
-        pairs = found.where("v IS NOT NULL").groupBy("u", "v").agg(F.min("place").alias("place"))
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        done = pairs.select("u", "v")
-        tested = done if tested is None else tested.unionByName(done)
-        ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        named = cut(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct())
-        texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(small(named), "doc_id", "left_semi")
-        sets = cut(shingle_sets(texts, k).join(small(ends), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-        new = cut(_checked(pairs, sets, similarity))
-        good = new if good is None else good.unionByName(new)
-        left = found.where("v IS NULL").select(F.col("u").alias("node")).distinct()
-        if left.isEmpty():
-            return good
-        most = max(16, 16 * most)
-        if comp is None or not new.isEmpty():
-            comp = connected_components(good)
-        rows = cut(nodes.join(left, "node", "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")))
+
+    def named(good: DataFrame) -> DataFrame:
+        return cut(nodes.join(connected_components(good), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
+
+    good = _tree_links(docs, nodes, k, similarity)
+    placed = _placed(named(good), bits, tables).drop("at")
+    dealt = placed.repartition(partitions(spark), "place").sortWithinPartitions("place", "part", "node")
+    found = cut(dealt.mapInArrow(_candidates(LIMIT), "u bigint, v bigint, place bigint"))
+    pairs = cut(found.where("v IS NOT NULL").groupBy("u", "v").agg(F.min("place").alias("place")))
+    good = good.unionByName(cut(_checked(pairs, _sets(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")), k), similarity)))
+    left = cut(found.where("v IS NULL").select(F.col("u").alias("node")).distinct())
+    if left.isEmpty():
+        return good
+    sets = _sets(docs, nodes, left, k)
+    rows = cut(named(good).join(sets.select("node", F.octet_length("shingles").alias("size")), "node"))
+    masks, schema = _masks(bits, tables), "place bigint, node bigint"
+    places = cut(_placed(rows, bits, tables))
+    order = ["place", "part", "node"]
+    asked = cut(places.repartition(partitions(spark), "place").sortWithinPartitions(*order).mapInArrow(_asked(LIMIT, masks), schema))
+    held = salted_join(places.join(asked, ["place", "node"], "left_semi"), sets, "node", "place").select(*places.columns, "shingles")
+    more = held.repartition(partitions(spark), "place").sortWithinPartitions(*order).mapInArrow(_similar_here(LIMIT, masks, similarity), "u bigint, v bigint")
+    return good.unionByName(cut(more))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

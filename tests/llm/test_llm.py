@@ -197,6 +197,27 @@ def test_near_duplicates_recall(spark, monkeypatch, group):
     assert np.mean([g == family[-1] for g in family]) >= 0.9
 
 
+def test_near_duplicates_of_a_group_send_few_pairs(spark, monkeypatch):
+    """A large group whose members are mostly not similar enough, but nearly so: the groups of all pairs, from few rows."""
+    rng = np.random.default_rng(12)
+    base = [f"z{x}" for x in rng.integers(0, 100_000, 160)]
+    texts = []
+    for i in range(200):
+        u = edited(base, rng.choice(np.arange(5, 155, 5), 4, replace=False), rng)
+        texts.append(" ".join(u))
+        if i % 10 == 0:
+            texts.append(" ".join(edited(u, [80], rng)))
+    sent, trees, checked, links = [], [], simhash._checked, simhash.links
+    monkeypatch.setattr(simhash, "_checked", lambda pairs, *x: sent.append(pairs.count()) or checked(pairs, *x))
+    monkeypatch.setattr(simhash, "links", lambda distinct, *x: trees.append(1) or links(distinct, *x))
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = components(len(texts), pairs)
+    assert trees and sum(sent) <= 16 * len(texts)
+    assert all(root[got[i]] == root[i] for i in range(len(texts))) and np.mean([got[i] == root[i] for i in range(len(texts))]) >= 0.95
+
+
 def test_near_duplicates_keep_one(spark):
     rng = np.random.default_rng(2)
     text = [f"w{x}" for x in rng.integers(0, 500, 300)]
