@@ -135,10 +135,13 @@ def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.size("w") / 2).cast("int")
     cases = cases.select("case_id", "item", F.concat(F.get("w", half - 1), F.lit(" "), F.get("w", half)).alias("term"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = texts.select("doc_id", F.explode(F.array_distinct(_pairs(text.words(F.col("text"))))).alias("term"))
-    # pairs meet the cases without their texts, which only the documents found are asked for
-    found = pairs.join(F.broadcast(cases) if few(cases) else cases, "term").select("doc_id", "case_id", "item").distinct()
-    long = texts.join(found, "doc_id").where(F.contains("text", "item")).select("case_id", "doc_id")
+    if few(cases):  # a text stays beside its pairs of words until it is looked at: none is shuffled
+        beside = texts.select("doc_id", "text", F.explode(_pairs(text.words(F.col("text")))).alias("term"))
+        long = beside.join(F.broadcast(cases), "term").where(F.contains("text", "item")).select("case_id", "doc_id").distinct()
+    else:  # pairs meet the cases without their texts, which only the documents found are asked for
+        pairs = texts.select("doc_id", F.explode(F.array_distinct(_pairs(text.words(F.col("text"))))).alias("term"))
+        found = pairs.join(cases, "term").select("doc_id", "case_id", "item").distinct()
+        long = texts.join(found, "doc_id").where(F.contains("text", "item")).select("case_id", "doc_id")
     return long.unionByName(texts.join(short, F.contains("text", "item")).select("case_id", "doc_id"))
 
 
@@ -153,22 +156,23 @@ sb AS (SELECT case_id, coalesce(1.0::DOUBLE / first, 0) AS rr FROM cases LEFT JO
 """
 
 
-def _scores(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFrame:
-    return evaluation.case_scores(_sparse(spark, sf_dir, 10, binary).withColumnRenamed("query_id", "case_id"), _relevant(spark, sf_dir))
+def _scores(spark: SparkSession, sf_dir: str, relevant: DataFrame, binary: bool = False) -> DataFrame:
+    return evaluation.case_scores(_sparse(spark, sf_dir, 10, binary).withColumnRenamed("query_id", "case_id"), relevant)
 
 
 @query(f"""WITH {_EVAL_SQL} SELECT round(coalesce(avg(hit5::INT), 0), 6) AS hit5, round(coalesce(avg(hit10::INT), 0), 6) AS hit10, round(coalesce(avg(rr), 0), 6) AS mrr,
 count(*) AS evaluated, (SELECT count(DISTINCT item_id) FROM benchmark) - count(*) AS skipped FROM sa""")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"))
-    out = evaluation.summary(_scores(spark, sf_dir), cases)
+    out = evaluation.summary(_scores(spark, sf_dir, cut(_relevant(spark, sf_dir))), cases)
     return out.select(*[F.round(c, 6).alias(c) for c in ("hit5", "hit10", "mrr")], "evaluated", "skipped")
 
 
 @query(f"""WITH {_EVAL_SQL} SELECT case_id, round(sa.rr, 6) AS a, round(sb.rr, 6) AS b, CASE WHEN sb.rr > sa.rr THEN 'improved' WHEN sb.rr < sa.rr THEN 'regressed' ELSE 'same' END AS outcome
 FROM sa JOIN sb USING (case_id)""")
 def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = evaluation.compare(_scores(spark, sf_dir), _scores(spark, sf_dir, True))
+    relevant = cut(_relevant(spark, sf_dir))
+    pairs = evaluation.compare(_scores(spark, sf_dir, relevant), _scores(spark, sf_dir, relevant, True))
     return pairs.select("case_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "outcome")
 
 

@@ -250,3 +250,10 @@ def test_short_items_are_relevant(spark, tmp_path):
     spark.createDataFrame([(1, "two words"), (2, "日本語"), (3, "a case of five words or more"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "these two words."), (2, "in 日本語 text"), (3, "it is a case of five words or more"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted((r.case_id, r.doc_id) for r in queries._relevant(spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_texts_of_relevant_documents_are_not_shuffled(spark, sf):
+    from tessera.plans import queries
+
+    plan = queries._relevant(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin [term" in plan
