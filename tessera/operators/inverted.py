@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.checkpoints import cut
+from tessera.functions.checkpoints import cut, partitions
 from tessera.functions.joins import few
 from tessera.operators.retrieval import ranked
 from tessera.sources.files import _path
 
 #: Rows of a block, buckets of terms, blocks of a query that are scored before any is left out.
 BLOCK, BUCKETS, FIRST = 256, 64, 4
+#: Postings that lie together, about, where a bucket is written.
+SLICE = 500_000
 
 
 def _bucket(term: Column) -> Column:
@@ -43,22 +45,32 @@ def add_segment(terms: DataFrame, path: str, key: str, gone: DataFrame | None =
     """
     spark = terms.sparkSession
     number = max(segments(spark, path), default=0) + 1
-    rows = cut(terms.where(F.col(key).isNotNull() & F.col("term").isNotNull()).select(key, "term", F.col("weight").cast("double").alias("weight")))
+    rows = terms.where(F.col(key).isNotNull() & F.col("term").isNotNull()).select(key, "term", F.col("weight").cast("double").alias("weight"))
     if gone is not None:
-        rows = cut(rows.join(gone.select(key).distinct(), key, "left_anti"))
-    sizes = cut(rows.groupBy(key).agg(F.sum("weight").alias("size")))
-    n = sizes.count()
+        out = gone.select(key).distinct()
+        rows = rows.join(F.broadcast(out) if few(out) else out, key, "left_anti")
+    # a row's terms are gathered once and kept beside each other: sizes and postings both come from there
+    folder = f"{path}/.segment={number}"
+    whole = rows.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("terms"), F.sum("weight").alias("size"), F.count("*").alias("n"))
+    whole.write.parquet(f"{folder}/rows")
+    whole = spark.read.schema(whole.schema).parquet(f"{folder}/rows")
+    n, many = whole.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # large rows first, in as many ranges as blocks are needed; within a range by hash
-    edges = _edges(sizes, n)
+    edges = _edges(whole, n)
     block = F.lit(0).cast("bigint") if not edges else F.aggregate(F.lit(edges), F.lit(0).cast("bigint"), lambda a, e: a + (F.col("size") < e).cast("bigint"))
     per = max(1, -(-n // (len(edges) + 1) // BLOCK))
-    placed = sizes.withColumn("block", block * per + F.pmod(F.xxhash64(key), F.lit(per)))
-    post = rows.join(placed.select(key, "block"), key).groupBy("term", "block").agg(F.max("weight").alias("most"), F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "weight"))).alias("postings"))
-    folder = f"{path}/.segment={number}"
-    post.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    placed = whole.withColumn("block", block * per + F.pmod(F.xxhash64(key), F.lit(per)))
+    # postings are dealt out once, by bucket and slice of blocks, and stay there to be gathered and written
+    slices = max(1, many // (BUCKETS * SLICE))
+    each = placed.select(key, "block", F.explode("terms").alias("t")).select("t.term", "block", F.col(key).alias("key"), "t.weight")
+    each = each.select("*", _bucket(F.col("term")).alias("bucket"), F.pmod("block", F.lit(slices)).cast("int").alias("slice")).repartition(max(partitions(spark), BUCKETS * slices if slices > 1 else 0), "bucket", "slice")
+    post = each.groupBy("bucket", "slice", "term", "block").agg(F.max("weight").alias("most"), F.array_sort(F.collect_list(F.struct("key", "weight"))).alias("postings"))
+    post.select("term", "block", "most", "postings", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
     held = placed.select(key, F.lit(True).alias("live"))
     held = held if gone is None else held.unionByName(gone.select(key).distinct().withColumn("live", F.lit(False)))
     held.write.parquet(f"{folder}/keys")
+    home, fs = _path(spark, f"{folder}/rows")
+    fs.delete(home, True)
     home, fs = _path(spark, folder)
     fs.rename(home, _path(spark, f"{path}/segment={number}")[0])
     return number

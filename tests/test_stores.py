@@ -133,6 +133,23 @@ def test_index_of_hard_rows(spark, tmp_path):
     assert inverted.top_k(spark, path, asked.limit(0), 3).collect() == []
 
 
+def test_postings_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    """No posting is checkpointed; buckets written in several slices hold what a scan finds."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id") % 7))).alias("term"), (1 + F.col("id") % 5).cast("double").alias("weight"))
+    seen = []
+    real = inverted.cut
+    monkeypatch.setattr(inverted, "cut", lambda df: (seen.append(df.columns), real(df))[1])
+    monkeypatch.setattr(inverted, "BLOCK", 16)
+    monkeypatch.setattr(inverted, "SLICE", 2, raising=False)
+    inverted.add_segment(docs, str(tmp_path / "i"), "doc_id", gone=spark.range(0, 600, 50).select(F.col("id").alias("doc_id")))
+    assert not [c for c in seen if "term" in c]
+    asked = spark.createDataFrame([(1, "the", 1.0), (1, "w3", 2.0), (2, "w5", 1.0)], "query_id long, term string, weight double")
+    got = [tuple(r) for r in inverted.top_k(spark, str(tmp_path / "i"), asked, 5).orderBy("query_id", "rank").collect()]
+    live = [i for i in range(600) if i % 50]
+    score = {1: {i: (1 + i % 5) * (3.0 if i % 7 == 3 else 1.0) for i in live}, 2: {i: 1.0 + i % 5 for i in live if i % 7 == 5}}
+    assert got == [(q, i, x, n) for q, m in score.items() for n, (i, x) in enumerate(sorted(m.items(), key=lambda r: (-r[1], r[0]))[:5], 1)]
+
+
 def test_vector_search_takes_any_number_of_queries(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(5)
     frame = lambda d, key: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(d)], f"{key} long, embedding array<double>")
