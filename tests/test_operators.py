@@ -236,6 +236,20 @@ def test_capture_adds_each_page_once(spark, tmp_path):
     assert rows(spark.read.parquet(target).select("page_id", "body")) == [(1, "first"), (2, "first"), (3, "second")]
 
 
+def test_decisions_of_a_page_are_framed_without_a_cast(monkeypatch):
+    """A frame is made for every page: its columns have their types from the start, nulls and all."""
+    import pandas as pd
+
+    def astype(*_, **__):
+        raise AssertionError("a frame was cast")
+
+    monkeypatch.setattr(pd.DataFrame, "astype", astype)
+    at = pd.Timestamp("2026-01-01 10:00:00.000001")
+    made = capture._frame([("r", "1", at, "committed", "1", 200, "x"), ("r", "1", at, "overdue", None, None, None)])
+    assert [str(t) for t in made.dtypes] == ["object", "object", "datetime64[us]", "object", "object", "Int32", "object"]
+    assert made["at"].tolist() == [at, at] and made["http_status"].isna().tolist() == [False, True] and made["sha256"].tolist() == ["x", None]
+
+
 def test_dense_search_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     asked = rows.where("vec_id < 10").withColumnRenamed("vec_id", "query_id")
