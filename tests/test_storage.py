@@ -160,3 +160,22 @@ def test_dealt_join_keeps_every_row(spark):
     side = spark.createDataFrame([(1, "a"), (11, "b")], "k int, v string")
     want = sorted((r.k or 0, r.i, r.v or "") for r in rows.join(side, "k", "left").collect())
     assert sorted((r.k or 0, r.i, r.v or "") for r in dealt_join(rows, side, "k", "i", 100).collect()) == want
+
+
+def test_objects_of_few_pages_at_once(spark, monkeypatch):
+    """A batch of Spark's is worked off in parts: a worker holds what it made of a few pages, not of all."""
+    import pyarrow as pa
+
+    from tessera.operators import wiki
+    from tessera.operators.chunking import Budget
+
+    runs = []
+    pages = spark.createDataFrame([("1", "t", "<p>x</p>")], "document_id string, title string, storage string")
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, f, schema: (runs.append(f), self)[1])
+    storage_pages(pages)
+    wiki.chunk_pages(pages, "storage", Budget())
+    batch = pa.record_batch([pa.array([str(i) for i in range(300)]), pa.array(["t"] * 300), pa.array(["<p>x</p>"] * 300)], names=pages.columns)
+    for run in runs:
+        made = list(run(iter([batch, batch.slice(0, 0)])))
+        assert max(b.num_rows for b in made) <= 128 and [x for b in made for x in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert len(runs) == 2
