@@ -14,8 +14,9 @@ _LINES_SQL = "lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_par
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders, one for each number."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
+    """Lines of orders, one for each number; those of an order are dealt out once, to as many tasks as there are partitions."""
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
 
 
 # ---- what a source sends: customers as wiki pages in nations, parts as their files

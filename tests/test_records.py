@@ -228,3 +228,11 @@ def test_empty_tables(spark, tmp_path):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
     assert store.latest(spark.createDataFrame([], "k int, v int"), ["k"], ["v"]).count() == 0
     assert spark.createDataFrame([([1.0, 1.0],)], "v array<double>").select(vectors.norm(F.col("v"))).count() == 1
+
+
+def test_lines_of_an_order_are_dealt_out_once(spark, sf):
+    from tessera.plans.queries import QUERIES
+
+    plan = QUERIES["order_violations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in line]
+    assert len(dealt) == 1 and "l_linenumber" not in dealt[0], dealt
