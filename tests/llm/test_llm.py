@@ -672,6 +672,21 @@ def components(n: int, links) -> list[int]:
     return [find(i) for i in range(n)]
 
 
+def test_texts_are_searched_for_seeds_once(spark):
+    common = " ".join(f"c{j}" for j in range(40))
+    rows = [(i, f"a{i} b{i} {common} d{i} " + " ".join(f"x{i}_{j}" for j in range(9))) for i in range(3000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.xxhash64("text")).cache()
+    hot, firsts = chaining._hot_seeds(texts)
+    assert len(hot)
+    rows = texts.select("doc", "text").mapInArrow(chaining._seed_rows(None), chaining.SEEDS)
+    want = {r.seed: (r.x.doc, r.x.at) for r in rows.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("x")).collect()}
+    got = {r.seed: (r.all.doc, r.all.at) for r in firsts.collect()}
+    assert set(got) == set(hot.view(np.int64).tolist())
+    assert all(want[k] == v for k, v in got.items())
+    plan = chaining._matches(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_each_stage_against_a_plainer_version(spark, sf):
     """Every stage on what the one before kept: verdicts row by row, all pairs of shingle sets, all windows of bytes, ids."""
     import corpus_pipeline
