@@ -160,7 +160,9 @@ def _last_digit(size: int, gram: int):
         right, n_right = _matrix(rows.column("right").to_pylist(), reach, False)
         powers = np.cumprod(np.full(reach + 1, factor, np.uint64))
         before = np.zeros(len(digit), np.uint64)
-        after = (right.astype(np.uint64) + np.uint64(1)) @ powers[:reach]
+        after = np.zeros(len(digit), np.uint64)
+        for c in range(reach):  # a column at a time: the whole in 64 bits is eight times the bytes
+            after += (right[:, c].astype(np.uint64) + np.uint64(1)) * powers[c]
         base, found = mix(digit), np.zeros((len(digit), reach + 1), bool)
         for o in range(reach + 1):  # the string starts o bytes before the anchor
             able = np.flatnonzero((n_left >= o) & (n_right >= reach - o))

@@ -28,6 +28,7 @@ WORD = re.compile(r"[^\W_]+")
 #: Bound of what the model is fitted on: labelled documents, drawn by a hash.
 MAX_LABELLED = 50_000
 STEMS = (4, 5, 6)
+MANY = 100_000
 PRIOR, FLOOR, LEAST_Z, DRIFT, LEAST_E = 500.0, 0.5, 3.2, 0.5, 0.05
 
 
@@ -107,12 +108,20 @@ def _scan(text: str, weights: Weights) -> tuple[list[tuple[int, int, float]], in
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's words, sent on whenever there are over ``MANY`` of them."""
+    counts = {0: Counter(), 1: Counter()}
+
+    def out() -> pa.RecordBatch:
+        words = list(counts[0] | counts[1])
+        return pa.record_batch({"word": pa.array(words, pa.string()), "toxic": pa.array([counts[1][w] for w in words], pa.int64()), "clean": pa.array([counts[0][w] for w in words], pa.int64())})
+
     for b in batches:
-        counts = {0: Counter(), 1: Counter()}
         for x, y in zip(b.column(0), b.column(1), strict=True):
             counts[y.as_py()].update({s for w in set(WORD.findall((x.as_py() or "").lower())) for s in stems(w)})
-        words = list(counts[0] | counts[1])
-        yield pa.record_batch({"word": pa.array(words, pa.string()), "toxic": pa.array([counts[1][w] for w in words], pa.int64()), "clean": pa.array([counts[0][w] for w in words], pa.int64())})
+        if len(counts[0]) + len(counts[1]) > MANY:
+            yield out()
+            counts = {0: Counter(), 1: Counter()}
+    yield out()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:

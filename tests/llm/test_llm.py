@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -687,6 +689,41 @@ def test_texts_are_searched_for_seeds_once(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_last_digits_are_summed_by_column():
+    n, reach = 60_000, 150
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, (n, reach), np.uint8)
+    side = pa.array([x.tobytes() for x in raw], pa.binary())
+    numbers = {"digit": np.zeros(n, np.int64), "second": np.zeros(n, np.int64), "key": np.arange(n), "tag": np.arange(n), "at": np.full(n, reach, np.int32)}
+    batch = pa.record_batch({**{k: pa.array(v) for k, v in numbers.items()}, "left": side, "right": side})
+    tracemalloc.start()
+    found = list(suffixes._last_digit(200, 50)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not sum(b.num_rows for b in found)
+    assert peak < 60e6  # all bytes as 64-bit numbers alone are 72 MB
+
+
+def test_stages_send_small_batches(spark, sf, docs):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(5000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.num_rows], pa.int64())})
+
+    try:
+        for given, want in ((before, corpus_pipeline.BATCH), ("0", corpus_pipeline.BATCH), ("100", 100)):
+            spark.conf.set(name, given)
+            corpus_pipeline.strip_repeated_passages(spark, docs, sf)
+            assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_each_stage_against_a_plainer_version(spark, sf):
     """Every stage on what the one before kept: verdicts row by row, all pairs of shingle sets, all windows of bytes, ids."""
     import corpus_pipeline
