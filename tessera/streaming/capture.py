@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import namedtuple
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,11 +33,16 @@ def capture(pages: DataFrame, target: str, checkpoint: str, keys: Sequence[str]
 #: come, the answer is stored.
 KINDS = ("inventory", "page", "stored")
 DECISIONS = "run_id string, page_id string, at timestamp, decision string, source_version string, http_status int, sha256 string"
-_Event = namedtuple("_Event", "at kind source_version http_status sha256")
-_STATE = "versions string, version string, status int, sha string, stored boolean, since bigint"
+#: Pages are dealt into so many groups, as Spark's work for each group in Python costs far more than that for a page.
+BUCKETS = 4096
+_EVENT = ("run_id", "page_id", "us", "kind", "source_version", "http_status", "sha256")
+_MADE = DECISIONS.replace("at timestamp", "us bigint")
+_STATE = "run array<string>, page array<string>, versions array<string>, version array<string>, status array<int>, sha array<string>, stored array<boolean>, since array<bigint>, due array<bigint>"
+#: Rows of a frame that is given back.
+_ROWS = 10_000
 
 
-def page_decisions(events: DataFrame, patience: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def page_decisions(events: DataFrame, patience: str = "1 hour", late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """A stream (run_id, page_id, at, kind, source_version, http_status, sha256) -> what becomes of each answer.
 
     ``committed``: the first answer of a page in the inventory, of the version that stands there; ``replayed``: the same
@@ -48,66 +52,88 @@ def page_decisions(events: DataFrame, patience: str = "1 hour", late: str = "10
     ``late`` behind the newest event, has passed ``patience``, is ``overdue``, once. Events without a run, page or time are
     left out; those of other kinds say nothing.
 
-    What is kept of a page is a few numbers and hashes, and goes when it was acknowledged for as long as ``patience``.
+    What is kept of a page is a few numbers and hashes, and goes when it was acknowledged for as long as ``patience``. Pages
+    are kept in ``buckets`` groups by a hash of run and page, each read and written whole when one of its pages has an event;
+    the number must stay the same for as long as a checkpoint is used.
     """
     wait = pd.Timedelta(patience).value // 1_000_000
 
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        versions, version, status, sha, stored, since = state.get if state.exists else ("", None, None, None, False, None)
-        out: list[tuple] = []
-        if state.hasTimedOut:
+    def decide(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(run, page): rest for run, page, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        now, out = state.getCurrentWatermarkMs(), []
+        told: dict[tuple, list[tuple]] = {}
+        if not state.hasTimedOut:
+            for f in frames:
+                for run, page, *r in zip(*(f[c].tolist() for c in _EVENT), strict=True):
+                    told.setdefault((run, page), []).append(r)
+        # a page with events has its timer set anew by them
+        for page in [p for p, x in held.items() if x[-1] is not None and x[-1] < now and p not in told]:
+            versions, _, _, sha, stored, since, _ = held[page]
             if sha is None and since is not None:
-                out.append((*key, pd.Timestamp(since + wait, unit="ms"), "overdue", versions or None, None, None))
-                state.update((versions, None, None, None, False, None))
+                out.append((*page, (since + wait) * 1000, "overdue", versions or None, None, None))
+                held[page] = [versions, None, None, None, False, None, None]
             elif stored:
-                state.remove()
-            if out:
-                yield _frame(out)
-            return
-        # a page has a few rows: lists of its columns cost much less than a frame's own tuples
-        rows = [_Event(*r) for f in frames for r in zip(*(f[c].tolist() for c in _Event._fields), strict=True)]
-        if len(rows) > 1:
-            rows.sort(key=lambda r: (r.at, KINDS.index(r.kind) if r.kind in KINDS else len(KINDS), str(r.sha256)))
-        for r in rows:
-            of = None if r.source_version is None else str(r.source_version)
-            answer = of, None if pd.isna(r.http_status) else int(r.http_status), r.sha256
-            if r.kind == "inventory" and of is not None:
-                # two versions contradict each other for good; a bar stands for that
-                versions = of if versions in ("", of) else "|"
-                since = int(r.at.timestamp() * 1000) if sha is None and since is None else since
-            elif r.kind == "page":
-                if not versions:
-                    said = "unknown_inventory"
-                elif versions != of:
-                    said = "identity_conflict"
-                elif sha is None:
-                    said, (version, status, sha) = "committed", answer
-                else:
-                    said = "replayed" if answer == (version, status, sha) else "conflict"
-                out.append((*key, r.at, said, *answer))
-            elif r.kind == "stored":
-                same = sha is not None and r.sha256 == sha
-                stored = stored or same
-                out.append((*key, r.at, "acknowledged" if same else "not_committed", *answer))
-        state.update((versions, version, status, sha, stored, since))
-        if rows and (stored or sha is None and since is not None):
-            newest = int(max(r.at for r in rows).timestamp() * 1000)
-            state.setTimeoutTimestamp(max((newest if stored else since) + wait, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield _frame(out)
+                del held[page]
+        for page, rows in told.items():
+            said, held[page] = _decided(rows, held.get(page, ("", None, None, None, False, None, None)), wait, now)
+            out += [(*page, *r) for r in said]
+        if held:
+            state.update(tuple(zip(*((*page, *x) for page, x in held.items()), strict=True)))
+            timers = [x[-1] for x in held.values() if x[-1] is not None]
+            if timers:
+                state.setTimeoutTimestamp(max(min(timers), now + 1))
+        elif state.exists:
+            state.remove()
+        for i in range(0, len(out), _ROWS):
+            yield _frame(out[i : i + _ROWS])
 
     known = events.where("run_id IS NOT NULL AND page_id IS NOT NULL AND at IS NOT NULL").select(
         F.col("run_id").cast("string"), F.col("page_id").cast("string"), F.col("at").cast("timestamp"), "kind", F.col("source_version").cast("string"), F.col("http_status").cast("int"), "sha256"
     )
-    return known.withWatermark("at", late).groupBy("run_id", "page_id").applyInPandasWithState(decide, DECISIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = known.withColumn("us", F.unix_micros("at")).withColumn("bucket", F.pmod(F.xxhash64("run_id", "page_id"), F.lit(buckets)))
+    made = dealt.withWatermark("at", late).groupBy("bucket").applyInPandasWithState(decide, _MADE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select(*[F.timestamp_micros("us").alias("at") if c.split()[0] == "at" else c.split()[0] for c in DECISIONS.split(", ")])
+
+
+def _decided(rows: list[tuple], before: Sequence, wait: int, now: int) -> tuple[list[tuple], tuple]:
+    """Events (us, kind, source_version, http_status, sha256) of a page -> what is said of them, and what is kept of the page:
+    versions, the committed version, status and hash, whether it is stored, since when it is waited for, when its timer ends."""
+    versions, version, status, sha, stored, since, _ = before
+    out = []
+    if len(rows) > 1:
+        rows.sort(key=lambda r: (r[0], KINDS.index(r[1]) if r[1] in KINDS else len(KINDS), str(r[4])))
+    for at, kind, of, code, body in rows:
+        answer = of, None if code is None or code != code else int(code), body
+        if kind == "inventory" and of is not None:
+            # two versions contradict each other for good; a bar stands for that
+            versions = of if versions in ("", of) else "|"
+            since = at // 1000 if sha is None and since is None else since
+        elif kind == "page":
+            if not versions:
+                said = "unknown_inventory"
+            elif versions != of:
+                said = "identity_conflict"
+            elif sha is None:
+                said, (version, status, sha) = "committed", answer
+            else:
+                said = "replayed" if answer == (version, status, sha) else "conflict"
+            out.append((at, said, *answer))
+        elif kind == "stored":
+            same = sha is not None and body == sha
+            stored = stored or same
+            out.append((at, "acknowledged" if same else "not_committed", *answer))
+    due = None
+    if stored or sha is None and since is not None:
+        due = max((rows[-1][0] // 1000 if stored else since) + wait, now + 1)
+    return out, (versions, version, status, sha, stored, since, due)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    """Each column is made in its own type: this is done for every page, and a cast of the whole frame costs many times more."""
+    """Each column is made in its own type."""
     run, page, at, said, version, status, sha = zip(*rows, strict=True)
     text = {"run_id": run, "page_id": page, "decision": said, "source_version": version, "sha256": sha}
-    made = {k: np.array(v, object) for k, v in text.items()} | {"at": np.array([t.asm8 for t in at], "datetime64[us]"), "http_status": pd.array(status, "Int32")}
-    return pd.DataFrame({c.split()[0]: made[c.split()[0]] for c in DECISIONS.split(", ")}, copy=False)
+    made = {k: np.array(v, object) for k, v in text.items()} | {"us": np.array(at, np.int64), "http_status": pd.array(status, "Int32")}
+    return pd.DataFrame({c.split()[0]: made[c.split()[0]] for c in _MADE.split(", ")}, copy=False)
 
 
 def window_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes", at: str = "ts", kind: str = "event_type") -> DataFrame:

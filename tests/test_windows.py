@@ -115,6 +115,19 @@ def test_decisions_do_not_depend_on_batches(spark, tmp_path):
     assert out == want
 
 
+def test_pages_share_a_group_but_no_timer(spark, tmp_path):
+    """Random events with timers that end between batches: all pages in one group, and nearly each in its own."""
+    rng = random.Random(6)
+    parts = [[(f"p{rng.randint(0, 15)}", 100 * i + m, rng.choice(["inventory", "inventory", "page", "stored"]), "1", rng.choice([200, None]), rng.choice("ab")) for m in range(0, 60, 2)] for i in range(4)]
+    made = {}
+    for buckets in (1, 4096):
+        for part in parts:
+            made[buckets] = push(spark, tmp_path / str(buckets), part, patience="90 minutes", late="1 minute", buckets=buckets)
+    assert made[1] == made[4096] and {"overdue", "committed", "acknowledged", "conflict"} <= {said for _, said in made[1]}
+    state = spark.read.format("statestore").load(str(tmp_path / "1" / "c"))
+    assert state.count() == 1
+
+
 def test_many_windows_are_few_tasks_of_one_stream(spark, tmp_path):
     for i in range(60):
         put(tmp_path / "in", "a", i, 1, 1, 60)
