@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.checkpoints import spread
 from tessera.functions.ids import tombstone_id
 
 #: Order of entity types in a tombstone stream.
@@ -83,6 +84,36 @@ def cascade(documents: DataFrame, dependents: DataFrame) -> DataFrame:
     return roots.unionByName(children)
 
 
+#: Columns of the streams that tell what hangs on which document; symbols may name a document too.
+_PLACE = ("repo", "branch", "commit_hash", "file_path")
+_OWNERS = {
+    "documents": ("document_id", "source_system", "repo", "branch", "source_version", "file_path"), "chunks": ("chunk_id", "document_id"), "acl": ("acl_id", "document_id"), "media_assets": ("media_id", "parent_document_id"),
+    "symbols": ("symbol_id", "chunk_id", *_PLACE, "document_id"), "relations": ("relation_id", "source_id", "target_id", "resolution_status"),
+}
+
+
+def _owned(streams: Mapping[str, DataFrame], *by: str) -> DataFrame:
+    """(by..., document_id, entity_type, entity_id) of what hangs on documents, some more than once, whether these are there
+    or not. Chunks and files are looked up among the rows that agree in the columns ``by``. Symbols and relations look for
+    their chunk in one join."""
+    none = F.lit(None).cast("string")
+    files = streams["documents"].where("source_system = 'git'").select(*by, "repo", "branch", F.col("source_version").alias("commit_hash"), "file_path", F.col("document_id").alias("__file")).dropDuplicates([*by, *_PLACE])
+    symbols = streams["symbols"]
+    given = F.col("document_id") if "document_id" in symbols.columns else none
+    asked = symbols.select(*by, *_PLACE, "chunk_id", given.alias("__given"), "symbol_id").join(files, [*by, *_PLACE], "left")
+    asked = asked.select(*by, F.col("chunk_id").alias("__ref"), "__given", F.col("__file").alias("__else"), none.alias("__target"), F.lit("symbol").alias("entity_type"), F.col("symbol_id").alias("entity_id"))
+    target = F.when(F.col("resolution_status") == "resolved", F.col("target_id"))
+    relations = streams["relations"].select(*by, F.col("source_id").alias("__ref"), none.alias("__given"), F.col("source_id").alias("__else"), target.alias("__target"), F.lit("relation").alias("entity_type"), F.col("relation_id").alias("entity_id"))
+    # symbols without a chunk find nothing, but must not meet in one task
+    asks = asked.unionByName(relations).withColumn("__none", F.when(F.col("__ref").isNull(), F.xxhash64("entity_id")).otherwise(0))
+    chunks = streams["chunks"].select(*by, F.col("chunk_id").alias("__ref"), F.col("document_id").alias("__of"), F.lit(0).cast("bigint").alias("__none"))
+    owners = F.array_compact(F.array(F.coalesce("__given", "__of", "__else"), "__target"))
+    found = asks.join(chunks, [*by, "__ref", "__none"], "left").select(*by, F.explode(owners).alias("document_id"), "entity_type", "entity_id")
+    own = lambda rows, owner, kind, entity: rows.select(*by, F.col(owner).alias("document_id"), F.lit(kind).alias("entity_type"), F.col(entity).alias("entity_id"))
+    parts = [own(streams["acl"], "document_id", "acl", "acl_id"), own(streams["media_assets"], "parent_document_id", "media", "media_id"), found]
+    return reduce(DataFrame.unionByName, parts).where("entity_id IS NOT NULL AND document_id IS NOT NULL")
+
+
 def dependents(streams: Mapping[str, DataFrame]) -> DataFrame:
     """What hangs on each document of a version: (document_id, entity_type, entity_id), each once.
 
@@ -90,23 +121,22 @@ def dependents(streams: Mapping[str, DataFrame]) -> DataFrame:
     repository, branch, commit and path; relations by their source (a chunk stands for its document), and resolved ones by
     their target too.
     """
-    docs, chunks = streams["documents"], streams["chunks"].select("chunk_id", F.col("document_id").alias("__of"))
-
-    def made(rows: DataFrame, owner: Column | str, kind: str, entity: str) -> DataFrame:
-        return rows.select(F.col(owner).alias("document_id") if isinstance(owner, str) else owner.alias("document_id"), F.lit(kind).alias("entity_type"), F.col(entity).alias("entity_id"))
-
-    place = ("repo", "branch", "commit_hash", "file_path")
-    files = docs.where("source_system = 'git'").select("repo", "branch", F.col("source_version").alias("commit_hash"), "file_path", F.col("document_id").alias("__file")).dropDuplicates(list(place))
-    symbols = streams["symbols"].join(chunks, "chunk_id", "left").join(files, list(place), "left")
-    relations = streams["relations"].join(chunks.withColumnRenamed("chunk_id", "source_id"), "source_id", "left")
-    parts = [
-        made(streams["acl"], "document_id", "acl", "acl_id"),
-        made(streams["media_assets"], "parent_document_id", "media", "media_id"),
-        made(symbols, F.coalesce("document_id", "__of", "__file") if "document_id" in symbols.columns else F.coalesce("__of", "__file"), "symbol", "symbol_id"),
-        made(relations, F.coalesce("__of", "source_id"), "relation", "relation_id"),
-        made(relations.where("resolution_status = 'resolved'"), "target_id", "relation", "relation_id"),
-    ]
-    return reduce(DataFrame.unionByName, parts).where("entity_id IS NOT NULL").distinct().join(docs.select("document_id").distinct(), "document_id", "left_semi")
+    return _owned(streams).distinct().join(streams["documents"].select("document_id").distinct(), "document_id", "left_semi")
+
+
+def dependents_changes(previous: Mapping[str, DataFrame], current: Mapping[str, DataFrame], whole: bool = False) -> DataFrame:
+    """``dependents`` of two versions against each other: (document_id, entity_type, entity_id, before, after), the rows that
+    only one of them has, or all of them if ``whole``. Both are found in the same joins, and dealt out once, by document."""
+
+    def both(s: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [v[s].select(*[c for c in _OWNERS[s] if c in v[s].columns], F.lit(new).alias("__new")) for v, new in ((previous, False), (current, True))])
+
+    tagged = {s: both(s) for s in _OWNERS}
+    sides = [F.bool_or(~F.col("__new")), F.bool_or("__new")]
+    docs = tagged["documents"].where("document_id IS NOT NULL").groupBy("document_id").agg(sides[0].alias("__p"), sides[1].alias("__c"))
+    rows = spread(_owned(tagged, "__new"), "document_id").groupBy("document_id", "entity_type", "entity_id").agg(sides[0].alias("before"), sides[1].alias("after"))
+    told = rows.join(docs, "document_id").select("document_id", "entity_type", "entity_id", (F.col("before") & F.col("__p")).alias("before"), (F.col("after") & F.col("__c")).alias("after"))
+    return told.where("before OR after" if whole else "before <> after")
 
 
 def dependents_hash(rows: DataFrame) -> DataFrame:

@@ -6,26 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import delta_run
-from tessera.plans.records import _STREAMS_SQL, _streams
+from tessera.plans.records import _STREAMS_SQL, _numbered
 from tessera.plans.registry import DAY, VERSION, query
 
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
     """The old version, the new one, and the inventory between them. Of an order k: new if k % 6 = 5; else gone if k % 5 = 0;
     other texts if k % 7 = 0; other access if k % 11 = 0; without its media if k % 13 = 0."""
-    streams = _streams(spark, sf_dir)
+    streams = _numbered(spark, sf_dir)
     streams["chunks"] = streams["chunks"].withColumn("content_hash", F.sha2(F.col("l_quantity").cast("string"), 256))
     k = F.col("k")
-    owners = {"chunks": "document_id", "acl": "document_id", "media_assets": "parent_document_id"}
-
-    def numbered(s: str) -> DataFrame:
-        if s == "documents":
-            return streams[s]
-        if s in owners:  # an id ends in its order's number
-            return streams[s].withColumn("k", F.regexp_extract(owners[s], r"(\d+)$", 1).cast("bigint"))
-        return streams[s].withColumn("k", F.regexp_extract("symbol_id" if s == "symbols" else "relation_id", r"c(\d+)-", 1).cast("bigint"))
-
-    rows = {s: numbered(s).withColumn("restricted", F.lit(False)) if s == "acl" else numbered(s) for s in streams}
+    rows = streams | {"acl": streams["acl"].withColumn("restricted", F.lit(False))}
     done = lambda s, x: x if s == "documents" else x.drop("k")
     previous = {s: done(s, x.where(k % 6 != 5)) for s, x in rows.items()}
     new = {s: x.where((k % 6 == 5) | (k % 5 != 0)) for s, x in rows.items()}

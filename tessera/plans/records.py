@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, diagrams, ids, text
-from tessera.functions.checkpoints import cut, spread
+from tessera.functions.checkpoints import cut, spread, stored
 from tessera.operators import code, crawl, delta, evaluation, integrity, records, relations, retrieval, store
 from tessera.plans.registry import DAY, VERSION, query, table
 
@@ -154,6 +154,11 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streams(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {s: rows if s == "documents" else rows.drop("k") for s, rows in _numbered(spark, sf_dir).items()}
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The streams, with the number of each row's order as ``k``."""
     o, l = table(spark, sf_dir, "orders"), _lines(spark, sf_dir)  # noqa: E741
     k, line = F.col("o_orderkey"), F.col("l_linenumber")
     git = F.col("o_orderstatus") == "F"
@@ -166,17 +171,17 @@ def _streams(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     chunk = F.concat(F.lit("c"), F.col("l_orderkey"), F.lit("-"), line)
     of = o.select(k.alias("l_orderkey"), git.alias("git"))
     tag = F.when(F.col("l_quantity") > 40, F.array(F.lit("restricted:unresolved"))).otherwise(F.array(F.lit("space:A")))
-    lines = cut(l.join(of, "l_orderkey"))  # four streams come from it; what is written are numbers, ids are made of them when read
+    lines = stored(l.join(of, "l_orderkey"))  # four streams come from it; what is written are numbers, ids are made of them when read
     owner = F.when(F.col("git"), F.concat(F.lit("git:repo:"), "l_orderkey")).otherwise(doc(F.col("l_orderkey")))
-    chunks = lines.select(chunk.alias("chunk_id"), owner.alias("document_id"), tag.alias("acl_tags"), line.alias("chunk_index"), "l_orderkey", F.when(F.col("git"), "git").otherwise("confluence").alias("source_system"), "l_quantity", "l_partkey")
-    media = chunks.where("chunk_index = 1 AND source_system = 'confluence'").select(F.concat(F.lit("m"), "l_orderkey").alias("media_id"), F.col("document_id").alias("parent_document_id"), F.when(F.col("l_quantity") > 30, "parsed").when(F.col("l_quantity") > 20, "failed").otherwise("not_processed").alias("processing_status"), F.lit("1").alias("source_version"), F.lit(None).cast("string").alias("content_hash"))
-    acl = docs.select(F.concat(F.lit("acl:"), "document_id").alias("acl_id"), "document_id")
-    symbols = chunks.where("source_system = 'git' AND chunk_index <= 2").select(F.concat(F.lit("s"), "chunk_id").alias("symbol_id"), F.when(F.col("chunk_index") == 1, F.col("chunk_id")).alias("chunk_id"), F.lit("repo").alias("repo"), F.lit("main").alias("branch"), F.lit("0").alias("commit_hash"), F.concat(F.lit("f"), "l_orderkey").alias("file_path"))
+    chunks = lines.select(chunk.alias("chunk_id"), owner.alias("document_id"), tag.alias("acl_tags"), line.alias("chunk_index"), "l_orderkey", F.when(F.col("git"), "git").otherwise("confluence").alias("source_system"), "l_quantity", "l_partkey", F.col("l_orderkey").alias("k"))
+    media = chunks.where("chunk_index = 1 AND source_system = 'confluence'").select(F.concat(F.lit("m"), "l_orderkey").alias("media_id"), F.col("document_id").alias("parent_document_id"), F.when(F.col("l_quantity") > 30, "parsed").when(F.col("l_quantity") > 20, "failed").otherwise("not_processed").alias("processing_status"), F.lit("1").alias("source_version"), F.lit(None).cast("string").alias("content_hash"), "k")
+    acl = docs.select(F.concat(F.lit("acl:"), "document_id").alias("acl_id"), "document_id", "k")
+    symbols = chunks.where("source_system = 'git' AND chunk_index <= 2").select(F.concat(F.lit("s"), "chunk_id").alias("symbol_id"), F.when(F.col("chunk_index") == 1, F.col("chunk_id")).alias("chunk_id"), F.lit("repo").alias("repo"), F.lit("main").alias("branch"), F.lit("0").alias("commit_hash"), F.concat(F.lit("f"), "l_orderkey").alias("file_path"), "k")
     found = F.col("l_partkey") % 2 == 0
     relations_ = chunks.where("chunk_index <= 3").select(
         F.concat(F.lit("r"), "chunk_id").alias("relation_id"), F.when(F.col("chunk_index") == 1, F.col("chunk_id")).otherwise(F.col("document_id")).alias("source_id"),
         F.when(found & (F.col("source_system") == "confluence"), F.col("document_id")).otherwise(F.concat(F.lit("unresolved:"), "l_partkey")).alias("target_id"), F.lit("links_to_page").alias("relation_type"),
-        F.when(found, "resolved").otherwise("unresolved_target").alias("resolution_status"),
+        F.when(found, "resolved").otherwise("unresolved_target").alias("resolution_status"), "k",
     )
     return {"documents": docs, "chunks": chunks, "media_assets": media, "acl": acl, "symbols": symbols, "relations": relations_}
 

@@ -156,3 +156,28 @@ def test_a_delta_makes_what_is_asked_for(spark, monkeypatch):
     change = delta_run.run_delta(old, new, seen, "v", "now")
     assert {(r.document_id, r.outcome) for r in change.outcomes.collect()} == {("a", "changed"), ("b", "removed")}
     assert {(r.entity_type, r.entity_id) for r in change.tombstones.collect()} == {("document", "b"), ("chunk", "b1"), ("chunk", "a1")}
+
+
+def test_dependents_of_two_versions_are_found_once(spark, sf, monkeypatch):
+    """For outcomes and tombstones together; they are what the two versions' own dependents tell."""
+    previous, current, inventory = delta_plans.versions(spark, sf)
+    rows = lambda x: {tuple(r) for r in x.select("document_id", "entity_type", "entity_id").collect()}
+    old, new = rows(delta.dependents(previous)), rows(delta.dependents(current))
+    calls, made = [], delta._owned
+    monkeypatch.setattr(delta, "_owned", lambda *x: calls.append(1) or made(*x))
+    change = delta_run.run_delta(previous, current, inventory, "v", "now")
+    assert change.outcomes.count() and change.tombstones.count() and len(calls) == 1
+    assert rows(change.parts.where("before AND NOT after")) == old - new and rows(change.parts.where("after AND NOT before")) == new - old
+    whole = delta.dependents_changes(previous, current, whole=True)
+    assert rows(whole.where("before")) == old and rows(whole.where("after")) == new
+
+
+def test_symbols_of_no_chunk_do_not_meet(spark):
+    """They are dealt out, and find their file; a document that two relations name has each once."""
+    streams = small(spark, {"a": "1"}, [("a1", "a", "x")])
+    streams["documents"] = spark.createDataFrame([("a", "git", "r", "b", "1", "f")], "document_id string, source_system string, repo string, branch string, source_version string, file_path string")
+    streams["symbols"] = spark.createDataFrame([(f"s{i}", "a1" if i % 2 else None, "r", "b", "1" if i < 50 else "2", "f") for i in range(100)], streams["symbols"].schema)
+    streams["relations"] = spark.createDataFrame([("r1", "a1", "a", "resolved"), ("r2", "a", "z", "resolved")], streams["relations"].schema)
+    want = {("a", "symbol", f"s{i}") for i in range(100) if i % 2 or i < 50} | {("a", "relation", "r1"), ("a", "relation", "r2")}
+    made = [tuple(r) for r in delta.dependents(streams).collect()]
+    assert len(made) == len(want) and set(made) == want
