@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, pairwise
 
 import pyarrow as pa
@@ -159,6 +159,13 @@ def symbol_chunks(read: DataFrame) -> DataFrame:
     return rows.select("document_id", "repo", "branch", "file_path", "source_version", "language", "acl_tags", "c.*", _unit_id(c["unit_key"], c["text"]).alias("chunk_id"), content_hash(c["text"]).alias("content_hash")).drop("unit_key")
 
 
+def opening_chunks(read: DataFrame, kinds: Sequence[str] = tuple(sorted(declared.AGGREGATES))) -> DataFrame:
+    """``symbol_chunks`` that open the symbols of these kinds. The first chunks of a file's symbols stand in the order of its
+    symbols, so that no row needs another file's."""
+    first = F.filter("chunks", lambda c: (c.content_kind == "code_symbol") & (F.coalesce(c.part_index, F.lit(0)) == 0))
+    return symbol_chunks(read.withColumn("chunks", F.array_compact(F.zip_with("symbols", first, lambda s, c: F.when(s.symbol_type.isin(*kinds), c)))))
+
+
 def symbol_metrics(read: DataFrame) -> DataFrame:
     """One row: files, symbols and chunks, files read in part, files without symbols, parts of symbols that were cut."""
     count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")

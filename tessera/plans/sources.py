@@ -72,10 +72,8 @@ x AS (SELECT f.k, f.path, f.q, '// repo · ' || path || ' · ' || q || CASE WHEN
 SELECT q AS symbol, path AS file_path, sha256(txt) AS content_hash, 'chunk:git:' || substr(sha256(concat_ws(chr(31), 'git', 'git:repo:' || path, q, txt)), 1, 16) AS chunk_id FROM x""")
 def symbol_member_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of classes, namespaces and packages: their own signature and those of their members."""
-    read = cut(_read(spark, sf_dir))  # symbols and chunks come from it
-    rows = code.symbol_chunks(read)
-    whole = code.git_symbols(read, DAY).where(F.col("symbol_type").isin("namespace", "class", "enum", "package")).select("chunk_id")
-    return rows.join(whole, "chunk_id", "left_semi").select("symbol", "file_path", "content_hash", "chunk_id")
+    rows = code.opening_chunks(_read(spark, sf_dir), ("namespace", "class", "enum", "package"))
+    return rows.select("symbol", "file_path", "content_hash", "chunk_id")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, (p_partkey % 3 = 0)::INT AS m, p_partkey % 60 + 3 AS l FROM part),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions.symbols import plain_signature, scan
 from tessera.operators import code
@@ -91,3 +92,19 @@ def test_files_of_one_partition_are_read_in_many_tasks(spark):
     read = code.read_symbols(code.git_documents(files, "main", "c"))
     assert sum(read.rdd.mapPartitions(lambda p: [any(True for _ in p)]).collect()) > 1
     assert code.git_symbols(read, "now").count() == 128
+
+
+def test_opening_chunks_are_found_in_their_file(spark):
+    """Those that a join by id gives, for cut symbols, equal names and files without symbols too; without any join."""
+    texts = [
+        "namespace n {\nclass A { void f(); };\nvoid A::f() {\n" + "  x += 1;\n" * 40 + "}\n}\n", "int x = 1;\n" * 30, "class B { int a(); }; class B { int a(); };", "",
+        "class C {\n" + "".join(f"  void some_function_{i}(int first, int second);\n" for i in range(30)) + "};\n", "struct S { void g(); }; void broken( {",
+    ]
+    files = spark.createDataFrame([("r", f"f{i}.cpp", t) for i, t in enumerate(texts)], "repo string, path string, text string")
+    read = code.read_symbols(code.git_documents(files, "b", "c"), Budget(target=60, hard=120, lines=12, repeat=3)).cache()
+    for kinds in (("namespace", "class"), ("method",), ("struct", "class", "method", "function", "namespace")):
+        wanted = code.git_symbols(read, "now").where(F.col("symbol_type").isin(*kinds)).select("chunk_id")
+        want = sorted(map(repr, code.symbol_chunks(read).join(wanted, "chunk_id", "left_semi").select("chunk_id", "file_path", "text").collect()))
+        made = code.opening_chunks(read, kinds)
+        assert want and sorted(map(repr, made.select("chunk_id", "file_path", "text").collect())) == want
+        assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
