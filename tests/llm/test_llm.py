@@ -674,6 +674,22 @@ def components(n: int, links) -> list[int]:
     return [find(i) for i in range(n)]
 
 
+def test_common_seeds_are_matched_as_if_all_their_places_lay_together(spark, monkeypatch):
+    """Which seeds the sample finds common changes nothing: places of these meet the same ones, over the borders of ranges too."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 60, n)]
+    phrases = [word(12) for _ in range(6)]
+    rows = [(i, " ".join(word(6) + sum((phrases[k] + word(int(rng.integers(0, 3))) for k in rng.integers(0, 6, 4)), []))) for i in range(700)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.xxhash64("text")).repartition(7).cache()
+    found = lambda: sorted(map(tuple, chaining._matches(texts).collect()))
+    hot, firsts = chaining._hot_seeds(texts)
+    salted = found()
+    assert len(hot) > 20
+    for some in (hot[:0], hot[::2]):
+        monkeypatch.setattr(chaining, "_hot_seeds", lambda _, some=some: (some, firsts.where(F.col("seed").isin(some.view(np.int64).tolist()))))
+        assert found() == salted
+
+
 def test_texts_are_searched_for_seeds_once(spark):
     common = " ".join(f"c{j}" for j in range(40))
     rows = [(i, f"a{i} b{i} {common} d{i} " + " ".join(f"x{i}_{j}" for j in range(9))) for i in range(3000)]
